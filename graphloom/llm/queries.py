@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import documents
 from graphloom.llm.line_dedup import dedup_lines
 from graphloom.llm.mixing import mix_sources
+from graphloom.llm.simhash import near_duplicates
+from graphloom.llm.substring_dedup import dedup_substrings
 from graphloom.llm.token_counts import count_tokens
 from graphloom.llm.topk import top_k
 
@@ -21,6 +23,30 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(documents(spark, sf_dir), length=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+wins AS (
+  SELECT r, i, array_to_string(ws[i:i + 34], ' ') AS win
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM docs WHERE len(ws) >= 35)),
+hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY win) AS n FROM wins) WHERE n > 1),
+covered AS (
+  SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM hit)),
+words AS (SELECT r, doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM docs),
+kept AS (
+  SELECT w.r, string_agg(w.w, ' ' ORDER BY w.p) AS text, count(*) AS n
+  FROM words w ANTI JOIN covered c ON w.r = c.r AND w.p = c.p GROUP BY w.r)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, (len(d.ws) - coalesce(k.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.r = k.r
+"""
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -45,6 +71,10 @@ FROM marked GROUP BY doc_id, text
 """
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), words=4, max_bits=4)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
@@ -105,7 +135,9 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 _QUERIES = {
+    "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
     "op3_line_dedup": (op3_line_dedup, OP3_SQL),
+    "op4_simhash": (op4_simhash, None),
     "op6_token_counts": (op6_token_counts, None),
     "op7_mixing": (op7_mixing, OP7_SQL),
     "op8_top_k": (op8_top_k, OP8_SQL),
