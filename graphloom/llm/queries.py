@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import documents
 from graphloom.llm.line_dedup import dedup_lines
 from graphloom.llm.mixing import mix_sources
+from graphloom.llm.secrets import scan
 from graphloom.llm.simhash import near_duplicates
 from graphloom.llm.substring_dedup import dedup_substrings
 from graphloom.llm.token_counts import count_tokens
@@ -134,6 +135,11 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(documents(spark, sf_dir))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_markov")
+
+
 _QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
     "op3_line_dedup": (op3_line_dedup, OP3_SQL),
@@ -141,6 +147,7 @@ _QUERIES = {
     "op6_token_counts": (op6_token_counts, None),
     "op7_mixing": (op7_mixing, OP7_SQL),
     "op8_top_k": (op8_top_k, OP8_SQL),
+    "op9_secret_scan": (op9_secret_scan, None),
 }
 
 
