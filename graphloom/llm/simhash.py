@@ -124,7 +124,7 @@ def cell_links(fps: np.ndarray, tables: np.ndarray, max_bits: int) -> np.ndarray
 def links(classes: DataFrame, max_bits: int) -> DataFrame:
     """u, v: links that connect whatever lies within ``max_bits``, among distinct fp."""
     keyed = classes.select("fp", F.explode(block_keys(F.col("fp"), max_bits)).alias("_k")).select("fp", "_k.table", "_k.bits")
-    met = keyed.groupBy("table", "bits").agg(F.count("fp").alias("_n")).where(F.col("_n") > 1)
+    met = saved(keyed.groupBy("table", "bits").agg(F.count("fp").alias("_n")).where(F.col("_n") > 1), "met")
     chunks = F.ceil(F.col("_n") / CELL_ROWS).cast("int")
     members = keyed.join(met, ["table", "bits"]).withColumn("_s", chunks).withColumn("_c", F.pmod(F.xxhash64("fp"), F.col("_s")).cast("int"))
     others = F.when(F.col("_s") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("_s") - 1), lambda j: j != F.col("_c")))
@@ -184,5 +184,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 4) -> DataF
     groups = components(links(classes.select("fp"), max_bits))
     named = groups.join(classes.withColumnRenamed("fp", "node"), "node").groupBy("label").agg(F.min("first").alias("least"))
     named = groups.join(named, "label").select(F.col("node").alias("fp"), "least")
-    owner = classes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    owner = saved(classes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "owners")
     return fps.join(owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

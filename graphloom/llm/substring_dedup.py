@@ -213,18 +213,19 @@ def dedup_substrings(docs: DataFrame, length: int = 35, seed_words: int = SEED_W
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
     runs = rows.mapInArrow(find_runs(length, seed_words), "anchor long, stretch long, doc long, t long, low int, more int")
-    seeds = runs.groupBy("anchor").agg(F.count("anchor").alias("_n")).where(F.col("_n") > 1).select("anchor")
+    # written tables, so that both sides of the joins are plain exchanges and hot keys can be split
+    seeds = saved(runs.groupBy("anchor").agg(F.count("anchor").alias("_n")).where(F.col("_n") > 1).select("anchor"), "seeds")
     seeded = saved(runs.join(seeds, "anchor"), "seeded-runs")
     firsts = [F.first(c).alias(c) for c in ("doc", "t", "low", "more")]
     classes = saved(seeded.groupBy("anchor", "stretch").agg(F.count("low").alias("n"), *firsts), "stretches")
     whole = seeded.join(classes.where(F.col("n") > 1).select("anchor", "stretch"), ["anchor", "stretch"]).select("doc", "t", "low", "more")
-    several = classes.groupBy("anchor").agg(F.count("n").alias("_k")).where(F.col("_k") > 1).select("anchor")
+    several = saved(classes.groupBy("anchor").agg(F.count("n").alias("_k")).where(F.col("_k") > 1).select("anchor"), "several")
     witnesses = classes.join(several, "anchor").groupBy("doc", "t").agg(F.collect_list(F.struct("anchor", "n", "low", "more")).alias("wanted"))
     right = witnesses.select(F.col("doc").alias("_doc"), F.col("t").alias("_t"), "wanted").hint("shuffle_hash")
     same_row = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("t") == F.col("_t"))
     read_again = rows.join(right, same_row).select("doc", "t", "text", "wanted")
     windows = saved(read_again.mapInArrow(find_windows(length), "anchor long, window long, doc long, t long, at int, alone boolean"), "windows")
-    shared = windows.groupBy("anchor", "window").agg(F.count("at").alias("_n")).where(F.col("_n") > 1).select("anchor", "window")
+    shared = saved(windows.groupBy("anchor", "window").agg(F.count("at").alias("_n")).where(F.col("_n") > 1).select("anchor", "window"), "shared")
     single = windows.where("alone").join(shared, ["anchor", "window"]).select("doc", "t", F.col("at").alias("low"), F.lit(0).alias("more"))
     repeats = whole.unionByName(single).groupBy(F.col("doc").alias("_doc"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("low", "more")).alias("runs"))
     return (

@@ -103,6 +103,16 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-scores, k - 1, axis=1)[:, :k] if scores.shape[1] > k else np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
 
 
+def _kept(qids: np.ndarray, row: np.ndarray, score: np.ndarray, k: int, ids: np.ndarray | None = None) -> list[tuple]:
+    """The k best of each query, ties to the smaller id, as tuples."""
+    order = np.lexsort((*([] if ids is None else [ids]), -score, row))
+    row, score = row[order], score[order]
+    first = np.searchsorted(row, row)
+    use = np.arange(len(row)) - first < k
+    out = [qids[row[use]].tolist(), score[use].tolist()] + ([] if ids is None else [ids[order][use].tolist()])
+    return list(zip(*out, strict=True))
+
+
 def top_k(vectors: DataFrame, k: int = 20, query_mod: int = 20, scale: int = 64, segments: int = 4) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other vectors for each vector
     whose id is divisible by ``query_mod``, ties to the smaller vec_id."""
@@ -118,28 +128,29 @@ def top_k(vectors: DataFrame, k: int = 20, query_mod: int = 20, scale: int = 64,
     pairs = left.join(right, "lane")
     cols = [f"{s}_{c}" for s in "bq" for c in ("n", "dim", "ids", "data")]
 
-    def local_lists(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            for r in frame.to_pylist():
-                ids, v = unpack(*(r[f"b_{c}"] for c in ("n", "dim", "ids", "data")))
-                qids, q = unpack(*(r[f"q_{c}"] for c in ("n", "dim", "ids", "data")))
-                parts = segment_scores(q, v, segments)
-                total = sum(parts)
-                gathered = np.concatenate([_best(p, k + 1) for p in parts], axis=1)
-                gathered.sort(axis=1)
-                value = np.take_along_axis(total, gathered, 1).astype(np.float64 if total.dtype != np.int64 else np.int64)
-                use = np.ones(gathered.shape, bool)
-                use[:, 1:] = gathered[:, 1:] != gathered[:, :-1]
-                use &= ids[gathered] != qids[:, None]
-                row, col = np.nonzero(use)
-                out = pd.DataFrame({"query_id": qids[row], "score": value[row, col].astype(np.int64)})
-                out = out.sort_values(["query_id", "score"], ascending=[True, False]).groupby("query_id").head(k)
-                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+    # plain UDFs, for a row is a whole block: Spark hands them over a hundred at a time
+    # whatever their size, while an Arrow batch would hold ten thousand
+    @F.udf("array<struct<query_id:long,score:long>>", useArrow=False)
+    def local_lists(*block):
+        ids, v = unpack(*block[:4])
+        qids, q = unpack(*block[4:])
+        parts = segment_scores(q, v, segments)
+        total = sum(parts)
+        gathered = np.concatenate([_best(p, k + 1) for p in parts], axis=1)
+        gathered.sort(axis=1)
+        value = np.take_along_axis(total, gathered, 1).astype(np.int64)
+        use = np.ones(gathered.shape, bool)
+        use[:, 1:] = gathered[:, 1:] != gathered[:, :-1]
+        use &= ids[gathered] != qids[:, None]
+        row, col = np.nonzero(use)
+        return _kept(qids, row, value[row, col], k)
+
+    def found(pairs: DataFrame, run, *extra: str) -> DataFrame:
+        return pairs.select(F.explode(run(*cols, *extra)).alias("x")).select("x.*")
 
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc())
     cut = (
-        pairs.select(*cols)
-        .mapInArrow(local_lists, "query_id long, score long")
+        found(pairs, local_lists)
         .withColumn("at", F.row_number().over(best))
         .where(F.col("at") <= k)
         .groupBy("query_id")
@@ -156,29 +167,24 @@ def top_k(vectors: DataFrame, k: int = 20, query_mod: int = 20, scale: int = 64,
     armed = saved(members, "topk-cutoffs")
     right = right.join(armed.withColumnRenamed("block", "q_block"), "q_block")
 
-    def above_cutoff(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            for r in frame.to_pylist():
-                ids, v = unpack(*(r[f"b_{c}"] for c in ("n", "dim", "ids", "data")))
-                qids, q = unpack(*(r[f"q_{c}"] for c in ("n", "dim", "ids", "data")))
-                low = np.array([-(2**63) if c is None else c for c in r["cutoffs"]], np.int64)[:, None]
-                parts = segment_scores(q, v, segments)
-                share = (low // len(parts)).astype(parts[0].dtype)  # rounded down, so nothing is lost
-                enough = parts[0] >= share
-                for p in parts[1:]:
-                    enough |= p >= share
-                row, col = np.nonzero(enough)
-                score = sum(p[row, col] for p in parts).astype(np.int64)
-                use = (score >= low[row, 0]) & (ids[col] != qids[row])
-                out = pd.DataFrame({"query_id": qids[row[use]], "vec_id": ids[col[use]], "score": score[use]})
-                out = out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+    @F.udf("array<struct<query_id:long,score:long,vec_id:long>>", useArrow=False)
+    def above_cutoff(*block):
+        ids, v = unpack(*block[:4])
+        qids, q = unpack(*block[4:8])
+        low = np.array([-(2**63) if c is None else c for c in block[8]], np.int64)[:, None]
+        parts = segment_scores(q, v, segments)
+        share = (low // len(parts)).astype(parts[0].dtype)  # rounded down, so nothing is lost
+        enough = parts[0] >= share
+        for p in parts[1:]:
+            enough |= p >= share
+        row, col = np.nonzero(enough)
+        score = sum(p[row, col] for p in parts).astype(np.int64)
+        use = (score >= low[row, 0]) & (ids[col] != qids[row])
+        return _kept(qids, row[use], score[use], k, ids[col[use]])
 
     final = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return (
-        left.join(right, "lane")
-        .select(*cols, "cutoffs")
-        .mapInArrow(above_cutoff, "query_id long, vec_id long, score long")
+        found(left.join(right, "lane"), above_cutoff, "cutoffs")
         .withColumn("rank", F.row_number().over(final))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
