@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import documents
+from graphloom.llm.langid import fit, identify, remainder
 from graphloom.llm.line_dedup import dedup_lines
 from graphloom.llm.mixing import mix_sources
 from graphloom.llm.secrets import scan
@@ -140,6 +141,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_markov")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit(docs.where(remainder(F.col("doc_id"), 3) != 1), tokenizer_path("piece_bpe_32k.model"))
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")
+    return identify(docs.select("doc_id", "text", held_out), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 _QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
     "op3_line_dedup": (op3_line_dedup, OP3_SQL),
@@ -148,6 +156,7 @@ _QUERIES = {
     "op7_mixing": (op7_mixing, OP7_SQL),
     "op8_top_k": (op8_top_k, OP8_SQL),
     "op9_secret_scan": (op9_secret_scan, None),
+    "op10_language_id": (op10_language_id, None),
 }
 
 
