@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import documents
 from graphloom.llm.langid import fit, identify, remainder
 from graphloom.llm.line_dedup import dedup_lines
+from graphloom.llm.lm import score_texts
 from graphloom.llm.mixing import mix_sources
 from graphloom.llm.secrets import scan
 from graphloom.llm.simhash import near_duplicates
@@ -77,6 +78,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words=4, max_bits=4)
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(documents(spark, sf_dir), learn=remainder(F.col("doc_id"), 5) != 1)
+    held_out = (F.col("doc_id").isNotNull() & ~F.col("learned")).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
@@ -152,6 +159,7 @@ _QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
     "op3_line_dedup": (op3_line_dedup, OP3_SQL),
     "op4_simhash": (op4_simhash, None),
+    "op5_lm_scores": (op5_lm_scores, None),
     "op6_token_counts": (op6_token_counts, None),
     "op7_mixing": (op7_mixing, OP7_SQL),
     "op8_top_k": (op8_top_k, OP8_SQL),
