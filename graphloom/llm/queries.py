@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import documents
+from graphloom.llm.decontaminate import contaminated
 from graphloom.llm.langid import fit, identify, remainder
 from graphloom.llm.line_dedup import dedup_lines
 from graphloom.llm.lm import score_texts
@@ -50,6 +51,10 @@ FROM docs d LEFT JOIN kept k ON d.r = k.r
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -157,6 +162,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
+    "op2_decontamination": (op2_decontamination, None),
     "op3_line_dedup": (op3_line_dedup, OP3_SQL),
     "op4_simhash": (op4_simhash, None),
     "op5_lm_scores": (op5_lm_scores, None),
