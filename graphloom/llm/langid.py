@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import saved, ship
@@ -262,10 +262,10 @@ class Scorer:
 _scorers: dict[int, Scorer] = {}
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The columns of docs, then lang_pred and score (the posterior, 0 to 1). Columns of
-    those names in docs are replaced."""
-    spark = docs.sparkSession
+def predictor(model: LanguageModel):
+    """A function of text columns that returns struct<lang_pred, score>; score is the
+    posterior probability of the predicted language."""
+    spark = SparkSession.active()
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
 
@@ -278,5 +278,16 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for some in texts:
             yield pd.DataFrame(_scorers[key].predict([x if isinstance(x, str) else None for x in some]), columns=["lang_pred", "score"])
 
-    found = docs.drop("lang_pred", "score").withColumn("_found", run(F.col("text").cast("string")))
+    return lambda text: run(text.cast("string"))
+
+
+def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """doc_id, the other columns of docs, lang_pred and score; columns of those two names are replaced."""
+    found = docs.drop("lang_pred", "score").withColumn("_found", predictor(model)(F.col("text")))
     return found.select(*[c for c in found.columns if c != "_found"], "_found.lang_pred", "_found.score")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.5) -> DataFrame:
+    """The rows of docs with a language more likely than all others together."""
+    found = docs.withColumn("_found", predictor(model)(F.col("text")))
+    return found.where((F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= min_score)).drop("_found")

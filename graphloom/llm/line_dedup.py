@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import SPACES
+from graphloom.llm.common import SPACES, saved
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LAST = 2**63 - 1
@@ -29,14 +29,11 @@ def line_key(line):
     return F.translate(F.btrim(line, F.lit(SPACES)), _UPPER, _UPPER.lower())
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """One row per input row: doc_id, n_lines, n_dropped, kept (the text without the
-    dropped lines). A line is dropped if its key has at least ``min_chars`` code
-    points and occurs in at least ``min_docs`` documents, except in the smallest
-    doc_id that holds it."""
+def _reassembled(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """The rows of docs with _n (lines), _dropped and _kept (the text without them)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    rows = docs.select("doc_id", doc.alias("_d"), text.alias("_text"))
+    rows = docs.withColumns({"_d": doc, "_text": text})
     # the text's hash keeps rows apart that share a doc_id but not a text
     rows = rows.withColumn("_t", F.xxhash64("_text"))
     lines = (
@@ -45,13 +42,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
         .where(F.length("_key") >= min_chars)
         .select("_d", "_t", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
     )
-    if min_docs <= 2:
+    if min_docs == 2:
         seen = lines.groupBy("_h1", "_h2").agg(F.min("_d").alias("_first"), F.max("_d").alias("_other"))
-        repeated = seen.where(F.col("_first") < F.col("_other")) if min_docs == 2 else seen
+        repeated = seen.where(F.col("_first") < F.col("_other"))
     else:
-        seen = lines.groupBy("_h1", "_h2", "_d").agg(F.lit(1).alias("_one"))
-        repeated = seen.groupBy("_h1", "_h2").agg(F.min("_d").alias("_first"), F.count("_one").alias("_n")).where(F.col("_n") >= min_docs)
-    repeated = repeated.select("_h1", "_h2", "_first")
+        once = lines.groupBy("_h1", "_h2", "_d").agg(F.lit(1).alias("_one"))
+        repeated = once.groupBy("_h1", "_h2").agg(F.min("_d").alias("_first"), F.count("_one").alias("_k")).where(F.col("_k") >= min_docs)
+    # a written table, so that both sides of the join are plain exchanges and hot hashes can be split
+    repeated = saved(repeated.select("_h1", "_h2", "_first"), "repeated-lines")
     dropped = (
         lines.join(repeated, ["_h1", "_h2"])
         .where(F.col("_d") > F.col("_first"))
@@ -59,19 +57,28 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
         .agg(F.collect_set("_pos").alias("_gone"))
     )
     joined = rows.join(dropped.hint("shuffle_hash"), ["_d", "_t"], "left")
-    parts = F.split("_text", "\n", -1)
-    kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(
-        F.array_join(
-            F.transform(
-                F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), F.col("_gone")),
-                lambda i: F.get(F.col("_parts"), i),
-            ),
-            "\n",
-        )
-    )
-    return joined.withColumn("_parts", parts).withColumn("_n", F.size("_parts")).select(
-        "doc_id",
-        F.col("_n").cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
-        kept.alias("kept"),
-    )
+    stay = F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), F.col("_gone"))
+    kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_parts"), i)), "\n"))
+    joined = joined.withColumn("_parts", F.split("_text", "\n", -1)).withColumn("_n", F.size("_parts"))
+    return joined.select(*[F.col(c) for c in docs.columns], "_n", F.coalesce(F.size("_gone"), F.lit(0)).alias("_dropped"), kept.alias("_kept"))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
+    """One row per input row: doc_id, n_lines, n_dropped, kept (the text without the
+    dropped lines). A line is dropped if its key has at least ``min_chars`` code
+    points and occurs in at least ``min_docs`` documents, except in the smallest
+    doc_id that holds it."""
+    found = _reassembled(docs.select("doc_id", "text"), min_chars, min_docs)
+    return found.select("doc_id", F.col("_n").cast("long").alias("n_lines"), F.col("_dropped").cast("long").alias("n_dropped"), F.col("_kept").alias("kept"))
+
+
+def drop_repeated_lines(docs: DataFrame, min_left: float = 0.15) -> DataFrame:
+    """The rows of docs with text (and n_chars, if there) as the lines left make it.
+    Rows that lost lines go if less than ``min_left`` of their characters are left:
+    what remains of a copy then are lines too short to be judged."""
+    found = _reassembled(docs, 10, 2)
+    stays = (F.col("_dropped") == 0) | (F.length("_kept") >= F.greatest(F.lit(1.0), min_left * F.length("text")))
+    new = {"text": F.when(F.col("_dropped") > 0, F.col("_kept")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_dropped") > 0, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
+    return found.where(stays).withColumns(new).select(*docs.columns)

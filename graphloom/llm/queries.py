@@ -80,7 +80,7 @@ FROM marked GROUP BY doc_id, text
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), words=4, max_bits=4)
+    return near_duplicates(documents(spark, sf_dir), words=4, max_bits=4).select("doc_id", "fingerprint", "component_id")
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,42 +1,47 @@
 """SimHash near-dedup with pivot distance tables.
 
-A fingerprint of 64 bits is the majority vote over the hashes of a text's shingles.
+A fingerprint is the majority vote, bit by bit, over the hashes of a text's shingles.
 Equal fingerprints are one class, found by a plain aggregate, so copies never pair up.
-
-Two fingerprints within ``max_bits`` differ in at most ``max_bits`` of max_bits + 2
-blocks of bits, so they agree in two whole blocks: each class is listed once for each
-pair of blocks, and only classes that agree there can meet. Each class carries its
-table of Hamming distances to fixed reference fingerprints (pivots); by the triangle
-inequality, a pair whose distances to any pivot differ by more than ``max_bits`` is
-discarded, and the survivors are verified by their own distance.
-
-Classes that meet are compared in cells of bounded size: a list longer than
-``CELL_ROWS`` is split into chunks by hash, and each pair of chunks is a cell. A cell
-returns a spanning star of each of its linked groups, not its pairs, so a list of n
-classes yields at most n links a cell. Components are then joined by repeated label
-minimum and pointer jumping over tables in the shared folder.
-
-Defined results: a text without words has fingerprint zero. Rows with a null doc_id
-are linked like others but never name a component unless all its rows are so (then
+A class is listed under some keys made of its bits, and only classes that share a key
+meet. Two ways to choose keys:
+
+* blocks (``samples=0``): two fingerprints within ``max_bits`` agree in two whole
+  blocks of max_bits + 2; a key for each pair of blocks loses no link.
+* samples: ``samples`` tables of ``SAMPLE_BITS`` bits each, for radii at which whole
+  blocks would be too short. Recall is a matter of chance, and high: with 40 tables,
+  two texts that share 80 % of their shingles meet with probability 0.95.
+
+Classes that meet are compared in cells. A cell holds the distance table of its
+fingerprints to fixed reference fingerprints (pivots): by the triangle inequality, a
+pair whose distances to any pivot differ by more than ``max_bits`` is discarded, and
+the survivors are verified by their own distance. A list longer than ``CELL_ROWS`` is
+split into chunks by hash, and each pair of chunks is a cell, so cells are bounded. A
+cell returns a spanning star of each of its linked groups, not its pairs. Components
+are joined by repeated label minimum and pointer jumping over tables in the shared
+folder.
+
+Defined results: a text without words has fingerprint zero and is linked like any
+other. Rows with a null doc_id never name a component unless all its rows are so (then
 null). One output row per input row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import saved, ship
+from graphloom.llm.substring_dedup import mixed
 
-BITS = 64
 CELL_ROWS = 1024
 PIVOTS = 16
+SAMPLE_BITS = 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -54,61 +59,87 @@ def shingle_hashes(text: str, words: int, seed: int = 42) -> list[int]:
     return [digest(line[a:b], seed) for a, b in zip(starts[: len(parts) - words + 1].tolist(), (ends[words - 1 :] - 1).tolist(), strict=True)]
 
 
-def fingerprint(text: str, words: int) -> int:
-    """A bit is 1 if it is set in over half of the hashes."""
+def fingerprint(text: str, words: int, bits: int = 64) -> bytes:
+    """A bit is 1 if it is set in over half of the hashes; big-endian. Bits beyond 64
+    are those of further hashes made from the first."""
     hashes = np.array(shingle_hashes(text, words), np.uint64)
-    if not len(hashes):
-        return 0
-    votes = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        votes += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    out = b""
+    for word in range(bits // 64):
+        more = mixed(hashes + np.uint64(0x9E3779B97F4A7C15) * np.uint64(word)) if word else hashes
+        votes = np.zeros(64, np.int64)
+        for at in range(0, len(more), 1 << 16):
+            votes += np.unpackbits(more[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out += np.packbits(votes * 2 > max(1, len(more)), bitorder="little").tobytes()[::-1]
+    return out
+
+
+def fingerprints(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """doc_id, t (hash of the text) and fp."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(x or "", words) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            values = [fingerprint(x or "", words, bits) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.binary())], ["doc_id", "t", "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, t long, fp binary")
 
 
-def pivots(n: int = PIVOTS) -> list[int]:
-    """Reference fingerprints: hashes of their numbers, as signed longs."""
-    values = [xxhash.xxh64_intdigest(f"pivot {i}", 42) for i in range(n)]
-    return [x - 2**64 if x >= 2**63 else x for x in values]
+def as_words(fps: list[bytes]) -> np.ndarray:
+    """Fingerprints x 64-bit words, the last word first."""
+    return np.frombuffer(b"".join(fps), ">u8").reshape(len(fps), -1)[:, ::-1].astype(np.uint64)
 
 
-def block_keys(fp: Column, max_bits: int) -> Column:
-    """For each pair of the max_bits + 2 blocks, the pair's number and the bits in it."""
+def block_keys(bits: int, max_bits: int) -> Callable[[np.ndarray], np.ndarray]:
+    """For each pair of the max_bits + 2 blocks of a 64-bit fingerprint, the bits in it."""
+    if bits != 64:
+        raise ValueError("blocks are for fingerprints of 64 bits")
     n = max_bits + 2
-    edges = [BITS * i // n for i in range(n + 1)]
-    keys = []
-    for number, (i, j) in enumerate(combinations(range(n), 2)):
-        mask = sum(1 << b for k in (i, j) for b in range(edges[k], edges[k + 1]))
-        mask -= 2**64 if mask >= 2**63 else 0
-        keys.append(F.struct(F.lit(number).alias("table"), fp.bitwiseAND(F.lit(mask)).alias("bits")))
-    return F.array(*keys)
+    edges = [bits * i // n for i in range(n + 1)]
+    masks = [sum(1 << b for k in pair for b in range(edges[k], edges[k + 1])) for pair in combinations(range(n), 2)]
+    return lambda fps: fps & np.array(masks, np.uint64)
+
+
+def sample_keys(bits: int, samples: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Bits at fixed places, others for each table."""
+    draw = np.random.default_rng(11)
+    places = np.stack([draw.choice(bits, SAMPLE_BITS, replace=False) for _ in range(samples)])
+
+    def keys(fps: np.ndarray) -> np.ndarray:
+        each = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+        return (each[:, places].astype(np.uint64) << np.arange(SAMPLE_BITS, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+
+    return keys
+
 
+def pivots(words: int, n: int = PIVOTS) -> np.ndarray:
+    """Reference fingerprints: hashes of their numbers."""
+    return np.array([[xxhash.xxh64_intdigest(f"pivot {i} {w}", 42) for w in range(words)] for i in range(n)], np.uint64)
 
-def cell_links(fps: np.ndarray, tables: np.ndarray, max_bits: int) -> np.ndarray:
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+
+
+def cell_links(fps: np.ndarray, max_bits: int, references: np.ndarray) -> np.ndarray:
     """For each fingerprint of a cell, the index of the smallest of its linked group."""
     n = len(fps)
+    table = distances(fps[:, None, :], references[None, :, :])
     near = np.ones((n, n), bool)
-    for column in range(min(4, tables.shape[1])):  # whole rows at once, while most pairs are still there
-        d = tables[:, column].astype(np.int16)
+    for column in range(min(4, table.shape[1])):  # whole rows at once, while most pairs are still there
+        d = table[:, column]
         near &= np.abs(d[:, None] - d[None, :]) <= max_bits
     rows, cols = np.nonzero(np.triu(near, 1))
-    if len(rows):
-        far = np.abs(tables[rows].astype(np.int16) - tables[cols]).max(axis=1) > max_bits
-        rows, cols = rows[~far], cols[~far]
-        use = np.bitwise_count(fps[rows] ^ fps[cols]) <= max_bits
-        rows, cols = rows[use], cols[use]
     label = np.arange(n)
+    linked = []
+    for at in range(0, len(rows), 1 << 18):
+        r, c = rows[at : at + (1 << 18)], cols[at : at + (1 << 18)]
+        use = np.abs(table[r] - table[c]).max(axis=1) <= max_bits
+        r, c = r[use], c[use]
+        use = distances(fps[r], fps[c]) <= max_bits
+        linked.append((r[use], c[use]))
+    rows, cols = (np.concatenate(x) for x in zip(*linked, strict=True)) if linked else (rows, cols)
     while len(rows):
         low = np.minimum(label[rows], label[cols])
         new = label.copy()
@@ -121,44 +152,54 @@ def cell_links(fps: np.ndarray, tables: np.ndarray, max_bits: int) -> np.ndarray
     return label
 
 
-def links(classes: DataFrame, max_bits: int) -> DataFrame:
-    """u, v: links that connect whatever lies within ``max_bits``, among distinct fp."""
-    keyed = classes.select("fp", F.explode(block_keys(F.col("fp"), max_bits)).alias("_k")).select("fp", "_k.table", "_k.bits")
+def links(classes: DataFrame, max_bits: int, keys: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """u, v: links that connect what lies within ``max_bits`` and shares a key, among distinct fp."""
+
+    def list_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = keys(as_words(batch.column(0).to_pylist()))
+            n, tables = found.shape
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(np.ascontiguousarray(found).view(np.int64).ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(n), tables)))],
+                ["table", "bits", "fp"],
+            )
+
+    keyed = classes.select("fp").mapInArrow(list_keys, "table int, bits long, fp binary")
+    # a written table, so that both sides of the join are plain exchanges and hot keys can be split
     met = saved(keyed.groupBy("table", "bits").agg(F.count("fp").alias("_n")).where(F.col("_n") > 1), "met")
     chunks = F.ceil(F.col("_n") / CELL_ROWS).cast("int")
     members = keyed.join(met, ["table", "bits"]).withColumn("_s", chunks).withColumn("_c", F.pmod(F.xxhash64("fp"), F.col("_s")).cast("int"))
     others = F.when(F.col("_s") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("_s") - 1), lambda j: j != F.col("_c")))
-    table = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("tinyint") for p in pivots()])
     cells = (
         members.withColumn("_o", F.explode(others))
         .groupBy("table", "bits", F.least("_c", "_o").alias("_a"), F.greatest("_c", "_o").alias("_b"))
-        .agg(F.collect_list(F.struct("fp", table.alias("pivots"))).alias("cell"))
-        .select("cell.fp", F.flatten("cell.pivots").alias("pivots"))
+        .agg(F.collect_list("fp").alias("cell"))
+        .select("cell")
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        references = None
         for batch in batches:
-            values = batch.column(0).values.to_numpy(zero_copy_only=False).view(np.uint64)
-            tables = batch.column(1).values.to_numpy(zero_copy_only=False).reshape(-1, PIVOTS)
-            ends = np.asarray(batch.column(0).offsets)
-            base = ends[0]
             u, v = [], []
-            for a, b in zip((ends[:-1] - base).tolist(), (ends[1:] - base).tolist(), strict=True):
-                a, b = a + base, b + base
-                if b - a == 2:
-                    if np.abs(tables[a].astype(np.int16) - tables[a + 1]).max() <= max_bits and int(values[a] ^ values[a + 1]).bit_count() <= max_bits:
-                        u.append(values[a : a + 1])
-                        v.append(values[a + 1 : b])
+            for cell in batch.column(0).to_pylist():
+                if len(cell) == 2 and len(cell[0]) == 8:
+                    if (int.from_bytes(cell[0]) ^ int.from_bytes(cell[1])).bit_count() <= max_bits:
+                        u.append(cell[0])
+                        v.append(cell[1])
                     continue
-                label = cell_links(values[a:b], tables[a:b], max_bits)
-                moved = np.nonzero(label != np.arange(b - a))[0]
-                if len(moved):
-                    u.append(values[a:b][label[moved]])
-                    v.append(values[a:b][moved])
+                fps = as_words(cell)
+                if references is None:
+                    references = pivots(fps.shape[1])
+                label = cell_links(fps, max_bits, references)
+                for i in np.nonzero(label != np.arange(len(cell)))[0].tolist():
+                    u.append(cell[label[i]])
+                    v.append(cell[i])
             if u:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (u, v)], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
 
-    return cells.mapInArrow(run, "u long, v long")
+    return cells.mapInArrow(compare, "u binary, v binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -176,13 +217,22 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id, the smallest doc_id
-    reachable over links of at most ``max_bits`` differing bits."""
-    fps = saved(fingerprints(docs, words), "fingerprints")
+def near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 4, bits: int = 64, samples: int = 0) -> DataFrame:
+    """doc_id, t (hash of the text), fingerprint (hexadecimal digits) and component_id,
+    the smallest doc_id reachable over links of at most ``max_bits`` differing bits."""
+    keys = sample_keys(bits, samples) if samples else block_keys(bits, max_bits)
+    fps = saved(fingerprints(docs, words, bits), "fingerprints")
     classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    groups = components(links(classes.select("fp"), max_bits))
+    groups = components(links(classes, max_bits, keys))
     named = groups.join(classes.withColumnRenamed("fp", "node"), "node").groupBy("label").agg(F.min("first").alias("least"))
     named = groups.join(named, "label").select(F.col("node").alias("fp"), "least")
     owner = saved(classes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "owners")
-    return fps.join(owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(owner, "fp").select("doc_id", "t", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def near_dedup(docs: DataFrame, words: int = 5, max_bits: int = 23, bits: int = 128, samples: int = 40) -> DataFrame:
+    """The rows of docs without all but the smallest doc_id of each component. By
+    default two texts are linked if about 80 % of their five-word shingles agree."""
+    found = near_duplicates(docs, words, max_bits, bits, samples)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d"), F.col("t").alias("_h")).hint("shuffle_hash")
+    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left_semi")
