@@ -40,9 +40,10 @@ def draw(seed: str, doc_id: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], ratio: float, cap: int) -> DataFrame:
-    """_source, source_size, target: water filling in closed form. Sources sorted by
-    cap * size / weight fill up in that order; ``level`` is the words per weight that
-    the sources not yet full would get if those before are full."""
+    """_source, source_size, target: water filling in closed form. Sources fill up in
+    the order of cap * size / weight; ``_level`` is the words per weight that a source
+    and those after it get if those before it are full. It rises up to the first source
+    that does not fill up and falls after it, so the level of the mix is the largest."""
     per = sizes.groupBy("_source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("_source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("_rank") % len(weights)).cast("int") + 1)
@@ -58,9 +59,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], ratio: float, cap:
         .withColumn("_wleft", F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(before), zero))
         .withColumn("_level", F.col("_left") / F.col("_wleft"))
     )
-    level = F.min(F.when(F.col("_fill") >= F.col("_level"), F.col("_level"))).over(everything)
-    target = F.least(F.col("_full").cast("double"), F.col("_w") * F.coalesce(F.col("_final"), F.col("_fill")))
-    return per.withColumn("_final", level).select("_source", "source_size", target.cast("double").alias("target"))
+    target = F.least(F.col("_full").cast("double"), F.col("_w") * F.col("_final"))
+    return per.withColumn("_final", F.max("_level").over(everything)).select("_source", "source_size", target.cast("double").alias("target"))
 
 
 def _ranked(df: DataFrame) -> DataFrame:

@@ -106,12 +106,12 @@ per AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1 AS rank FROM docs GROUP BY source),
 weighed AS (SELECT *, [5, 2, 1][rank % 3 + 1]::BIGINT AS w, source_size * 3 AS cap FROM per),
 filled AS (
-  SELECT *, cap::DOUBLE / w AS fill,
+  SELECT *,
     (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER b, 0)::DOUBLE AS rest,
     (sum(w) OVER () - coalesce(sum(w) OVER b, 0))::DOUBLE AS wrest
   FROM weighed WINDOW b AS (ORDER BY cap::DOUBLE / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-levels AS (SELECT *, min(CASE WHEN fill >= rest / wrest THEN rest / wrest END) OVER () AS level FROM filled),
-targets AS (SELECT source, source_size, least(cap::DOUBLE, w * coalesce(level, fill)) AS target FROM levels),
+levels AS (SELECT *, max(rest / wrest) OVER () AS level FROM filled),
+targets AS (SELECT source, source_size, least(cap::DOUBLE, w * level) AS target FROM levels),
 joined AS (
   SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS f
   FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),

@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, max_bits: int = 4, bits: in
     return fps.join(owner, "fp").select("doc_id", "t", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, words: int = 5, max_bits: int = 23, bits: int = 128, samples: int = 40) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, max_bits: int = 25, bits: int = 128, samples: int = 40) -> DataFrame:
     """The rows of docs without all but the smallest doc_id of each component. By
     default two texts are linked if about 80 % of their five-word shingles agree."""
     found = near_duplicates(docs, words, max_bits, bits, samples)
