@@ -42,7 +42,7 @@ def package_json(files: DataFrame) -> DataFrame:
 
 
 def _lines(files: DataFrame, named: Column) -> DataFrame:
-    return files.where(named).select("path", F.posexplode(F.split("content", r"\r?\n")).alias("at", "line")).withColumn("line", F.trim("line"))
+    return files.where(named).select("path", F.posexplode(F.split("content", r"\r?\n")).alias("at", "line")).withColumn("line", F.btrim("line", F.lit(" \t\r")))
 
 
 def _sections(lines: DataFrame, header: str) -> DataFrame:

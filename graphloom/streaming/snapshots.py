@@ -3,10 +3,12 @@ part of the graph, and Parquet snapshots with a pointer to the current one."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphloom.operators.store_ops import delete_scope
 
@@ -34,7 +36,10 @@ class SnapshotStore:
         at = self.current()
         if at is None:
             return None
-        return self.spark.read.parquet(f"{self.root}/{at}/nodes"), self.spark.read.parquet(f"{self.root}/{at}/edges")
+        # a table without rows has no files to tell its columns
+        kept = {r["name"]: StructType.fromJson(json.loads(r["schema"])) for r in self.spark.read.json(f"{self.root}/{at}/schemas", "name string, schema string").collect()}
+        one, two = (self.spark.read.schema(kept[t]).parquet(f"{self.root}/{at}/{t}").select(*kept[t].names) for t in ("nodes", "edges"))
+        return one, two
 
     def publish(self, nodes: DataFrame, edges: DataFrame) -> str:
         last = self.current()
@@ -42,6 +47,8 @@ class SnapshotStore:
         name = f"{number:010d}-{uuid.uuid4().hex[:8]}"
         nodes.write.partitionBy("type").parquet(f"{self.root}/{name}/nodes")
         edges.write.partitionBy("type").parquet(f"{self.root}/{name}/edges")
+        schemas = [("nodes", nodes.schema.json()), ("edges", edges.schema.json())]
+        self.spark.createDataFrame(schemas, "name string, schema string").coalesce(1).write.json(f"{self.root}/{name}/schemas")
         # one small file for each snapshot; the largest name is the current one
         self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/{POINTER}")
         return name
