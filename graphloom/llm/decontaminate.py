@@ -37,10 +37,12 @@ from graphloom.llm.substring_dedup import CHUNK_BYTES, Words
 
 BUCKET_BITS = 18
 RANK, OVERSAMPLE, ROUNDS = 256, 16, 2
-PASSAGE_WORDS, STRIDE, MIN_WORDS = 32, 8, 8
+PASSAGE_WORDS, STRIDE, MIN_WORDS = 32, 12, 8
 BLOCK_ITEMS = 400
 #: Cosine (and bound) for candidates; shares of an item for a hit.
-CANDIDATE, STRONG, WEAK, ANSWER = 0.3, 0.75, 0.5, 0.5
+CANDIDATE, STRONG, WEAK, ANSWER = 0.4, 0.75, 0.5, 0.5
+#: Words with less IDF have no part in the retrieval.
+MIN_IDF = 3.0
 HITS = "array<struct<item_id:long,share:double,answer:double>>"
 _SHIFT = np.uint64(64 - BUCKET_BITS)
 _CLEAN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
@@ -69,23 +71,27 @@ def chunked(texts: list[str | None]) -> Iterator[Words]:
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """IDF by bucket over all texts. Each task hands on one count for each bucket it met."""
+    """IDF by bucket over the passages of all texts: passages are so short that a word's
+    occurrences are the passages it is in. Each task hands on one count a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(1 << BUCKET_BITS, np.int64), 0
+        count = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
             for words in chunked(batch.column(0).to_pylist()):
-                each = np.unique(words.text.astype(np.int64) << BUCKET_BITS | buckets(words.hash))
-                df += np.bincount(each & ((1 << BUCKET_BITS) - 1), minlength=len(df))
-            n += batch.num_rows
-        used = np.nonzero(df)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(df[used], n))], ["bucket", "n"])
+                count += np.bincount(buckets(words.hash), minlength=len(count))
+        used = np.nonzero(count)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(count[used])], ["bucket", "n"])
 
     rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    bucket, n = rows["bucket"].to_numpy(), rows["n"].to_numpy()
-    df = np.zeros(1 << BUCKET_BITS)
-    df[bucket[bucket >= 0]] = n[bucket >= 0]
-    return np.log((n[bucket < 0].sum() + 1) / (df + 1)).clip(0.01).astype(np.float32)
+    count = np.zeros(1 << BUCKET_BITS)
+    count[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    return np.log((count.sum() / PASSAGE_WORDS + 2) / (count + 1)).clip(0.01).astype(np.float32)
+
+
+def weights_of(idf: np.ndarray) -> np.ndarray:
+    """What a word weighs in a passage: IDF squared, so that rare words tell passages
+    apart; words that most passages hold weigh nothing."""
+    return np.where(idf >= MIN_IDF, idf.astype(np.float64) ** 2, 0.0)
 
 
 @dataclass
@@ -101,7 +107,7 @@ class Block:
     items: list[Item]
     owner: np.ndarray  # the item of each passage
     passages: np.ndarray  # unit vectors, projected
-    vocabulary: np.ndarray  # buckets with a latent row, ascending
+    vocabulary: np.ndarray  # hashes of the words with a latent row, ascending
     rows: np.ndarray  # latent rows of the vocabulary
 
 
@@ -160,14 +166,14 @@ def load_block(items: DataFrame, idf: np.ndarray) -> Block | None:
             found.append(Item(r["item_id"], words))
     if not found:
         return None
-    vocabulary = np.unique(np.concatenate([buckets(x.words) for x in found]))
+    vocabulary = np.unique(np.concatenate([x.words for x in found]))
     owner, lists = [], []
     for i, item in enumerate(found):
         for part in cut(item.words):
             owner.append(i)
-            at, times = np.unique(np.searchsorted(vocabulary, buckets(part)), return_counts=True)
-            w = times * idf[vocabulary[at]].astype(float)
-            lists.append((at, w / np.linalg.norm(w)))
+            at, times = np.unique(np.searchsorted(vocabulary, part), return_counts=True)
+            w = times * weights_of(idf[buckets(vocabulary[at])])
+            lists.append((at, w / (np.linalg.norm(w) or 1)))
     matrix = spark.createDataFrame([(a.tolist(), w.tolist()) for a, w in lists], "at array<int>, w array<double>").repartition(4)
     rows = randomised_svd(matrix, vocabulary)
     passages = np.stack([(w[:, None] * rows[a]).sum(axis=0) for a, w in lists])
@@ -191,9 +197,17 @@ def search(block: Block, idf: np.ndarray, words: Words) -> list[list[tuple]]:
     if not n:
         return out
     b = buckets(words.hash)
-    weight = idf[b].astype(np.float64)
-    place = np.minimum(np.searchsorted(block.vocabulary, b), len(block.vocabulary) - 1)
-    known = block.vocabulary[place] == b
+    weight = weights_of(idf[b])
+    # few words share a bucket with one of the benchmark's; only those are looked up
+    maybe = np.zeros(1 << BUCKET_BITS, bool)
+    maybe[buckets(block.vocabulary)] = True
+    near = np.nonzero(maybe[b])[0]
+    at = np.minimum(np.searchsorted(block.vocabulary, words.hash[near]), len(block.vocabulary) - 1)
+    hit = (block.vocabulary[at] == words.hash[near]) & (weight[near] > 0)
+    known, place = np.zeros(n, bool), np.zeros(n, np.int64)
+    known[near[hit]] = True
+    place[near[hit]] = at[hit]
+    where = np.nonzero(known)[0]
     all_sum = np.concatenate([[0], np.cumsum(weight**2)])
     known_sum = np.concatenate([[0], np.cumsum(np.where(known, weight**2, 0))])
     begin = np.arange(0, n, STRIDE)
@@ -201,14 +215,14 @@ def search(block: Block, idf: np.ndarray, words: Words) -> list[list[tuple]]:
     begin = np.unique(np.concatenate([begin, words.first[:-1][words.first[:-1] < n]]))
     end = np.minimum(begin + PASSAGE_WORDS, words.first[words.text[begin] + 1])
     whole, part = all_sum[end] - all_sum[begin], known_sum[end] - known_sum[begin]
-    alive = np.nonzero(part >= CANDIDATE**2 * whole)[0]
+    alive = np.nonzero((part >= CANDIDATE**2 * whole) & (part > 0))[0]
     pairs: dict[tuple[int, int], list[int]] = {}
-    for at in range(0, len(alive), 2048):
-        some = alive[at : at + 2048]
-        latent = np.zeros((len(some), block.rows.shape[1]), np.float32)
-        for i, (s, e) in enumerate(zip(begin[some], end[some], strict=True)):
-            use = np.nonzero(known[s:e])[0] + s
-            latent[i] = (weight[use, None] * block.rows[place[use]]).sum(axis=0)
+    for low in range(0, len(alive), 2048):
+        some = alive[low : low + 2048]
+        first, last = np.searchsorted(where, begin[some]), np.searchsorted(where, end[some])
+        count = last - first  # known words of each window, one at least
+        use = where[np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
+        latent = np.add.reduceat(block.rows[place[use]] * weight[use, None].astype(np.float32), np.cumsum(count) - count, axis=0)
         cosine = latent @ block.passages.T / np.sqrt(whole[some])[:, None]
         w, p = np.nonzero(cosine >= CANDIDATE)
         for i, j in zip(some[w].tolist(), block.owner[p].tolist(), strict=True):
@@ -230,6 +244,8 @@ def search(block: Block, idf: np.ndarray, words: Words) -> list[list[tuple]]:
             region[1] = s
         for a, z in [*regions, region]:
             doc = words.hash[max(low, a - reach) : min(high, z + PASSAGE_WORDS + reach)]
+            if own[np.isin(item, doc)].sum() < WEAK * own.sum():
+                continue
             share = common_weight(item, own, doc) / own.sum()
             if share >= WEAK:
                 best = max(best, (share, common_weight(item[-tail:], own[-tail:], doc) / own[-tail:].sum()))
