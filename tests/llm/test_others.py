@@ -201,6 +201,13 @@ def test_language_model_scores(spark):
     assert lm.score_texts(texts(spark, []), F.lit(True)).collect() == []
 
 
+def test_frequent_tokens_are_the_upper_bins(spark):
+    counts = spark.createDataFrame([(f"w{i}", c) for i, c in enumerate([50, 20, 20, 5, 1, 1, 1])], "word string, c long")
+    words, n = lm.frequent_tokens(counts, 4)
+    assert words == ["w0", "w1", "w2", "w3"] and n.tolist() == [50, 20, 20, 5]
+    assert lm.frequent_tokens(counts, 2)[0] == ["w0"] and lm.frequent_tokens(counts, 0)[0] == []
+
+
 def test_language_model_probabilities_sum_to_one():
     words = [lm.END, *(f"w{i}" for i in range(40))]
     vocabulary = lm.Vocabulary(words, np.arange(41, 0, -1), 1000, 60)
