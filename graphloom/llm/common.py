@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -45,12 +47,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_written() -> None:
+    """Intermediate tables live as long as the driver: results are lazy and may read them."""
+    for spark, path in _written:
+        with contextlib.suppress(Exception):  # the session may be gone
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs start from the
     files, whatever executors are lost, and the lineage above is cut."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

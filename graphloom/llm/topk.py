@@ -120,7 +120,8 @@ def top_k(vectors: DataFrame, k: int = 20, query_mod: int = 20, scale: int = 64,
     ship(spark)
     whole = saved(integer_vectors(vectors, scale), "topk-vectors")
     blocks = saved(pack(whole, BLOCK_ROWS), "topk-blocks")
-    queries = saved(pack(whole.where(F.col("vec_id") % query_mod == 0).coalesce(max(1, whole.rdd.getNumPartitions() // 8)), QUERY_ROWS), "topk-queries")
+    asked = whole.where(F.col("vec_id") % query_mod == 0)
+    queries = saved(pack(asked.repartition(max(1, asked.count() // (4 * QUERY_ROWS)), "vec_id"), QUERY_ROWS), "topk-queries")
     lanes = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.count()))
     lane = F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")
     left = blocks.select(lane.alias("lane"), *[F.col(c).alias(f"b_{c}") for c in ("n", "dim", "ids", "data")])
