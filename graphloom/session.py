@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -30,9 +32,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_written() -> None:
+    """Intermediate tables live as long as the driver: results are lazy and may read them."""
+    for spark, path in _written:
+        with contextlib.suppress(Exception):  # the session may be gone
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df, written to the shared folder and read back, so that loops have short lineages
     and lost executors cost no recomputation."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
