@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark items are cut into passages of about ``PASSAGE_WORDS`` words and weighed by
-TF-IDF over hashed words, with document frequencies of the whole corpus. A distributed
+TF-IDF (IDF squared), with passage frequencies of the whole corpus. A distributed
 randomised SVD of that matrix (a Spark job for each round of subspace iteration) gives
 the latent space. Windows of that length, ``STRIDE`` words apart, cover each document;
 a window whose words in the benchmark's vocabulary weigh too little for any passage is
