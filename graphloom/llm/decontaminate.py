@@ -11,9 +11,10 @@ of item and document, weighed by IDF, and the share of the item's answer (its la
 quarter) in it. A document holds an item if ``STRONG`` of it is there, or ``WEAK`` with
 at least half of the answer, so paraphrases that keep most words are found.
 
-The benchmark is read in blocks of at most ``BLOCK_ITEMS`` items, by hash; what is
-broadcast (a block's passages and the latent rows of its words) is bounded by that.
-Documents are neither shuffled nor joined.
+The benchmark is read in blocks of about ``BLOCK_PASSAGES`` passages, by hash of the
+item; what is broadcast (a block's passages and the latent rows of its words) is bounded
+by that and by the longest item. The latent space of a block has a direction for each of
+its passages, so that none of them falls out of it. Documents are not joined.
 
 Defined results: null and empty texts hold nothing. Items with fewer than ``MIN_WORDS``
 words, which chance could match, are not searched for; repeated items (same item_id and
@@ -36,9 +37,9 @@ from graphloom.llm.common import ship
 from graphloom.llm.substring_dedup import CHUNK_BYTES, Words
 
 BUCKET_BITS = 18
-RANK, OVERSAMPLE, ROUNDS = 256, 16, 2
+OVERSAMPLE, ROUNDS = 16, 2
 PASSAGE_WORDS, STRIDE, MIN_WORDS = 32, 12, 8
-BLOCK_ITEMS = 400
+BLOCK_PASSAGES = 256
 #: Cosine (and bound) for candidates; shares of an item for a hit.
 CANDIDATE, STRONG, WEAK, ANSWER = 0.4, 0.75, 0.5, 0.5
 #: Words with less IDF have no part in the retrieval.
@@ -111,9 +112,13 @@ class Block:
     rows: np.ndarray  # latent rows of the vocabulary
 
 
+def passage_count(words: int) -> int:
+    return max(1, round(words / PASSAGE_WORDS))
+
+
 def cut(words: np.ndarray) -> list[np.ndarray]:
     """An item's passages: even parts of about PASSAGE_WORDS words."""
-    return np.array_split(words, max(1, round(len(words) / PASSAGE_WORDS)))
+    return np.array_split(words, passage_count(len(words)))
 
 
 def _row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +130,7 @@ def _row_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["f", "v"])
 
 
-def randomised_svd(matrix: DataFrame, features: np.ndarray, rank: int = RANK, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
+def randomised_svd(matrix: DataFrame, features: np.ndarray, rank: int, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
     """Right singular vectors (features x rank) of a matrix whose rows are arrays ``at``
     (places in features) and ``w``. Each round sums A'(AQ) over the partitions."""
     spark = matrix.sparkSession
@@ -157,7 +162,7 @@ def randomised_svd(matrix: DataFrame, features: np.ndarray, rank: int = RANK, ro
 
 
 def load_block(items: DataFrame, idf: np.ndarray) -> Block | None:
-    """Fit the latent space of a block's passages. ``items``: item_id and text, at most BLOCK_ITEMS or so."""
+    """Fit the latent space of a block's passages. ``items``: item_id and text, about BLOCK_PASSAGES passages."""
     spark = items.sparkSession
     found = []
     for r in items.toLocalIterator():
@@ -175,8 +180,9 @@ def load_block(items: DataFrame, idf: np.ndarray) -> Block | None:
             w = times * weights_of(idf[buckets(vocabulary[at])])
             lists.append((at, w / (np.linalg.norm(w) or 1)))
     matrix = spark.createDataFrame([(a.tolist(), w.tolist()) for a, w in lists], "at array<int>, w array<double>").repartition(4)
-    rows = randomised_svd(matrix, vocabulary)
+    rows = randomised_svd(matrix, vocabulary, len(lists))
     passages = np.stack([(w[:, None] * rows[a]).sum(axis=0) for a, w in lists])
+    passages /= np.linalg.norm(passages, axis=1, keepdims=True).clip(1e-9)
     return Block(found, np.array(owner), passages.astype(np.float32), vocabulary, rows.astype(np.float32))
 
 
@@ -255,9 +261,15 @@ def search(block: Block, idf: np.ndarray, words: Words) -> list[list[tuple]]:
 
 
 def item_blocks(benchmark: DataFrame) -> list[DataFrame]:
-    """The benchmark as blocks of about BLOCK_ITEMS items, by hash."""
+    """The benchmark as blocks of about BLOCK_PASSAGES passages, by hash of the item."""
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([passage_count(len(Words([cleaned(x)]).hash)) for x in batch.column(0).to_pylist()], pa.int64())], ["n"])
+
     clean = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
-    n = max(1, -(-clean.count() // BLOCK_ITEMS))
+    total = clean.select("text").mapInArrow(passages, "n long").agg(F.sum("n")).first()[0] or 0
+    n = max(1, -(-total // BLOCK_PASSAGES))
     return [clean.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else clean for i in range(n)]
 
 

@@ -247,6 +247,20 @@ def test_decontamination_finds_copies_and_paraphrases(spark):
     assert MIN_WORDS == 8
 
 
+def test_decontamination_finds_all_items_of_a_large_benchmark(spark):
+    draw = random.Random(18)
+    words = [f"w{i:04d}" for i in range(3000)]
+    # 400 items of about 1300 passages
+    items = [(i, " ".join(draw.choices(words, k=draw.randint(33, 45) if i < 340 else 500))) for i in range(400)]
+    rows = []
+    for i, item in items[:340]:
+        body = draw.choices(words, k=60)
+        body[30:30] = item.split()
+        rows.append((i, " ".join(body)))
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(texts(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i in range(340)}
+
+
 def test_common_weight_is_the_longest_common_subsequence():
     draw = np.random.default_rng(6)
     for _ in range(20):
