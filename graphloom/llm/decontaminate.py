@@ -5,8 +5,10 @@ TF-IDF (IDF squared), with passage frequencies of the whole corpus. A distribute
 randomised SVD of that matrix (a Spark job for each round of subspace iteration) gives
 the latent space. Windows of that length, ``STRIDE`` words apart, cover each document;
 a window whose words in the benchmark's vocabulary weigh too little for any passage is
-passed over by an exact bound, the others are projected and compared by cosine with
-all passages. Candidates are verified around the window: the longest common subsequence
+passed over by exact bounds, the others are projected and compared by cosine with
+all passages. Copies of a stretch of text count once in the frequencies, so that a passage
+in many documents keeps its weight. Runs of ``SHINGLE_WORDS`` words of an item make a
+candidate too, for items whose words weigh little. Candidates are verified around the window: the longest common subsequence
 of item and document, weighed by IDF, and the share of the item's answer (its last
 quarter) in it. A document holds an item if ``STRONG`` of it is there, or ``WEAK`` with
 at least half of the answer, so paraphrases that keep most words are found.
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import ship
-from graphloom.llm.substring_dedup import CHUNK_BYTES, Words
+from graphloom.llm.substring_dedup import CHUNK_BYTES, Words, mixed
 
 BUCKET_BITS = 18
 OVERSAMPLE, ROUNDS = 16, 2
@@ -42,9 +44,12 @@ PASSAGE_WORDS, STRIDE, MIN_WORDS = 32, 12, 8
 BLOCK_PASSAGES = 256
 #: Cosine (and bound) for candidates; shares of an item for a hit.
 CANDIDATE, STRONG, WEAK, ANSWER = 0.4, 0.75, 0.5, 0.5
-#: Words with less IDF have no part in the retrieval.
-MIN_IDF = 3.0
+#: Mean words of the stretches whose copies count once (a power of two), and how many a task remembers.
+STRETCH_WORDS, SEEN_STRETCHES = 16, 500_000
+#: Words in a row that make a candidate by themselves, whatever they weigh.
+SHINGLE_WORDS = 5
 HITS = "array<struct<item_id:long,share:double,answer:double>>"
+RUN_BASE = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - BUCKET_BITS)
 _CLEAN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
 
@@ -71,19 +76,58 @@ def chunked(texts: list[str | None]) -> Iterator[Words]:
         yield Words(chunk)
 
 
+def stretches(words: Words) -> tuple[np.ndarray, ...]:
+    """The words cut where their content says so, whatever stands around them: hash (the
+    two words before included), start and end of each stretch."""
+    n = len(words.hash)
+    cuts = np.zeros(n + 1, bool)
+    cuts[words.first] = True
+    at = np.arange(max(0, n - 2))
+    at = at[words.text[at] == words.text[at + 2]]
+    cuts[at[words.runs(at, at + 3) & np.uint64(STRETCH_WORDS - 1) == 0] + 3] = True
+    edge = np.nonzero(cuts)[0]
+    start, end = edge[:-1], edge[1:]
+    return words.runs(np.maximum(start - 2, words.first[words.text[start]]), end), start, end
+
+
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """IDF by bucket over the passages of all texts: passages are so short that a word's
-    occurrences are the passages it is in. Each task hands on one count a bucket."""
+    occurrences are the passages it is in. Copies of a stretch of text count once, so a
+    passage that many documents share does not make its own words frequent."""
+    width = np.dtype("<i4").itemsize
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(1 << BUCKET_BITS, np.int64)
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for words in chunked(batch.column(0).to_pylist()):
-                count += np.bincount(buckets(words.hash), minlength=len(count))
+                if not len(words.hash):
+                    continue
+                key, start, end = stretches(words)
+                key, first = np.unique(key, return_index=True)
+                if len(seen) > SEEN_STRETCHES:
+                    seen.clear()
+                new = np.array([k not in seen for k in key.tolist()])
+                seen.update(key.tolist())
+                own, data = buckets(words.hash).astype("<i4").tobytes(), zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array([own[a * width : b * width] for a, b in data], pa.binary())], ["stretch", "words"])
+
+    def count_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(1 << BUCKET_BITS, np.int64)
+        last = None  # rows are in the order of their hashes
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            new = np.append(last is None or key[0] != last, key[1:] != key[:-1])
+            last = key[-1]
+            own = b"".join(batch.column(1).filter(pa.array(new)).to_pylist())
+            count += np.bincount(np.frombuffer(own, "<i4"), minlength=len(count))
         used = np.nonzero(count)[0]
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(count[used])], ["bucket", "n"])
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    cuts = docs.select(F.col("text").cast("string")).mapInArrow(cut_up, "stretch long, words binary")
+    once = cuts.repartition("stretch").sortWithinPartitions("stretch")
+    rows = once.mapInArrow(count_up, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     count = np.zeros(1 << BUCKET_BITS)
     count[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return np.log((count.sum() / PASSAGE_WORDS + 2) / (count + 1)).clip(0.01).astype(np.float32)
@@ -91,8 +135,8 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 def weights_of(idf: np.ndarray) -> np.ndarray:
     """What a word weighs in a passage: IDF squared, so that rare words tell passages
-    apart; words that most passages hold weigh nothing."""
-    return np.where(idf >= MIN_IDF, idf.astype(np.float64) ** 2, 0.0)
+    apart; IDF is positive, so every word weighs something."""
+    return idf.astype(np.float64) ** 2
 
 
 @dataclass
@@ -110,6 +154,9 @@ class Block:
     passages: np.ndarray  # unit vectors, projected
     vocabulary: np.ndarray  # hashes of the words with a latent row, ascending
     rows: np.ndarray  # latent rows of the vocabulary
+    most: np.ndarray  # the largest share of each word in a passage
+    shingles: np.ndarray  # hashes of the items' runs of SHINGLE_WORDS words, ascending
+    holder: np.ndarray  # the item of each shingle
 
 
 def passage_count(words: int) -> int:
@@ -183,7 +230,31 @@ def load_block(items: DataFrame, idf: np.ndarray) -> Block | None:
     rows = randomised_svd(matrix, vocabulary, len(lists))
     passages = np.stack([(w[:, None] * rows[a]).sum(axis=0) for a, w in lists])
     passages /= np.linalg.norm(passages, axis=1, keepdims=True).clip(1e-9)
-    return Block(found, np.array(owner), passages.astype(np.float32), vocabulary, rows.astype(np.float32))
+    most = np.zeros(len(vocabulary))
+    for a, w in lists:
+        most[a] = np.maximum(most[a], w)
+    shingles, holder = item_shingles(found)
+    return Block(found, np.array(owner), passages.astype(np.float32), vocabulary, rows.astype(np.float32), most, shingles, holder)
+
+
+def item_shingles(items: list[Item]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the items' runs of SHINGLE_WORDS words, ascending, and the item of each."""
+    runs, holder = [], []
+    for i, item in enumerate(items):
+        own = np.unique(runs_of(item.words, SHINGLE_WORDS))
+        runs.append(own)
+        holder.append(np.full(len(own), i))
+    order = np.argsort(flat := np.concatenate(runs), kind="stable")
+    return flat[order], np.concatenate(holder)[order]
+
+
+def runs_of(hashes: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the runs of ``length`` words, whatever text they are in."""
+    n = max(0, len(hashes) - length + 1)
+    total = np.zeros(n, np.uint64)
+    for k in range(length):
+        total = mixed(total * RUN_BASE + hashes[k : k + n])
+    return total
 
 
 def common_weight(item: np.ndarray, weight: np.ndarray, doc: np.ndarray) -> float:
@@ -209,7 +280,7 @@ def search(block: Block, idf: np.ndarray, words: Words) -> list[list[tuple]]:
     maybe[buckets(block.vocabulary)] = True
     near = np.nonzero(maybe[b])[0]
     at = np.minimum(np.searchsorted(block.vocabulary, words.hash[near]), len(block.vocabulary) - 1)
-    hit = (block.vocabulary[at] == words.hash[near]) & (weight[near] > 0)
+    hit = block.vocabulary[at] == words.hash[near]
     known, place = np.zeros(n, bool), np.zeros(n, np.int64)
     known[near[hit]] = True
     place[near[hit]] = at[hit]
@@ -221,7 +292,11 @@ def search(block: Block, idf: np.ndarray, words: Words) -> list[list[tuple]]:
     begin = np.unique(np.concatenate([begin, words.first[:-1][words.first[:-1] < n]]))
     end = np.minimum(begin + PASSAGE_WORDS, words.first[words.text[begin] + 1])
     whole, part = all_sum[end] - all_sum[begin], known_sum[end] - known_sum[begin]
-    alive = np.nonzero((part >= CANDIDATE**2 * whole) & (part > 0))[0]
+    # no passage has more of a word than the one that has most of it
+    most = np.zeros(n)
+    most[where] = weight[where] * block.most[place[where]]
+    most = np.concatenate([[0], np.cumsum(most)])
+    alive = np.nonzero((part >= CANDIDATE**2 * whole) & (part > 0) & ((most[end] - most[begin]) * 1.001 >= CANDIDATE * np.sqrt(whole)))[0]
     pairs: dict[tuple[int, int], list[int]] = {}
     for low in range(0, len(alive), 2048):
         some = alive[low : low + 2048]
@@ -233,6 +308,13 @@ def search(block: Block, idf: np.ndarray, words: Words) -> list[list[tuple]]:
         w, p = np.nonzero(cosine >= CANDIDATE)
         for i, j in zip(some[w].tolist(), block.owner[p].tolist(), strict=True):
             pairs.setdefault((int(words.text[begin[i]]), j), []).append(int(begin[i]))
+    runs = runs_of(words.hash, SHINGLE_WORDS)
+    maybe[:] = False
+    maybe[buckets(block.shingles)] = True
+    for i in np.nonzero(maybe[buckets(runs)])[0].tolist():
+        if words.text[i] == words.text[i + SHINGLE_WORDS - 1]:
+            for k in range(np.searchsorted(block.shingles, runs[i]), np.searchsorted(block.shingles, runs[i], "right")):
+                pairs.setdefault((int(words.text[i]), int(block.holder[k])), []).append(i)
     for (text, j), starts in pairs.items():
         item = block.items[j].words
         own = idf[buckets(item)].astype(np.float64)

@@ -261,6 +261,28 @@ def test_decontamination_finds_all_items_of_a_large_benchmark(spark):
     assert got == {(i, i) for i in range(340)}
 
 
+def test_decontamination_finds_an_item_in_a_third_of_short_documents(spark):
+    draw = random.Random(28)
+    words = [f"w{i:04d}" for i in range(3000)]
+    hot = draw.sample(words, 40)
+    common = ["of", "the", "to", "in"]
+    plain = draw.choices(common, k=24)  # frequent words only
+    rows, want = [], set()
+    for i in range(600):
+        body = draw.choices(words, k=30) + draw.choices(common, k=60)
+        draw.shuffle(body)
+        leak = hot if i % 3 == 0 else plain if i % 50 == 1 else []
+        if leak:
+            if leak is hot and i % 6 == 0:
+                leak = [w if k % 6 else f"other{i}x{k}" for k, w in enumerate(leak)]
+            want.add((i, 0 if i % 3 == 0 else 1))
+        at = draw.randint(0, 60)
+        body[at:at] = leak
+        rows.append((i, " ".join(body[at // 2 : at // 2 + 90])))
+    got = {(r["doc_id"], r["item_id"]) for r in contaminated(texts(spark, rows), spark.createDataFrame([(0, " ".join(hot)), (1, " ".join(plain))], "item_id long, text string")).collect()}
+    assert not want - got
+
+
 def test_common_weight_is_the_longest_common_subsequence():
     draw = np.random.default_rng(6)
     for _ in range(20):
