@@ -19,7 +19,7 @@ by that and by the longest item. The latent space of a block has a direction for
 its passages, so that none of them falls out of it. Documents are not joined.
 
 Defined results: null and empty texts hold nothing. Items with fewer than ``MIN_WORDS``
-words, which chance could match, are not searched for; repeated items (same item_id and
+words, of which chance could match a part, are searched for as exact phrases; repeated items (same item_id and
 text) count once. Matching ignores case and ASCII punctuation.
 """
 
@@ -40,10 +40,10 @@ from graphloom.llm.substring_dedup import CHUNK_BYTES, Words, mixed
 
 BUCKET_BITS = 18
 OVERSAMPLE, ROUNDS = 16, 2
-PASSAGE_WORDS, STRIDE, MIN_WORDS = 32, 12, 8
+PASSAGE_WORDS, STRIDE, MIN_WORDS = 32, 8, 8
 BLOCK_PASSAGES = 256
 #: Cosine (and bound) for candidates; shares of an item for a hit.
-CANDIDATE, STRONG, WEAK, ANSWER = 0.4, 0.75, 0.5, 0.5
+CANDIDATE, STRONG, WEAK, ANSWER = 0.3, 0.75, 0.5, 0.5
 #: Mean words of the stretches whose copies count once (a power of two), and how many a task remembers.
 STRETCH_WORDS, SEEN_STRETCHES = 16, 500_000
 #: Words in a row that make a candidate by themselves, whatever they weigh.
@@ -157,6 +157,7 @@ class Block:
     most: np.ndarray  # the largest share of each word in a passage
     shingles: np.ndarray  # hashes of the items' runs of SHINGLE_WORDS words, ascending
     holder: np.ndarray  # the item of each shingle
+    short: list[Item]  # items found as exact phrases only
 
 
 def passage_count(words: int) -> int:
@@ -211,13 +212,14 @@ def randomised_svd(matrix: DataFrame, features: np.ndarray, rank: int, rounds: i
 def load_block(items: DataFrame, idf: np.ndarray) -> Block | None:
     """Fit the latent space of a block's passages. ``items``: item_id and text, about BLOCK_PASSAGES passages."""
     spark = items.sparkSession
-    found = []
+    found, short = [], []
     for r in items.toLocalIterator():
         words = Words([cleaned(r["text"])]).hash
-        if len(words) >= MIN_WORDS:
-            found.append(Item(r["item_id"], words))
+        if len(words):
+            (found if len(words) >= MIN_WORDS else short).append(Item(r["item_id"], words))
     if not found:
-        return None
+        no = np.zeros(0, np.int64)
+        return Block([], no, no, no, no, no, no, no, short) if short else None
     vocabulary = np.unique(np.concatenate([x.words for x in found]))
     owner, lists = [], []
     for i, item in enumerate(found):
@@ -234,7 +236,7 @@ def load_block(items: DataFrame, idf: np.ndarray) -> Block | None:
     for a, w in lists:
         most[a] = np.maximum(most[a], w)
     shingles, holder = item_shingles(found)
-    return Block(found, np.array(owner), passages.astype(np.float32), vocabulary, rows.astype(np.float32), most, shingles, holder)
+    return Block(found, np.array(owner), passages.astype(np.float32), vocabulary, rows.astype(np.float32), most, shingles, holder, short)
 
 
 def item_shingles(items: list[Item]) -> tuple[np.ndarray, np.ndarray]:
@@ -267,12 +269,33 @@ def common_weight(item: np.ndarray, weight: np.ndarray, doc: np.ndarray) -> floa
     return float(best[-1])
 
 
+def phrases(items: list[Item], words: Words) -> set[tuple[int, object]]:
+    """Number of the text and item_id wherever an item stands in a text word for word."""
+    out = set()
+    for length in {len(x.words) for x in items}:
+        own = [x for x in items if len(x.words) == length]
+        keys = np.array([runs_of(x.words, length)[0] for x in own])
+        order = np.argsort(keys, kind="stable")
+        runs = runs_of(words.hash, length)
+        maybe = np.zeros(1 << BUCKET_BITS, bool)
+        maybe[buckets(keys)] = True
+        for i in np.nonzero(maybe[buckets(runs)])[0].tolist():
+            if words.text[i] == words.text[i + length - 1]:
+                for k in range(np.searchsorted(keys, runs[i], sorter=order), np.searchsorted(keys, runs[i], "right", sorter=order)):
+                    out.add((int(words.text[i]), own[order[k]].item_id))
+    return out
+
+
 def search(block: Block, idf: np.ndarray, words: Words) -> list[list[tuple]]:
     """For each text, (item_id, share, answer share) of the items found in it."""
     out: list[list[tuple]] = [[] for _ in range(len(words.first) - 1)]
     n = len(words.hash)
     if not n:
         return out
+    for text, item_id in phrases(block.short, words):
+        out[text].append((item_id, 1.0, 1.0))
+    if not block.items:
+        return [sorted(x) for x in out]
     b = buckets(words.hash)
     weight = weights_of(idf[b])
     # few words share a bucket with one of the benchmark's; only those are looked up

@@ -283,6 +283,13 @@ def test_decontamination_finds_an_item_in_a_third_of_short_documents(spark):
     assert not want - got
 
 
+def test_decontamination_finds_short_items_word_for_word(spark):
+    benchmark = spark.createDataFrame([(0, "Capital of Freedonia?"), (1, "seven short words are one whole item"), (2, "xylem")], "item_id long, text string")
+    rows = [(0, "the capital, of FREEDONIA is far"), (1, "capital of"), (2, "freedonia"), (3, "so seven short words are one whole item."), (4, "seven short words are one item"), (5, "no xylem"), (6, "capital of sylvania")]
+    found = {(r["doc_id"], r["item_id"], r["share"]) for r in contaminated(texts(spark, rows), benchmark).collect()}
+    assert found == {(0, 0, 1.0), (3, 1, 1.0), (5, 2, 1.0)}
+
+
 def test_common_weight_is_the_longest_common_subsequence():
     draw = np.random.default_rng(6)
     for _ in range(20):
