@@ -29,8 +29,10 @@ def line_key(line):
     return F.translate(F.btrim(line, F.lit(SPACES)), _UPPER, _UPPER.lower())
 
 
-def _reassembled(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """The rows of docs with _n (lines), _dropped and _kept (the text without them)."""
+def _reassembled(docs: DataFrame, min_chars: int, min_docs: int, short: bool = False) -> DataFrame:
+    """The rows of docs with _n (lines), _dropped and _kept (the text without them).
+    With ``short``, also _own: the lines that no earlier document holds, whatever their
+    length, blank lines aside."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     rows = docs.withColumns({"_d": doc, "_text": text})
@@ -39,8 +41,8 @@ def _reassembled(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     lines = (
         rows.select("_d", "_t", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
         .select("_d", "_t", "_pos", line_key(F.col("_line")).alias("_key"))
-        .where(F.length("_key") >= min_chars)
-        .select("_d", "_t", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
+        .where(F.length("_key") >= (1 if short else min_chars))
+        .select("_d", "_t", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"), *([(F.length("_key") >= min_chars).alias("_judged")] if short else []))
     )
     if min_docs == 2:
         seen = lines.groupBy("_h1", "_h2").agg(F.min("_d").alias("_first"), F.max("_d").alias("_other"))
@@ -54,13 +56,15 @@ def _reassembled(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
         lines.join(repeated, ["_h1", "_h2"])
         .where(F.col("_d") > F.col("_first"))
         .groupBy("_d", "_t")
-        .agg(F.collect_set("_pos").alias("_gone"))
+        .agg(*([F.collect_set(F.when(F.col("_judged"), F.col("_pos"))).alias("_gone"), F.collect_set("_pos").alias("_held")] if short else [F.collect_set("_pos").alias("_gone")]))
     )
     joined = rows.join(dropped.hint("shuffle_hash"), ["_d", "_t"], "left")
     stay = F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), F.col("_gone"))
     kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_parts"), i)), "\n"))
     joined = joined.withColumn("_parts", F.split("_text", "\n", -1)).withColumn("_n", F.size("_parts"))
-    return joined.select(*[F.col(c) for c in docs.columns], "_n", F.coalesce(F.size("_gone"), F.lit(0)).alias("_dropped"), kept.alias("_kept"))
+    filled = F.filter("_parts", lambda x: F.length(line_key(x)) > 0)
+    own = F.size(filled) - F.coalesce(F.size("_held"), F.lit(0)) if short else None
+    return joined.select(*[F.col(c) for c in docs.columns], "_n", F.coalesce(F.size("_gone"), F.lit(0)).alias("_dropped"), kept.alias("_kept"), *([own.alias("_own")] if short else []))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
@@ -72,12 +76,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
     return found.select("doc_id", F.col("_n").cast("long").alias("n_lines"), F.col("_dropped").cast("long").alias("n_dropped"), F.col("_kept").alias("kept"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_left: float = 0.15) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """The rows of docs with text (and n_chars, if there) as the lines left make it.
-    Rows that lost lines go if less than ``min_left`` of their characters are left:
-    what remains of a copy then are lines too short to be judged."""
-    found = _reassembled(docs, 10, 2)
-    stays = (F.col("_dropped") == 0) | (F.length("_kept") >= F.greatest(F.lit(1.0), min_left * F.length("text")))
+    Rows that lost lines go if nothing of their own is left: every line, those too short
+    to be judged too, is blank or stands in an earlier document."""
+    found = _reassembled(docs, 10, 2, short=True)
+    stays = (F.col("_dropped") == 0) | (F.col("_own") > 0)
     new = {"text": F.when(F.col("_dropped") > 0, F.col("_kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("_dropped") > 0, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))

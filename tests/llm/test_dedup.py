@@ -87,6 +87,13 @@ def test_drop_repeated_lines_keeps_columns_and_clean_rows(spark):
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {0: "some words of a line\nok", 2: "own words " * 9, 3: "clean"}
 
 
+def test_drop_repeated_lines_keeps_what_is_left_of_its_own(spark):
+    licence = "\n".join(f"line {i} of a long licence that many documents share" for i in range(40))
+    docs = table(spark, [(0, licence + "\nend"), (1, licence + "\na line of its own"), (2, licence + "\nown"), (3, licence + "\n end\n\t"), (4, licence + "\nend\nx"), (4, licence + "\nend\nx")])
+    out = sorted((r["doc_id"], r["text"]) for r in drop_repeated_lines(docs).collect())
+    assert out == [(0, licence + "\nend"), (1, "a line of its own"), (2, "own"), (4, "end\nx"), (4, "end\nx")]
+
+
 def simhash_brute_force(text, words):
     parts = [w for w in WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
     if not parts:
