@@ -116,13 +116,19 @@ def forward(edges: tuple[np.ndarray, ...], table: np.ndarray) -> np.ndarray:
     return alpha
 
 
-def word_scores(pieces: Pieces, table: np.ndarray, words: list[str]) -> np.ndarray:
-    """Natural log-probability of each word in each language."""
+def parts_of(words: list[str]) -> tuple[list[str], list[int]]:
+    """The words in parts of at most WORD_CHARS letters, and the word of each part."""
     parts, owner = [], []
     for i, w in enumerate(words):
         for at in range(0, len(w), WORD_CHARS):
             parts.append(w[at : at + WORD_CHARS])
             owner.append(i)
+    return parts, owner
+
+
+def word_scores(pieces: Pieces, table: np.ndarray, words: list[str]) -> np.ndarray:
+    """Natural log-probability of each word in each language."""
+    parts, owner = parts_of(words)
     out = np.zeros((len(words), table.shape[1]))
     order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
     for at in range(0, len(parts), CHUNK_WORDS):
@@ -136,7 +142,9 @@ def word_scores(pieces: Pieces, table: np.ndarray, words: list[str]) -> np.ndarr
 def expected_counts(pieces: Pieces, table: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
     """Expected uses of each piece under a one-language table (pieces x 1)."""
     out = np.zeros(len(pieces.pieces))
-    order = sorted((i for i in range(len(words)) if len(words[i]) <= WORD_CHARS), key=lambda i: len(words[i]))
+    words, owner = parts_of(words)
+    counts = counts[np.array(owner, np.int64)]
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
     for at in range(0, len(order), CHUNK_WORDS):
         some = order[at : at + CHUNK_WORDS]
         word, start, end, piece, size = edges = pieces.edges([words[i] for i in some])

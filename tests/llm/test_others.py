@@ -167,6 +167,16 @@ def test_forward_sums_over_all_segmentations():
     assert n[pieces.pieces.index("▁a")] + n[pieces.pieces.index("▁")] == pytest.approx(1)
 
 
+def test_language_id_learns_from_long_words():
+    pieces = langid.Pieces.of_model(MODEL)
+    table = np.full((len(pieces.pieces), 1), 1 / len(pieces.pieces))
+    long = "▁" + "the" * 30
+    parts = [long[at : at + langid.WORD_CHARS] for at in range(0, len(long), langid.WORD_CHARS)]
+    got = langid.expected_counts(pieces, table, ["▁of", long], np.array([1.0, 3.0]))
+    assert len(parts) > 1 and np.allclose(got, langid.expected_counts(pieces, table, ["▁of", *parts], np.array([1.0] + [3.0] * len(parts))))
+    assert got.sum() > 3 * len(parts)
+
+
 def test_language_id_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", F.lit(1.0).alias("score"))
     odd = spark.createDataFrame([(9001, None, None, 1.0), (9002, "", "en", 1.0), (9003, "123 ###", None, 1.0), (None, "the and of", None, 1.0)], docs.schema)
