@@ -5,10 +5,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
+from graphloom.llm import simhash
 from graphloom.llm.line_dedup import dedup_lines, drop_repeated_lines
-from graphloom.llm.simhash import block_keys, cell_links, components, distances, near_dedup, near_duplicates, pivots
+from graphloom.llm.simhash import block_masks, cell_links, components, distances, fingerprint, near_dedup, near_duplicates, pivots, shared_blocks
 from graphloom.llm.substring_dedup import dedup_substrings
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -136,6 +138,35 @@ def test_simhash_matches_brute_force(spark):
     assert near_duplicates(table(spark, []), 4, 4).collect() == []
 
 
+def test_simhash_with_crowded_keys(spark, monkeypatch):
+    """Lists over many cells: every pair that shares a key is compared or already linked."""
+    monkeypatch.setattr(simhash, "CELL_ROWS", 6)
+    draw = random.Random(8)
+    base = [f"w{draw.randint(0, 900)}" for _ in range(400)]
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for _ in range(i % 12):
+            copy[draw.randrange(400)] = f"x{draw.random()}"
+        rows.append((i, " ".join(copy)))
+    prints = [int(fingerprint(t, 4).hex(), 16) for _, t in rows]
+    near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(table(spark, rows), 4, 4).collect()}
+    assert got == least_of_components(120, near)
+    assert len(set(prints)) > 12
+
+
+def least_of_components(n, linked):
+    """The smallest number of the component of each of n things."""
+    label = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if label[i] != label[j] and linked(i, j):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return dict(enumerate(label))
+
+
 def test_cells_find_all_links_of_dense_groups():
     draw = np.random.default_rng(3)
     fps = draw.integers(0, 2**63, (300, 1)).astype(np.uint64)
@@ -145,7 +176,20 @@ def test_cells_find_all_links_of_dense_groups():
     for i in range(300):
         assert (label[near[i]] == label[i]).all()
     assert len(set(label)) == 100
-    assert block_keys(64, 4)(fps).shape == (300, 15)
+    assert len(block_masks(4, 2)) == 15 and len(block_masks(4, 3)) == 35
+
+
+def test_block_keys_grow_with_the_classes_and_lose_no_link():
+    assert shared_blocks(10**6, 4) == 2 and shared_blocks(10**9, 4) == 3 and shared_blocks(10**11, 4) == 4
+    draw = random.Random(2)
+    for shared in (2, 3, 4):
+        masks = block_masks(4, shared)
+        for _ in range(300):
+            a = draw.getrandbits(64)
+            b = a
+            for at in draw.sample(range(64), 4):
+                b ^= 1 << at
+            assert ((np.uint64(a) & masks) == (np.uint64(b) & masks)).any()
 
 
 def test_components_of_a_long_chain(spark):
@@ -153,18 +197,79 @@ def test_components_of_a_long_chain(spark):
     assert {(r["node"], r["label"]) for r in components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
 
 
-def test_near_dedup_keeps_one_of_each_group(spark):
-    draw = random.Random(9)
+def jaccard(a, b, words=5):
+    def shingles(text):
+        parts = (text or "").lower().split()
+        return {tuple(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))} if parts else set()
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def near_copies(draw, groups=100):
+    """Texts and copies with words replaced, of many lengths and similarities."""
     rows = []
-    for group in range(10):
-        base = [f"g{group}w{draw.randint(0, 5000)}" for _ in range(300)]
-        for j in range(4):
+    for _ in range(groups):
+        base = [f"w{draw.randint(0, 50000)}" for _ in range(draw.choice([6, 12, 40, 120, 300]))]
+        copy = list(base)
+        for _ in range(1 + draw.randint(0, 6) * len(base) // 150):
+            copy[draw.randrange(len(copy))] = f"x{draw.random()}"
+        rows += [" ".join(base), " ".join(copy)]
+    return rows
+
+
+@pytest.mark.parametrize("cell_rows", [1024, 5])
+def test_near_dedup_matches_brute_force(spark, monkeypatch, cell_rows):
+    """Groups by exact similarity. With tiny cells lists go through all levels and many cells."""
+    monkeypatch.setattr(simhash, "CELL_ROWS", cell_rows)
+    draw = random.Random(21)
+    texts = near_copies(draw)
+    base = [f"b{i}" for i in range(120)]
+    for _ in range(60):  # a large group, some of it linked through others only
+        copy = list(base)
+        for _ in range(draw.randint(0, 3)):
+            copy[draw.randrange(120)] = f"x{draw.random()}"
+        texts.append(" ".join(copy))
+    shared = " ".join(f"line{i}" for i in range(60))
+    texts += [f"{shared} " + " ".join(f"own{i}y{k}" for k in range(60)) for i in range(40)]  # a third alike is not near
+    pairs = {(i, j): jaccard(texts[i], texts[j]) for i in range(len(texts)) for j in range(i)}
+    want = least_of_components(len(texts), lambda i, j: pairs[i, j] >= 0.8)
+    kept = {r["doc_id"] for r in near_dedup(table(spark, list(enumerate(texts)))).collect()}
+    # each group has one left, its smallest id; no key is shared with a chance below one in a million
+    assert kept == set(want.values())
+    assert sum(0.8 <= s < 0.9 for s in pairs.values()) > 20 and len(kept) < len(texts) - 60
+
+
+def test_near_dedup_recall_at_80_and_90(spark):
+    """Recall over pairs of one similarity each, against brute force."""
+    draw = random.Random(33)
+    for low, high, least in ((0.8, 0.84, 0.97), (0.9, 0.94, 0.99)):
+        rows, pairs = [], 0
+        while pairs < 150:
+            base = [f"w{draw.randint(0, 50000)}" for _ in range(300)]
             copy = list(base)
-            for _ in range(4 * (j > 0)):  # about 93 % of the shingles stay
+            for _ in range(round(300 * (1 - low) / 9)):
                 copy[draw.randrange(300)] = f"x{draw.random()}"
-            rows.append((len(rows), " ".join(copy)))
-    docs = table(spark, [*rows, (900, "something else")])
+            if low <= jaccard(" ".join(base), " ".join(copy)) < high:
+                rows += [(2 * pairs, " ".join(base)), (2 * pairs + 1, " ".join(copy))]
+                pairs += 1
+        kept = {r["doc_id"] for r in near_dedup(table(spark, rows)).collect()}
+        assert sum(2 * i + 1 not in kept for i in range(pairs)) >= least * pairs
+        assert all(2 * i in kept for i in range(pairs))
+
+
+def test_near_dedup_special_rows(spark):
+    same = " ".join(f"w{i}" for i in range(30))
+    long = " ".join(f"v{i}" for i in range(60_000))
+    rows = [
+        (5, same, "x", 1), (5, same, "y", 1), (3, same.upper().replace("W", "w"), "z", 2), (None, same, "n", 3), (None, None, "n", 4), (7, "", "e", 5), (8, " \t\n", "e", 6),
+        (20, long, "l", 7), (21, long + " end", "l", 8), (30, "a b", "s", 9), (31, "A\nb", "s", 10), (32, "a b c", "s", 11),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string, at int")
     kept = near_dedup(docs)
     assert kept.columns == docs.columns
-    left = {r["doc_id"] for r in kept.collect()}
-    assert left >= {*range(0, 40, 4), 900} and len(left) <= 12  # a sampled key or a far fingerprint may miss a copy
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 7, 20, 30, 32]
+    assert near_dedup(docs.limit(0)).collect() == []
+    repeated = spark.createDataFrame([(1, same, {"k": i}) for i in range(3)], "doc_id long, text string, extra map<string,int>")
+    assert [r["doc_id"] for r in near_dedup(repeated).collect()] == [1]  # rows that agree in id and text are one
+    assert [r["text"] for r in near_dedup(spark.createDataFrame([(None, "one text of five words here"), (None, "one text of five words here")], "doc_id long, text string")).collect()] == ["one text of five words here"]
