@@ -112,13 +112,23 @@ filled AS (
   FROM weighed WINDOW b AS (ORDER BY cap::DOUBLE / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 levels AS (SELECT *, max(rest / wrest) OVER () AS level FROM filled),
 targets AS (SELECT source, source_size, least(cap::DOUBLE, w * level) AS target FROM levels),
+measures AS (SELECT source, length(bin(size)) AS m, sum(size)::BIGINT AS words FROM docs WHERE size > 0 GROUP BY ALL),
+filling AS (
+  SELECT p.source, p.m, p.words, t.target,
+    (t.target - 3 * coalesce(sum(p.words) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+      / (sum(p.m * p.words) OVER (b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS r
+  FROM measures p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+  WINDOW b AS (PARTITION BY p.source ORDER BY p.m DESC)),
+rated AS (SELECT *, max(r) OVER (PARTITION BY source) AS rate FROM filling),
+rates AS (
+  SELECT source, max(rate) AS rate, sum(floor(least(3::DOUBLE, rate * m))::BIGINT * words)::BIGINT AS certain FROM rated GROUP BY source),
 joined AS (
-  SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS f
-  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+  SELECT d.*, t.source_size, t.target, t.target - coalesce(r.certain, 0)::DOUBLE AS rest,
+    least(3::DOUBLE, coalesce(r.rate, 0) * length(bin(d.size))) AS e
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
 odds AS (
-  SELECT *, floor(f)::BIGINT AS whole, f - floor(f)::BIGINT AS pi,
-    target - floor(f)::BIGINT * source_size AS rest,
-    CASE WHEN f - floor(f)::BIGINT > 0 THEN (u / (1 - u)) / ((f - floor(f)::BIGINT) / (1 - (f - floor(f)::BIGINT))) END AS o
+  SELECT *, floor(e)::BIGINT AS whole,
+    CASE WHEN e - floor(e)::BIGINT > 0 AND size > 0 THEN (u / (1 - u)) / ((e - floor(e)::BIGINT) / (1 - (e - floor(e)::BIGINT))) END AS o
   FROM joined),
 ranked AS (SELECT *, floor(o / (1 + o) * 4503599627370496::DOUBLE)::BIGINT AS q FROM odds),
 summed AS (

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import langid, lm
 from graphloom.llm.decontaminate import MIN_WORDS, common_weight, contaminated, decontaminate
-from graphloom.llm.mixing import mix_sources
+from graphloom.llm.mixing import mix_sources, mixed_rows, running
 from graphloom.llm.queries import tokenizer_path
 from graphloom.llm.secrets import labelled_samples, likelihood_ratio, scan, train
 from graphloom.llm.token_counts import PretokenLengths, count_text, count_tokens, frequent_lengths, processor
@@ -113,6 +113,31 @@ def test_mix_comes_near_its_targets(spark):
     again = mix_sources(table(spark, rows).repartition(3)).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, got))
     assert mix_sources(table(spark, [])).collect() == []
+    # certain copies come first, and the draw takes longer documents more often
+    long, short = ([r["copies"] for r in got if r["source"] == "b" and low <= r["size"] < high] for low, high in ((64, 128), (8, 16)))
+    assert sum(long) / len(long) > 1.15 * sum(short) / len(short)
+
+
+def test_mixed_rows_repeat_rows_and_survive_any_column_name(spark):
+    rows = [(i, "word " * (10 + i), "s" if i % 2 else "t", i, {"a": i}, "c", "w", "x") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, target map<string,int>, copy string, words string, row string")
+    got = mixed_rows(docs)
+    assert got.columns == ["doc_id", "text", "source", "size", "target", "row", "copy", "words", "source_target"]
+    want = {r["doc_id"]: r["copies"] for r in mix_sources(docs.select("doc_id", "text", "source")).collect() if r["copies"]}
+    found = got.collect()
+    assert {i: sum(r["doc_id"] == i for r in found) for i in want} == want and len(found) == sum(want.values())
+    assert all(r["size"] == r["doc_id"] and r["words"] == 10 + r["doc_id"] for r in found)
+    assert mixed_rows(docs.limit(0)).collect() == []
+    nulls = spark.createDataFrame([(None, None, None)] * 3, "doc_id long, text string, source string")
+    assert [r["taken"] for r in mix_sources(nulls).collect()] == [0, 0, 0]
+
+
+def test_running_sums_over_many_partitions(spark):
+    draw = random.Random(12)
+    rows = [(f"s{i:04}", draw.randint(0, 9)) for i in range(500)]
+    df = spark.createDataFrame(draw.sample(rows, 500), "name string, n long").repartition(7)
+    got = {r["name"]: (r["_row"], r["before_n"]) for r in running(df, [F.col("name")], ["n"], "test").collect()}
+    assert got == {name: (i, sum(n for _, n in rows[:i])) for i, (name, n) in enumerate(rows)}
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
