@@ -35,7 +35,7 @@ from graphloom.llm.common import saved, ship
 
 SEED_WORDS = 8
 #: Bytes of text hashed at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Odd multipliers of the two polynomial hashes (of bytes in a word, of words in a run).
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xC2B2AE3D27D4EB4F
