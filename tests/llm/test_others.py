@@ -11,13 +11,13 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from graphloom.llm import langid, lm
+from graphloom.llm import langid, lm, topk
 from graphloom.llm.decontaminate import MIN_WORDS, common_weight, contaminated, decontaminate
 from graphloom.llm.mixing import mix_sources, mixed_rows, running
 from graphloom.llm.queries import tokenizer_path
 from graphloom.llm.secrets import labelled_samples, likelihood_ratio, scan, train
 from graphloom.llm.token_counts import PretokenLengths, count_text, count_tokens, frequent_lengths, processor
-from graphloom.llm.topk import top_k
+from graphloom.llm.topk import search_work, top_k
 
 MODEL = tokenizer_path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string, source string, score double, size long, spans string"
@@ -57,20 +57,33 @@ def test_token_cache_is_bounded(monkeypatch):
 
 
 def brute_top_k(rows, k):
-    v = {}
+    v = []
     for i, x in rows:
         if i is None or x is None or any(y is None or not math.isfinite(y) for y in x):
             continue
-        w = [math.floor(64 * y) for y in x]
-        v[i] = min(v.get(i, w), w)
+        v.append((i, [math.floor(64 * y) for y in x]))
     out = []
-    for q in v:
-        if q % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v[q], v[c], strict=False)), c) for c in v if c != q)[:k]
-            out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
+    for q in {i for i, _ in v if i % 20 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(w, x, strict=False)), c) for i, w in v if i == q for c, x in v if c != q)[:k]
+        out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
     return sorted(out)
 
 
+def test_top_k_skips_what_cannot_reach_the_cutoff(spark, monkeypatch):
+    """On clustered vectors most pairs are skipped as blocks, and few of the rest are summed up."""
+    monkeypatch.setattr(topk, "CELL_ROWS", 100)
+    draw = np.random.default_rng(4)
+    centers = draw.normal(size=(20, 32))
+    rows = [(i, (centers[i % 20] + draw.normal(size=32) * 0.15).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows += [(i + 7, x) for i, x in rows[:60]]
+    again = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, top_k(again, k=7).collect())) == brute_top_k(rows, 7)
+    work = search_work(df).first()
+    assert work["pairs"] < 0.3 * 150 * 3000 and work["resolved"] < 0.15 * 150 * 3000
+    assert work["resolved"] >= 150 * 20
+
+
 def test_top_k_matches_brute_force(spark):
     draw = np.random.default_rng(2)
     rows = [(i, draw.normal(size=12).tolist()) for i in range(300)]
