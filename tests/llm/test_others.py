@@ -249,6 +249,70 @@ def test_language_model_scores(spark):
     assert lm.score_texts(texts(spark, []), F.lit(True)).collect() == []
 
 
+def brute_force_scores(rows, learned, rounds):
+    """The model's log10 probabilities, token by token, with plain loops. ``rounds``: of each learned row."""
+    width, buckets, mask = lm.WIDTH, lm.LEAST_BUCKETS, 2**64 - 1
+    m1, m2, m3 = (int(x) for x in (lm._M1, lm._M2, lm._M3))
+    tokens = [[w.decode() for w in (t or "").encode().translate(lm._LOWER).split()] + [lm.END] for _, t in rows]
+    c = Counter(w for t, use in zip(tokens, learned, strict=True) if use for w in t)
+    rank = {w: i for i, (w, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0])))}
+    number = lambda w: rank.get(w, len(rank) + (zlib.crc32(w.encode()) & 0xFFFF))
+    path = lambda i: (i // width**2, i // width % width, i % width)
+    mass = Counter({(width - 1,): 0.5})  # the open class: no token is outside the head here, half a count for the unknown
+    for w, i in rank.items():
+        for level in range(3):
+            mass[path(i)[: level + 1]] += c[w] + 0.5
+    weights = {}
+
+    def softmaxes(before, last, target):
+        a, b = before + 1, last + 1
+        hashed = [a * m1 & mask, (a * m2 & mask ^ b * m3 & mask) * m1 & mask, b * m2 & mask]
+        steps = path(target) if target < len(rank) else (width - 1,)
+        for level, outcome in enumerate(steps):
+            above = steps[:level]
+            node = sum(x * width ** (level - 1 - k) for k, x in enumerate(above))
+            features = [(h + node * 3 + level & mask) * m3 % 2**64 >> 64 - (buckets.bit_length() - 1) for h in hashed]
+            total = sum(mass[(*above, k)] for k in range(width))
+            up = [math.exp(math.log(max(mass[(*above, k)] / total, math.exp(-60))) + sum(weights.get((level, f, k), 0.0) for f in features)) for k in range(width)]
+            yield level, features, outcome, [x / sum(up) for x in up]
+
+    def contexts(words):
+        ids = [len(rank) + 0x10002] * 2 + [number(w) for w in words]
+        return [(ids[k - 1], ids[k - 2], ids[k]) for k in range(2, len(ids))]
+
+    for turn in range(lm.ROUNDS):
+        seen, foreseen = Counter(), Counter()
+        for words, use in zip(tokens, rounds, strict=True):
+            for before, last, target in contexts(words) if use == turn else []:
+                for level, features, outcome, p in softmaxes(before, last, target):
+                    for f in features:
+                        seen[level, f, outcome] += 1
+                        for k in range(width):
+                            foreseen[level, f, k] += p[k]
+        for x, y in foreseen.items():
+            weights[x] = weights.get(x, 0.0) + (seen[x] - y) / (seen[x] + y + lm.CAUTION)
+    return [sum(math.log10(p[outcome]) for context in contexts(words) for _, _, outcome, p in softmaxes(*context)) + sum(math.log10(0.5 / 0.5) for w in words if w not in rank) for words in tokens]
+
+
+def test_language_model_matches_brute_force_however_rows_are_dealt(spark):
+    draw = random.Random(31)
+    rows = []
+    for i in range(60):
+        words = [f"w{draw.randint(0, 20)}"]
+        for _ in range(draw.randint(0, 25)):
+            words.append(f"w{(3 * int(words[-1][1:]) + draw.randint(0, 4)) % 700}")
+        rows.append((i, " ".join(words)))
+    rows += [(100, rows[0][1] + " nobody has seen this"), (101, None), (5, rows[5][1])]
+    docs = texts(spark, rows)
+    dealt = {r["doc_id"]: (r["learned"], r["round"]) for r in docs.select("doc_id", (langid.remainder(F.col("doc_id"), 5) != 1).alias("learned"), F.pmod(F.xxhash64("doc_id"), F.lit(lm.ROUNDS)).alias("round")).collect()}
+    learned = [dealt[d][0] for d, _ in rows]
+    want = brute_force_scores(rows, learned, [dealt[d][1] if use else None for (d, _), use in zip(rows, learned, strict=True)])
+    for parts in (1, 13):
+        got = sorted((r["doc_id"], r["score"]) for r in lm.score_texts(docs.repartition(parts), langid.remainder(F.col("doc_id"), 5) != 1).collect())
+        for (d, s), (e, w) in zip(got, sorted((d, w) for (d, _), w in zip(rows, want, strict=True)), strict=True):
+            assert d == e and s == pytest.approx(w, rel=1e-5, abs=1e-4)
+
+
 def test_frequent_tokens_are_the_upper_bins(spark):
     counts = spark.createDataFrame([(f"w{i}", c) for i, c in enumerate([50, 20, 20, 5, 1, 1, 1])], "word string, c long")
     words, n = lm.frequent_tokens(counts, 4)
@@ -266,6 +330,7 @@ def test_language_model_probabilities_sum_to_one():
     p = np.exp(model.log_probability(np.full(len(head), 3), np.full(len(head), 7), head)).sum()
     tail = np.exp(model.log_probability(np.array([3]), np.array([7]), np.array([99999])))[0]
     assert p + tail == pytest.approx(1, abs=1e-4)
+    assert lm.bucket_count(0) == lm.LEAST_BUCKETS < lm.bucket_count(3 * 10**7) < lm.bucket_count(2 * 10**8) == lm.MOST_BUCKETS == lm.bucket_count(10**14)
 
 
 def test_decontamination_finds_copies_and_paraphrases(spark):
