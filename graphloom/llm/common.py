@@ -39,10 +39,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or one of
-    our own where the session names none (a local test session)."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``. Where none is named it is
+    a temporary folder in a local session (tests), and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), f"graphloom-{spark.sparkContext.applicationId}")
     return base.rstrip("/")
 
