@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,9 +10,6 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import fixed_values as fixed
 
-_COMPOUND = "[a-z][a-z0-9]*(?:-[a-z0-9]+)+"
-_CAMEL = "[a-z][a-z0-9]*(?:[A-Z][a-z0-9]*)+"
-
 
 def _longer(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: F.length(t) > 1)
@@ -22,17 +20,23 @@ def search_text(name: Column, kind: Column, properties: Column) -> Column:
     return F.concat_ws(" ", name, kind, F.get_json_object(properties, "$.summary"), F.get_json_object(properties, "$.path"))
 
 
+#: Tokens of one character, which are dropped.
+_SINGLE = [*"abcdefghijklmnopqrstuvwxyz0123456789_", ""]
+
+
 def tokenize(text: Column) -> Column:
     """Distinct search tokens, in order: hyphenated compounds with their parts, camel-case
-    words with theirs, then the words that are left, without stop words."""
+    words with theirs, then the words that are left, without stop words. Only texts that have
+    compounds or camel-case words are searched for them; for the others it is one split."""
     lower = F.lower(text)
-    compounds = F.regexp_extract_all(lower, F.lit(_COMPOUND), F.lit(0))
+    dropped = F.array(*[F.lit(w) for w in [*fixed.STOP_WORDS, *_SINGLE]])
+    words = lambda of: F.array_except(F.split(of, "[^a-z0-9_]+"), dropped)
+    compounds = F.regexp_extract_all(lower, F.lit(fixed.COMPOUND), F.lit(0))
     hyphenated = F.flatten(F.transform(compounds, lambda c: F.concat(F.array(c), _longer(F.split(c, "-")))))
-    camels = F.regexp_extract_all(text, F.lit(_CAMEL), F.lit(0))
+    camels = F.regexp_extract_all(text, F.lit(fixed.CAMEL), F.lit(0))
     mixed = F.flatten(F.transform(camels, lambda c: _longer(F.concat(F.array(F.lower(c)), F.transform(F.split(c, "(?=[A-Z])"), F.lower)))))
-    rest = F.split(F.regexp_replace(F.regexp_replace(lower, _COMPOUND, " "), "[^a-z0-9_]", " "), r"\s+")
-    plain = F.filter(rest, lambda t: (F.length(t) > 1) & ~t.isin(fixed.STOP_WORDS))
-    return F.array_distinct(F.concat(hyphenated, mixed, plain))
+    every = F.array_distinct(F.concat(hyphenated, mixed, words(F.regexp_replace(lower, fixed.COMPOUND, " "))))
+    return F.when(text.rlike("[A-Za-z0-9]-[A-Za-z0-9]|[a-z0-9][A-Z]"), every).otherwise(words(lower))
 
 
 def split_identifier(name: Column) -> Column:
@@ -133,10 +137,24 @@ def truncate_patch(patch: Column, limit: int = 5000) -> Column:
 _EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
+def any_of(patterns: list[str]) -> str:
+    """One pattern for several, each with flags of its own."""
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
 def domain_tags(source: Column, most: int = 4) -> Column:
-    """The first domains, in order, that a source has words of."""
-    tags = F.array_compact(F.array(*[F.when(source.rlike(pattern.replace(r"\b", _EDGE)), F.lit(name)) for name, pattern in fixed.DOMAINS.items()]))
-    return F.slice(tags, 1, most)
+    """The first domains, in order, that a source has patterns of. Whole words, whatever their
+    case, are looked up in the source's words, which are split once; other patterns are matched."""
+
+    def hit(text: Column, words: Column, patterns: list[str]) -> Column:
+        whole = [re.fullmatch(r"\(\?i\)\\b(\w+)\\b", p) for p in patterns]
+        found = F.arrays_overlap(words, F.array(*[F.lit(m[1].lower()) for m in whole if m]))
+        others = [p for p, m in zip(patterns, whole, strict=True) if not m]
+        return found | text.rlike(any_of(others).replace(r"\b", _EDGE)) if others else found
+
+    once = F.array(F.struct(source.alias("text"), F.split(F.lower(source), "[^a-z0-9_]+").alias("words")))
+    tags = lambda x: F.array_compact(F.array(*[F.when(hit(x["text"], x["words"], patterns), F.lit(name)) for name, patterns in fixed.DOMAINS.items()]))
+    return F.slice(F.transform(once, tags)[0], 1, most)
 
 
 def sub_type(kind: Column, name: Column, properties: Column) -> Column:
@@ -158,7 +176,7 @@ def common_prefix(a: Column, b: Column) -> Column:
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    pairs = [F.lit(x) for value, words in table.items() for word in words.split() for x in (word, value)]
+    pairs = [F.lit(x) for pair in table.items() for x in pair]
     return F.try_element_at(F.create_map(*pairs), key)
 
 

@@ -154,6 +154,17 @@ def impact(edges: DataFrame, symbols: DataFrame, depth: int = 2, types: Sequence
     return bfs(edges, starts, "incoming", depth).where(F.col("edge_type").isin(list(types)))
 
 
+def file_impact(edges: DataFrame, files: DataFrame, limit: int = 10) -> DataFrame:
+    """The first neighbors of files, whatever the direction, over edges of dependency types."""
+    return neighbors(edges, files, "both", IMPACT_TYPES).orderBy("neighbor_id", "edge_id").limit(limit)
+
+
+def around(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int = 1) -> DataFrame:
+    """id, depth, type and name of what lies within ``depth`` steps, three at most, in both directions."""
+    start = nodes.where(F.col("id") == node_id).select("id")
+    return bfs(edges, start, "both", max(1, min(depth, 3))).select("id", "depth").join(nodes.select("id", "type", "name"), "id")
+
+
 def overlaps(start: Column, end: Column, ranges: Sequence[tuple[int, int]]) -> Column:
     """Whether lines start..end touch one of the ranges; unknown starts and no ranges do."""
     if not ranges:
@@ -174,6 +185,16 @@ def parse_lines(spec: str) -> list[tuple[int, int]]:
     return out
 
 
+def parse_span(spec: str | None) -> tuple[int | None, int | None]:
+    """First and last line of N, N-M or N- (to the end); what is none of them is an error."""
+    if not spec:
+        return None, None
+    low, dash, high = spec.strip().partition("-")
+    if not low.isdigit() or int(low) < 1 or (high and (not high.isdigit() or int(high) < int(low))):
+        raise ValueError(f"lines are N, N-M or N-, not {spec!r}")
+    return int(low), int(high) if high else (2**31 - 1 if dash else int(low))
+
+
 def usages(nodes: DataFrame, edges: DataFrame, symbol: str, depth: int = 2) -> DataFrame:
     """Count of what reaches a node, by the id's first part and type."""
     found = bfs(edges, nodes.where(F.col("id") == symbol).select("id"), "incoming", max(1, min(depth, 5))).join(nodes.select("id", "type"), "id")

@@ -4,23 +4,33 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import glob_pattern, tokenize
+from graphloom.session import written
 
 K1, B = 1.5, 0.75
 NAME_BOOST = 2.0
 RRF_K = 60
 
 
+def tokens_of(docs: DataFrame) -> DataFrame:
+    """id, tokens and names (tokens of the name) of docs (id, name, text)."""
+    return docs.select("id", tokenize(F.coalesce("text", F.lit(""))).alias("tokens"), tokenize(F.coalesce("name", F.lit(""))).alias("names"))
+
+
+def _exploded(rows: DataFrame) -> DataFrame:
+    posts = rows.select("id", F.size("tokens").alias("len"), "names", F.explode("tokens").alias("token"))
+    return posts.select("id", "token", F.array_contains("names", F.col("token")).alias("in_name"), "len")
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """id, token, in_name, len for docs (id, name, text). Tokens of a document are
     distinct, so its length is their number and a token's frequency is one."""
-    tokens = tokenize(F.coalesce("text", F.lit("")))
-    rows = docs.select("id", tokens.alias("_tokens"), tokenize(F.coalesce("name", F.lit(""))).alias("_names"))
-    return rows.select("id", F.size("_tokens").alias("len"), "_names", F.explode("_tokens").alias("token")).select("id", "token", F.array_contains("_names", F.col("token")).alias("in_name"), "len")
+    return _exploded(tokens_of(docs))
 
 
 def query_tokens(spark, query: str) -> list[str]:
@@ -43,20 +53,63 @@ def expansions(vocabulary: DataFrame, terms: Sequence[str]) -> DataFrame:
     return ranked.join(first, "term").where(F.col("kind") == F.col("_kind")).select("term", "token", "penalty")
 
 
-def bm25(docs: DataFrame, query: str, limit: int = 50, boost: float = NAME_BOOST) -> DataFrame:
-    """id, score of the best documents, ties to the smaller id."""
-    spark = docs.sparkSession
-    terms = query_tokens(spark, query)
-    posts = postings(docs)
-    df = posts.groupBy("token").agg(F.count("id").alias("df"))
-    used = expansions(df.select("token"), terms).join(df, "token")
+@dataclass
+class Index:
+    """A stored search index: postings (token, id, in_name, len), in ranges of tokens so that a
+    query reads the row groups of its tokens only; vocabulary (token, df); sizes (id, len)."""
+
+    postings: DataFrame
+    vocabulary: DataFrame
+    sizes: DataFrame
+
+    @classmethod
+    def build(cls, docs: DataFrame) -> Index:
+        """Of docs (id, name, text); the texts are read once."""
+        rows = written(tokens_of(docs), "tokens")
+        return cls._stored(_exploded(rows), rows.select("id", F.size("tokens").alias("len")))
+
+    @classmethod
+    def _stored(cls, posts: DataFrame, sizes: DataFrame) -> Index:
+        posts = written(posts.repartitionByRange("token").sortWithinPartitions("token"), "postings")
+        return cls(posts, written(posts.groupBy("token").agg(F.count("id").alias("df")), "vocabulary"), sizes)
+
+    def remove(self, ids: DataFrame) -> Index:
+        """Without the documents of ids (id)."""
+        return self._stored(self.postings.join(ids, "id", "left_anti"), written(self.sizes.join(ids, "id", "left_anti"), "sizes"))
+
+    def update(self, docs: DataFrame) -> Index:
+        """With docs (id, name, text) in place of those with the same ids."""
+        rows, ids = written(tokens_of(docs), "tokens"), docs.select("id")
+        kept, sizes = self.postings.join(ids, "id", "left_anti"), self.sizes.join(ids, "id", "left_anti")
+        return self._stored(kept.unionByName(_exploded(rows)), written(sizes.unionByName(rows.select("id", F.size("tokens").alias("len"))), "sizes"))
+
+
+def bm25(index: Index | DataFrame, query: str, limit: int | None = 50, boost: float = NAME_BOOST) -> DataFrame:
+    """id, score of the best documents of an index (or of docs, which are indexed for it), ties to
+    the smaller id. At most 20 tokens stand for a term, so they come to the driver and prune the postings."""
+    index = index if isinstance(index, Index) else Index.build(index)
+    spark = index.postings.sparkSession
+    used = written(expansions(index.vocabulary.select("token"), query_tokens(spark, query)).join(index.vocabulary, "token"), "query-tokens")
+    tokens = [r["token"] for r in used.select("token").distinct().collect()]
     # sums over the corpus: one row, which joins as a literal would
-    sizes = docs.select(F.size(tokenize(F.coalesce("text", F.lit("")))).alias("len")).agg(F.count("len").alias("n_docs"), F.avg("len").alias("avg_len"))
+    sizes = index.sizes.agg(F.count("len").alias("n_docs"), F.avg("len").alias("avg_len"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     tf = (K1 + 1) / (1 + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     score = idf * tf * F.col("penalty") * F.when(F.col("in_name"), boost).otherwise(1.0)
-    rows = posts.join(used, "token").crossJoin(F.broadcast(sizes)).groupBy("id").agg(F.sum(score).alias("score"))
-    return rows.orderBy(F.col("score").desc(), "id").limit(limit)
+    posts = index.postings.where(F.col("token").isin(tokens)).join(F.broadcast(used), "token")
+    rows = posts.crossJoin(F.broadcast(sizes)).groupBy("id").agg(F.sum(score).alias("score"))
+    return rows.orderBy(F.col("score").desc(), "id").limit(limit) if limit is not None else rows
+
+
+def scoped_search(index: Index, nodes: DataFrame, query: str, scope: Column | None = None, types: Sequence[str] | None = None, limit: int = 20) -> DataFrame:
+    """The best nodes (their columns and score) within a scope and of some types, ranked by the statistics
+    of the whole index; truncated says whether there were more."""
+    if scope is not None:
+        nodes = nodes.where(scope)
+    if types:
+        nodes = nodes.where(F.col("type").isin(list(types)))
+    best = written(bm25(index, query, None).join(nodes, "id").orderBy(F.col("score").desc(), "id").limit(limit + 1), "scoped")
+    return best.withColumn("truncated", F.lit(best.count() > limit)).orderBy(F.col("score").desc(), "id").limit(limit)
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -103,17 +156,18 @@ def name_contains(nodes: DataFrame, query: str) -> DataFrame:
     return hit.select("id", (1.0 / (1 + F.length("name"))).alias("score"))
 
 
-def hybrid(docs: DataFrame, query: str, vectors: DataFrame | None = None, query_vector: Sequence[float] | None = None, types: Sequence[str] | None = None, limit: int = 50) -> DataFrame:
+def hybrid(docs: DataFrame, query: str, vectors: DataFrame | None = None, query_vector: Sequence[float] | None = None, types: Sequence[str] | None = None, limit: int = 50, index: Index | None = None) -> DataFrame:
     """BM25 and vector lists fused by rank; if both are empty, names that hold the query.
-    Types are filtered before the ranking, so none of the places is lost to others."""
+    Types are filtered before the ranking, so none of the places is lost to others. A
+    stored index of all docs serves queries without types."""
     if types:
-        docs = docs.where(F.col("type").isin(list(types)))
+        docs, index = docs.where(F.col("type").isin(list(types))), None
         vectors = vectors.join(docs.select("id"), "id", "left_semi") if vectors is not None else None
-    lists = [bm25(docs, query, 2 * limit)]
+    lists = [bm25(index or docs, query, 2 * limit)]
     if vectors is not None and query_vector is not None:
         lists.append(nearest(vectors, query_vector, 2 * limit, 0.65))
-    found = fuse(lists, limit)
-    return found if not found.isEmpty() else name_contains(docs, query).orderBy(F.col("score").desc(), "id").limit(limit)
+    found = written(fuse(lists, limit), "found")
+    return found.orderBy(F.col("score").desc(), "id") if not found.isEmpty() else name_contains(docs, query).orderBy(F.col("score").desc(), "id").limit(limit)
 
 
 def grep(files: DataFrame, pattern: str, case_sensitive: bool = False, limit: int | None = 100, path_part: str | None = None, include: str | None = None) -> DataFrame:

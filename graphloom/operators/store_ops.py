@@ -32,8 +32,9 @@ def merge_properties(rows: DataFrame) -> DataFrame:
 
 
 def insert_missing(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """existing and those of new whose id is not there; the first of equal ids."""
-    fresh = new.join(existing.select("id"), "id", "left_anti").dropDuplicates(["id"])
+    """existing and those of new whose id is not there; of equal ids the smallest row."""
+    rest = [c for c in new.columns if c != "id"]
+    fresh = new.join(existing.select("id"), "id", "left_anti").groupBy("id").agg(F.min(F.struct(*rest)).alias("_row")).select("id", "_row.*")
     return existing.unionByName(fresh.select(*existing.columns))
 
 
@@ -48,6 +49,23 @@ def in_scope(node_id: Column, repo: str) -> Column:
     return (node_id == repo) | node_id.startswith(f"{repo}/") | (node_id == f"_meta:index:{repo}")
 
 
+def delete_scopes(nodes: DataFrame, edges: DataFrame, repos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges without those of several repositories (repo): an id is in the scope of any
+    of its prefixes, which are joined by equality."""
+    gone = attribute_scopes(nodes.select("id").unionByName(edges.select(F.col("source_id").alias("id"))).unionByName(edges.select(F.col("target_id").alias("id"))), repos)
+    kept = nodes.join(gone, "id", "left_anti")
+    return kept, edges.join(gone.withColumnRenamed("id", "source_id"), "source_id", "left_anti").join(gone.withColumnRenamed("id", "target_id"), "target_id", "left_anti")
+
+
+def attribute_scopes(ids: DataFrame, repos: DataFrame) -> DataFrame:
+    """Those of the ids that are a repository, lie in it, or are its metadata."""
+    bare = F.regexp_replace("id", "^_meta:index:", "")
+    parts = F.split(bare, "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    own = F.when(F.col("id").startswith("_meta:index:"), F.array(bare)).otherwise(prefixes)
+    return ids.distinct().select("id", F.explode(own).alias("repo")).join(repos.select("repo").distinct(), "repo", "left_semi").select("id").distinct()
+
+
 def delete_scope(nodes: DataFrame, edges: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
     return nodes.where(~in_scope(F.col("id"), repo)), edges.where(~(in_scope(F.col("source_id"), repo) | in_scope(F.col("target_id"), repo)))
 
@@ -98,3 +116,44 @@ def facets(nodes: DataFrame, sub: Column) -> DataFrame:
     """type, sub_type, n with totals by type (sub_type null) and over all (type null)."""
     rows = nodes.select("type", sub.alias("sub_type")).rollup("type", "sub_type").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
     return rows
+
+
+def unpacked(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Some properties as columns, as text; a nested value stays JSON."""
+    return nodes.select("*", *[F.get_json_object("properties", f"$.{k}").alias(k) for k in keys])
+
+
+def parse_map_literal(literal: Column) -> Column:
+    """A map from a literal such as {a: 1, b: 'x'} with plain or quoted keys; later keys win,
+    null if it is none."""
+    entries = F.regexp_extract_all(literal, F.lit(r"""([A-Za-z_]\w*|"[^"]*"|'[^']*')\s*:\s*("[^"]*"|'[^']*'|[^,{}]+)"""), F.lit(0))
+    bare = lambda x: F.regexp_replace(F.trim(x), r"""^(["'])(.*)\1$""", "$2")
+    pairs = F.transform(entries, lambda e: F.struct(bare(F.regexp_extract(e, r"""^("[^"]*"|'[^']*'|\w+)""", 1)).alias("key"), bare(F.regexp_replace(e, r"""^("[^"]*"|'[^']*'|\w+)\s*:""", "")).alias("value")))
+    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+    last = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1))
+    return F.when(F.trim(literal).rlike(r"^\{.*\}$"), F.map_from_entries(last))
+
+
+def import_report(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts (what, n) of an import, and its rejected rows (what, id, error): rows without an id or
+    type, and edges without their ends among the old and the new nodes."""
+    bad = lambda df, what: df.where("id IS NULL OR type IS NULL").select(F.lit(what).alias("what"), "id", F.when(F.col("id").isNull(), "no id").otherwise("no type").alias("error"))
+    good_nodes, good_edges = (df.where("id IS NOT NULL AND type IS NOT NULL") for df in (new_nodes, new_edges))
+    ids = nodes.select("id").unionByName(good_nodes.select("id")).distinct()
+    joined = good_edges
+    for end in ("source_id", "target_id"):
+        joined = joined.join(ids.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+    missing = joined.where("_source_id IS NULL OR _target_id IS NULL").select(F.lit("edge").alias("what"), "id", F.when(F.col("_source_id").isNull(), "no source").otherwise("no target").alias("error"))
+    errors = bad(new_nodes, "node").unionByName(bad(new_edges, "edge")).unionByName(missing)
+    known = nodes.select("id", F.lit(True).alias("_old"))
+    fates = good_nodes.select("id").distinct().join(known, "id", "left").select(F.when(F.col("_old"), "nodes_updated").otherwise("nodes_created").alias("what"))
+    old_edges = edges.select("id", F.lit(True).alias("_old"))
+    fates = fates.unionByName(joined.where("_source_id AND _target_id").select("id").distinct().join(old_edges, "id", "left").select(F.when(F.col("_old"), "edges_updated").otherwise("edges_created").alias("what")))
+    return fates.unionByName(errors.select(F.lit("errors").alias("what"))).groupBy("what").agg(F.count("what").alias("n")), errors
+
+
+def merge_refs(rows: DataFrame) -> DataFrame:
+    """scope_id, name, seq and refs of variables (scope_id, name, seq, refs): repeated assignments are one
+    variable at the place of the first, with the references of all in their order."""
+    by = rows.groupBy("scope_id", "name").agg(F.min("seq").alias("seq"), F.array_sort(F.collect_list(F.struct("seq", "refs"))).alias("_all"))
+    return by.select("scope_id", "name", "seq", F.flatten(F.transform("_all", lambda x: x["refs"])).alias("refs"))

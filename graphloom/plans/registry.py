@@ -11,6 +11,7 @@ from graphloom.functions import text
 from graphloom.functions.fixed_values import DOMAINS, STOP_WORDS
 from graphloom.operators import graph, resolve, search, store_ops
 from graphloom.sources import archive
+from graphloom.session import spread
 from graphloom.sources.tables import GRAPH_SQL, edges, nodes, table
 from graphloom.store import GraphStore
 from graphloom.streaming import events as streaming
@@ -360,7 +361,7 @@ _TOKENS = f"tokens AS (SELECT doc_id, source, {_words('text')} AS tokens, {_word
 
 
 def _documents(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("name"), "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "source", "text")).select(F.col("doc_id").alias("id"), F.col("source").alias("name"), "text")
 
 
 @query(f"WITH {_TOKENS} SELECT doc_id AS id, CAST(count(*) AS BIGINT) AS n_tokens, sum(CAST(length(token) AS BIGINT))::BIGINT AS n_chars, min(token) AS low, max(token) AS high FROM posts GROUP BY doc_id")
@@ -402,6 +403,62 @@ _bm25("bm25_field_boost", "src3 ertion token", ["src3", "ertion", "token"])
 _bm25("bm25_prefix", "erthst therean", ["erthst", "therean"])
 _bm25("bm25_fuzzy", "ertiom anorr", ["ertiom", "anorr"])
 
+
+@query(f"""WITH scored AS ({bm25_sql(['license', 'token', 'ertion'], 10**9)}),
+hits AS (SELECT s.id, s.score FROM scored s JOIN documents d ON s.id = d.doc_id WHERE d.source = 'src0' AND d.lang IN ('en', 'fr') ORDER BY s.score DESC, s.id LIMIT 21)
+SELECT 'src0/' || id AS id, score, (SELECT count(*) FROM hits) > 20 AS truncated FROM hits ORDER BY score DESC, hits.id LIMIT 20""")
+def source_search(spark, sf):
+    """Search within a repository (a source) and some types (languages), with the statistics of all documents."""
+    docs = _documents(spark, sf).withColumn("key", F.col("id"))
+    kinds = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("lang").alias("type"))
+    found = search.scoped_search(search.Index.build(docs), kinds, "license token ertion", store_ops.in_scope(F.col("path"), "src0"), ["en", "fr"])
+    return found.select(F.col("path").alias("id"), F.round("score", 6).alias("score"), "truncated")
+
+
+@query("""WITH near AS (SELECT target_id AS id FROM edges WHERE source_id = 'nation:3' UNION SELECT source_id FROM edges WHERE target_id = 'nation:3')
+SELECT n.id, 1 AS depth, n.type, n.name FROM nodes n JOIN near USING (id) WHERE n.id <> 'nation:3'""", graph_sql=True)
+def explore_node(spark, sf):
+    return graph.around(nodes(spark, sf), edges(spark, sf), "nation:3", 1)
+
+
+@query("""WITH step AS (SELECT source_id AS id, target_id AS neighbor_id, id AS edge_id FROM edges WHERE source_id = 'supplier:1' AND type IN ('CALLS', 'DEPENDS_ON')
+  UNION ALL SELECT target_id, source_id, id FROM edges WHERE target_id = 'supplier:1' AND type IN ('CALLS', 'DEPENDS_ON'))
+SELECT id, neighbor_id, edge_id FROM step ORDER BY neighbor_id, edge_id LIMIT 10""", graph_sql=True)
+def file_impact(spark, sf):
+    return graph.file_impact(edges(spark, sf), nodes(spark, sf).where("id = 'supplier:1'").select("id")).select("id", "neighbor_id", "edge_id")
+
+
+@query("""WITH old AS (SELECT id FROM nodes WHERE type IN ('Region', 'Nation', 'Supplier')), fresh AS (SELECT id FROM nodes WHERE type IN ('Nation', 'Customer')),
+every AS (SELECT id FROM old UNION SELECT id FROM fresh), defines AS (SELECT * FROM edges WHERE type = 'DEFINES'), good AS (SELECT id, source_id FROM defines WHERE source_id IN (FROM every) AND target_id IN (FROM every))
+SELECT 'nodes_created' AS what, count(*) AS n FROM fresh WHERE id NOT IN (FROM old)
+UNION ALL SELECT 'nodes_updated', count(*) FROM fresh WHERE id IN (FROM old)
+UNION ALL SELECT 'edges_created', count(*) FROM good WHERE NOT starts_with(source_id, 'region:')
+UNION ALL SELECT 'edges_updated', count(*) FROM good WHERE starts_with(source_id, 'region:')
+UNION ALL SELECT 'errors', count(*) FROM defines WHERE source_id NOT IN (FROM every) OR target_id NOT IN (FROM every)""", graph_sql=True)
+def import_counts(spark, sf):
+    every, defines = nodes(spark, sf), edges(spark, sf).where("type = 'DEFINES'")
+    old, new = every.where(F.col("type").isin("Region", "Nation", "Supplier")), every.where(F.col("type").isin("Nation", "Customer"))
+    return store_ops.import_report(old, defines.where(F.col("source_id").startswith("region:")), new, defines)[0]
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events")
+def property_unpack(spark, sf):
+    events = table(spark, sf, "events").select("event_id", F.col("props").alias("properties"))
+    return store_ops.unpacked(events, ["k"]).select("event_id", "k")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def map_literal(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.try_element_at(store_ops.parse_map_literal(F.col("props")), F.lit("k")).alias("k"))
+
+
+@query("""SELECT l_orderkey AS scope_id, CAST(l_partkey AS VARCHAR) AS name, min(CAST(l_linenumber AS BIGINT)) AS seq, array_to_string(list(CAST(l_suppkey AS VARCHAR) ORDER BY l_linenumber, CAST(l_suppkey AS VARCHAR)), ',') AS refs
+FROM lineitem GROUP BY ALL""")
+def derivation_merge(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("scope_id"), F.col("l_partkey").cast("string").alias("name"), F.col("l_linenumber").cast("long").alias("seq"), F.array(F.col("l_suppkey").cast("string")).alias("refs"))
+    return store_ops.merge_refs(rows).withColumn("refs", F.array_join("refs", ","))
+
+
 _COS = "CASE WHEN list_sum(list_transform(v.embedding, lambda x: x::DOUBLE * x)) = 0 OR list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x)) = 0 THEN 0 ELSE list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: p[1]::DOUBLE * p[2])) / (sqrt(list_sum(list_transform(v.embedding, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x)))) END"
 
 
@@ -469,7 +526,7 @@ def source_slice(spark, sf):
     return table(spark, sf, "documents").where(F.size(lines) >= 3).select(F.col("doc_id").alias("id"), F.array_join(F.slice(lines, 2, 2), "\n").alias("content"), F.size(lines).alias("line_count"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p.replace('(?-i:', '(?-i:')}') THEN '{d}' END" for d, p in DOMAINS.items()) + "], lambda x: x IS NOT NULL)[1:4], ',') AS tags FROM documents")
+@query("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{text.any_of(p)}') THEN '{d}' END" for d, p in DOMAINS.items()) + "], lambda x: x IS NOT NULL)[1:4], ',') AS tags FROM documents")
 def keyword_tags(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(text.domain_tags(F.col("text")), ",").alias("tags"))
 
@@ -576,7 +633,7 @@ def type_normalise(spark, sf):
     return spark.createDataFrame([(a,) for a, _ in _TYPES], "raw string").select("raw", text.normalise_type(F.col("raw")).alias("clean"))
 
 
-_SUMMARIES = [("getUserById", "Retrieves user by id"), ("parseHTTPResponse", "Parses HTTP response"), ("test_login_flow", "Tests login flow"), ("__init__", "Initializes instance"), ("orderTotals", "Order totals"), ("is_valid", "Checks whether valid")]
+_SUMMARIES = [("findOrderByNumber", "Retrieves order by number"), ("decodeXMLFeed", "Decodes XML feed"), ("test_refund_total", "Tests refund total"), ("__init__", "Initializes instance"), ("warehouseShelves", "Warehouse shelves"), ("has_stock", "Checks whether stock")]
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _SUMMARIES) + ") t(name, summary)")

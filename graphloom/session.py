@@ -23,11 +23,20 @@ def session(app: str = "graphloom", master: str | None = None, **conf: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where none is named."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where none is named it is a temporary
+    folder in a local session, whose executors are on this machine, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (base or os.path.join(tempfile.gettempdir(), f"graphloom-{spark.sparkContext.applicationId}")).rstrip("/")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan over all cores, where its files give fewer splits than there are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
 

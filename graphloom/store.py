@@ -17,11 +17,18 @@ class GraphStore:
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, vectors: DataFrame | None = None) -> None:
         self.nodes, self.edges, self.sources, self.vectors = nodes.where(~F.col("type").isin(*graph.INTERNAL_TYPES)), edges, sources, vectors
+        self._index: search.Index | None = None
 
     def docs(self) -> DataFrame:
         """What search indexes of the nodes."""
         return self.nodes.select("id", "type", "name", search_text(F.col("name"), F.col("type"), F.col("properties")).alias("text"))
 
+    def index(self) -> search.Index:
+        """The search index of the nodes, built when it is first asked for."""
+        if self._index is None:
+            self._index = search.Index.build(self.docs())
+        return self._index
+
     def register(self) -> None:
         """Views nodes and edges for spark.sql()."""
         self.nodes.createOrReplaceTempView("nodes")
@@ -49,7 +56,7 @@ class GraphStore:
         return self.nodes.where((F.col("type") == "File") & ((path == base) | path.endswith(f"/{base}"))).orderBy("id").limit(limit)
 
     def search_nodes(self, query: str, types: Sequence[str] | None = None, limit: int = 50, vector: Sequence[float] | None = None) -> DataFrame:
-        found = search.hybrid(self.docs(), query, self.vectors, vector, types, min(limit, 1000))
+        found = search.hybrid(self.docs(), query, self.vectors, vector, types, min(limit, 1000), None if types else self.index())
         return found.join(self.nodes, "id").orderBy(F.col("score").desc(), "id")
 
     def search_graph(self, query: str, hops: int = 2, limit: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +66,7 @@ class GraphStore:
         else:
             seeds = self.get_node(query).select("id")
             if seeds.isEmpty():
-                seeds = search.hybrid(self.docs(), query, limit=limit).select("id")
+                seeds = search.hybrid(self.docs(), query, limit=limit, index=self.index()).select("id")
         ids = graph.expand(self.edges, seeds, hops)
         return self.nodes.join(ids, "id"), graph.induced_edges(self.edges, ids)
 
@@ -69,19 +76,71 @@ class GraphStore:
     def neighbors(self, node_id: str, direction: str = "both") -> DataFrame:
         return graph.neighbors(self.edges, self.get_node(node_id), direction)
 
+    def repo_paths(self) -> DataFrame:
+        """repo_id and path (where the repository lies, if that is known), in order of the ids."""
+        return self.nodes.where("type = 'Repository'").select(F.col("id").alias("repo_id"), F.get_json_object("properties", "$.path").alias("path")).orderBy("repo_id")
+
+    def path_candidates(self, path: str) -> list[str]:
+        """The path, and what is left of it below each repository that holds it."""
+        asked = F.lit(path)
+        below = self.repo_paths().where("path IS NOT NULL AND path <> ''").select(F.regexp_replace("path", "/+$", "").alias("root")).where(asked.startswith(F.concat("root", F.lit("/"))))
+        return list(dict.fromkeys([path, *(path[len(r["root"]) + 1 :] for r in below.distinct().orderBy(F.length("root").desc()).collect())]))
+
+    def resolve_file(self, path: str) -> str | None:
+        """The id of a file by its path or what is left of it below a repository, else by a base name that
+        only one file has; several are an error that names them."""
+        at = F.get_json_object("properties", "$.path")
+        files = self.nodes.where(F.col("type") == "File")
+        for found in (files.where(at.isin(self.path_candidates(path))), self.find_files(path.rsplit("/", 1)[-1], 11)):
+            ids = [r["id"] for r in found.select("id").orderBy("id").limit(11).collect()]
+            if len(ids) > 1:
+                raise LookupError(f"several files are named {path!r}: {', '.join(ids[:10])}")
+            if ids:
+                return ids[0]
+        return None
+
     def impact(self, path: str, lines: str | None = None, depth: int = 2) -> DataFrame:
         """What depends on the symbols that a file defines, those on the given lines."""
-        at = F.get_json_object("properties", "$.path")
-        files = self.nodes.where((F.col("type") == "File") & (at == path)).select("id")
-        if files.isEmpty():
-            files = self.find_files(path.rsplit("/", 1)[-1]).select("id")
-            if files.count() > 1:
-                raise LookupError(f"several files are named {path!r}")
+        file = self.resolve_file(path)
+        files = self.nodes.where(F.col("id") == file).select("id") if file else self.nodes.where("false").select("id")
         inside = graph.neighbors(self.edges, files, "outgoing", ["DEFINES"]).select(F.col("neighbor_id").alias("id"))
         symbols = self.nodes.join(inside, "id", "left_semi").where(F.col("type").isin("Function", "Class", "Module"))
         line = lambda key: F.get_json_object("properties", f"$.{key}").cast("int")
         return graph.impact(self.edges, symbols.where(graph.overlaps(line("start_line"), line("end_line"), graph.parse_lines(lines or ""))), depth)
 
+    def file_impact(self, path: str, limit: int = 10) -> DataFrame:
+        """The first neighbors of a file itself over edges of dependency types, for files without symbols."""
+        file = self.resolve_file(path)
+        return graph.file_impact(self.edges, self.nodes.where(F.col("id") == file).select("id") if file else self.nodes.where("false").select("id"), limit)
+
+    def source_search(self, query: str, repo: str | None = None, types: Sequence[str] | None = None, limit: int = 20) -> DataFrame:
+        """search.scoped_search with a repository by id; one that is not there is an error that names those that are."""
+        if repo is not None and self.nodes.where((F.col("type") == "Repository") & (F.col("id") == repo)).isEmpty():
+            known = [r["repo_id"] for r in self.repo_paths().limit(20).collect()]
+            raise LookupError(f"no repository {repo!r}; there are {', '.join(known) or 'none'}")
+        return search.scoped_search(self.index(), self.nodes, query, store_ops.in_scope(F.col("id"), repo) if repo is not None else None, types, limit)
+
+    def read_source(self, node_id: str | None = None, path: str | None = None, lines: str | None = None) -> DataFrame:
+        """A file's lines, by a node in it or by path. ``lines``: N, N-M, or N- to the end."""
+        file = node_id.split("::")[0] if node_id else self.resolve_file(path or "")
+        if file is None:
+            raise LookupError(f"no file {path!r}")
+        return self.source(file, *graph.parse_span(lines))
+
+    def explore(self, node_id: str, depth: int = 1) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """A node, what lies within ``depth`` steps (three at most) in both directions, and its source, if sources are stored."""
+        node = self.get_node(node_id)
+        return node, graph.around(self.nodes, self.edges, node_id, depth), self.read_source(node_id) if self.sources is not None else None
+
+    def add_vectors(self, vectors: DataFrame) -> GraphStore:
+        """A store with more vectors (id, vec), the new ones in place of those with the same id."""
+        kept = self.vectors.join(vectors.select("id"), "id", "left_anti").unionByName(vectors) if self.vectors is not None else vectors
+        return GraphStore(self.nodes, self.edges, self.sources, kept)
+
+    def cleared(self) -> GraphStore:
+        """A store with the same columns and no rows."""
+        return GraphStore(*(df.where("false") if df is not None else None for df in (self.nodes, self.edges, self.sources, self.vectors)))
+
     def stats(self) -> DataFrame:
         """Counts by type, and of all nodes and edges."""
         by = self.nodes.groupBy(F.concat(F.lit("nodes."), "type").alias("what")).agg(F.count("id").alias("n"))
@@ -108,5 +167,9 @@ class GraphStore:
         more = edges.select(*self.edges.columns, F.lit(1).alias("seq")).unionByName(self.edges.withColumn("seq", F.lit(0)))
         return GraphStore(every, graph.induced_edges(store_ops.keep_latest(more).drop("seq"), every), self.sources, self.vectors)
 
+    def import_report(self, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What import_batch would do with the rows: counts, and the rows it rejects with their errors."""
+        return store_ops.import_report(self.nodes, self.edges, nodes, edges)
+
     def delete_repo(self, repo: str) -> GraphStore:
         return GraphStore(*store_ops.delete_scope(self.nodes, self.edges, repo), self.sources, self.vectors)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from graphloom.operators.store_ops import delete_scope
+from graphloom.operators.store_ops import delete_scopes
 
 POINTER = "_CURRENT"
 
@@ -53,11 +53,13 @@ class SnapshotStore:
         self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/{POINTER}")
         return name
 
-    def replace(self, repo: str, nodes: DataFrame, edges: DataFrame) -> str:
-        """Publish a snapshot in which a repository's part is the given one."""
+    def replace(self, repos: str | DataFrame, nodes: DataFrame, edges: DataFrame) -> str:
+        """Publish a snapshot in which the parts of a repository, or of several (repo), are the given ones."""
+        if isinstance(repos, str):
+            repos = self.spark.createDataFrame([(repos,)], "repo string")
         old = self.read()
         if old:
-            kept_nodes, kept_edges = delete_scope(*old, repo)
+            kept_nodes, kept_edges = delete_scopes(*old, repos)
             fresh = nodes.join(kept_nodes.select("id"), "id", "left_anti")
             nodes = kept_nodes.unionByName(fresh, allowMissingColumns=True)
             edges = kept_edges.unionByName(edges, allowMissingColumns=True)
@@ -65,11 +67,13 @@ class SnapshotStore:
 
 
 def ingest(store: SnapshotStore, nodes: DataFrame, edges_of, checkpoint: str):
-    """Replace repositories as batches of a node stream (with a column repo) arrive."""
+    """Replace repositories as batches of a node stream (with a column repo) arrive. ``edges_of``
+    gives the edges of some repositories (a table with repo); a batch is one snapshot, however many
+    it has."""
 
     def each(batch: DataFrame, number: int) -> None:
-        for r in batch.select("repo").distinct().toLocalIterator():
-            part = batch.where(F.col("repo") == r["repo"]).drop("repo")
-            store.replace(r["repo"], part, edges_of(r["repo"]))
+        repos = batch.select("repo").distinct()
+        if not repos.isEmpty():
+            store.replace(repos, batch.drop("repo"), edges_of(repos))
 
     return nodes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom.operators import graph, store_ops
+from graphloom.operators import graph, search, store_ops
 from graphloom.store import GraphStore
 
 
@@ -17,27 +18,27 @@ def edge_table(spark, pairs):
 
 
 def test_stats_leave_metadata_out(seeded):
-    assert {r["what"]: r["n"] for r in seeded.stats().collect()} == {"nodes": 5, "edges": 4, "nodes.Service": 1, "nodes.Database": 1, "nodes.Function": 2, "nodes.Class": 1}
+    assert {r["what"]: r["n"] for r in seeded.stats().collect()} == {"nodes": 6, "edges": 7, "nodes.Service": 1, "nodes.Database": 1, "nodes.Function": 3, "nodes.Class": 1}
 
 
 def test_lookup_and_list(seeded):
-    assert ids(seeded.get_node("svc-db")) == ["svc-db"] and ids(seeded.get_node("no")) == []
-    assert [r["id"] for r in seeded.get_nodes(["fn-query", "nothing", "cls-user"]).collect()] == ["fn-query", "cls-user"]
-    assert ids(seeded.list_nodes("Function", {"language": "go"})) == ["fn-query"]
-    assert ids(seeded.list_nodes("Function", {"port": 80, "on": True})) == ["fn-handle"]
-    assert ids(seeded.list_nodes("Function", limit=1)) == ["fn-handle"]
+    assert ids(seeded.get_node("ledger")) == ["ledger"] and ids(seeded.get_node("no")) == []
+    assert [r["id"] for r in seeded.get_nodes(["weigh", "nothing", "depot"]).collect()] == ["weigh", "depot"]
+    assert ids(seeded.list_nodes("Function", {"language": "python"})) == ["pack", "weigh"]
+    assert ids(seeded.list_nodes("Function", {"slots": 12, "cold": True})) == ["pack"]
+    assert ids(seeded.list_nodes("Function", limit=2)) == ["label", "pack"]
 
 
 def test_traversal(seeded):
-    assert ids(seeded.traverse("svc-api", max_depth=1)) == ["cls-user", "fn-handle", "svc-db"]
-    assert {r["id"]: r["depth"] for r in seeded.traverse("svc-api", max_depth=2).collect()}["fn-query"] == 2
-    assert ids(seeded.traverse("svc-api", max_depth=1, relationship_type="CALLS")) == []
-    assert ids(seeded.traverse("fn-query", "incoming")) == ["fn-handle", "svc-api"]
-    assert ids(seeded.traverse("fn-handle", "both", 1)) == ["fn-query", "svc-api"]
+    assert ids(seeded.traverse("depot", max_depth=1)) == ["ledger", "pack"]
+    assert {r["id"]: r["depth"] for r in seeded.traverse("depot", max_depth=3).collect()} == {"ledger": 1, "pack": 1, "weigh": 2, "parcel": 2, "label": 3}
+    assert ids(seeded.traverse("depot", max_depth=1, relationship_type="CALLS")) == []
+    assert ids(seeded.traverse("ledger", "incoming", 2)) == ["depot", "label", "weigh"]
+    assert ids(seeded.traverse("label", "both", 1)) == ["ledger", "pack", "weigh"]
     with pytest.raises(KeyError):
         seeded.traverse("nobody")
     with pytest.raises(ValueError):
-        seeded.traverse("svc-api", "sideways").collect()
+        seeded.traverse("depot", "sideways").collect()
 
 
 def test_bfs_on_cycles_and_random_graphs(spark):
@@ -52,12 +53,12 @@ def test_bfs_on_cycles_and_random_graphs(spark):
 
 
 def test_search_and_expand(seeded):
-    assert ids(seeded.search_nodes("account")) == ["cls-user"]
-    assert ids(seeded.search_nodes("handl")) == ["fn-handle"]  # no such token: expanded to those that start so
-    assert ids(seeded.search_nodes("hand", ["Class"])) == []
+    assert ids(seeded.search_nodes("sealed")) == ["parcel"]
+    assert ids(seeded.search_nodes("weig")) == ["weigh"]  # no such token: expanded to those that start so
+    assert ids(seeded.search_nodes("weig", ["Class"])) == []
     nodes, edges = seeded.search_graph("type:Class", hops=1)
-    assert ids(nodes) == ["cls-user", "svc-api"] and ids(edges) == ["r4"]
-    assert ids(seeded.search_graph("svc-db", hops=0)[0]) == ["svc-db"]
+    assert ids(nodes) == ["pack", "parcel"] and ids(edges) == ["e5"]
+    assert ids(seeded.search_graph("ledger", hops=0)[0]) == ["ledger"]
 
 
 def test_impact_by_lines(spark):
@@ -70,13 +71,13 @@ def test_impact_by_lines(spark):
 
 
 def test_import_and_delete(spark, seeded):
-    new = spark.createDataFrame([("fn-query", "Function", "renamed", "{}"), ("r/x", "File", "x", "{}")], "id string, type string, name string, properties string")
-    edges = spark.createDataFrame([("r1", "CALLS", "fn-handle", "r/x"), ("bad", "CALLS", "fn-handle", "nowhere")], "id string, type string, source_id string, target_id string")
+    new = spark.createDataFrame([("label", "Function", "renamed", "{}"), ("r/x", "File", "x", "{}")], "id string, type string, name string, properties string")
+    edges = spark.createDataFrame([("e1", "CALLS", "pack", "r/x"), ("bad", "CALLS", "pack", "nowhere")], "id string, type string, source_id string, target_id string")
     store = seeded.import_batch(new, edges)
-    assert store.get_node("fn-query").first()["name"] == "renamed" and store.nodes.count() == 6
-    assert ids(store.edges) == ["r1", "r2", "r3", "r4"]
+    assert store.get_node("label").first()["name"] == "renamed" and store.nodes.count() == 7
+    assert ids(store.edges) == [f"e{i}" for i in range(1, 8)]
     gone = store.delete_repo("r")
-    assert "r/x" not in ids(gone.nodes) and "r1" not in ids(gone.edges)
+    assert "r/x" not in ids(gone.nodes) and ids(gone.edges) == [f"e{i}" for i in range(2, 8)]
 
 
 def test_merge_and_diff(spark):
@@ -113,9 +114,89 @@ def test_communities_beat_chance(spark):
 
 
 def test_incident_and_capped(seeded):
-    got = {(r["direction"], r["other_id"]) for r in graph.incident(seeded.nodes, seeded.edges, "fn-handle").collect()}
-    assert got == {("outgoing", "fn-query"), ("incoming", "svc-api")}
+    got = {(r["direction"], r["other_id"]) for r in graph.incident(seeded.nodes, seeded.edges, "pack").collect()}
+    assert got == {("outgoing", "weigh"), ("outgoing", "parcel"), ("incoming", "depot"), ("incoming", "label")}
     nodes, edges = graph.whole_graph(seeded.nodes, seeded.edges, 3, 2)
-    assert ids(edges) == ["r1", "r2"] and nodes.count() == 3
-    assert ids(graph.orphans(seeded.nodes, seeded.edges.where("id <> 'r3'"))) == ["svc-db"]
-    assert {r["id"]: r["degree"] for r in graph.degrees(seeded.edges).collect()}["svc-api"] == 3
+    assert nodes.count() == 3 and edges.count() <= 2
+    assert ids(graph.orphans(seeded.nodes, seeded.edges.where("target_id <> 'ledger'"))) == ["ledger"]
+    assert {r["id"]: r["degree"] for r in graph.degrees(seeded.edges).collect()}["pack"] == 4
+
+
+@pytest.fixture
+def shop(spark):
+    """Two repositories with a file of the same name, symbols and sources."""
+    nodes = [
+        ("shop", "Repository", "shop", '{"path": "/work/shop"}'), ("till", "Repository", "till", '{"path": "/work/till/"}'),
+        ("shop/src/cash.py", "File", "cash.py", '{"path": "src/cash.py"}'), ("till/cash.py", "File", "cash.py", '{"path": "cash.py"}'), ("till/coin.py", "File", "coin.py", '{"path": "coin.py"}'),
+        ("shop/src/cash.py::change", "Function", "change", '{"start_line": 2, "end_line": 3, "summary": "gives coins back"}'),
+        ("till/coin.py::count", "Function", "count", '{"start_line": 1, "end_line": 1, "summary": "counts coins"}'),
+    ]
+    edges = [("1", "DEFINES", "shop/src/cash.py", "shop/src/cash.py::change"), ("2", "CALLS", "shop/src/cash.py::change", "till/coin.py::count"), ("3", "IMPORTS", "shop/src/cash.py", "till/coin.py"), ("4", "MENTIONS", "till/cash.py", "till/coin.py")]
+    sources = [("shop/src/cash.py", "src/cash.py", "import coin\ndef change():\n    return coin.count()\n"), ("till/coin.py", "coin.py", "def count(): return 1")]
+    make = spark.createDataFrame
+    return GraphStore(make(nodes, "id string, type string, name string, properties string"), make(edges, "id string, type string, source_id string, target_id string"), make(sources, "id string, path string, content string"))
+
+
+def test_source_search_is_scoped_and_says_what_it_left_out(shop):
+    both = shop.source_search("coins", types=["Function"])
+    assert {(r["id"], r["truncated"]) for r in both.collect()} == {("shop/src/cash.py::change", False), ("till/coin.py::count", False)}
+    assert [r["truncated"] for r in shop.source_search("coins", types=["Function"], limit=1).collect()] == [True]
+    assert ids(shop.source_search("coins", "till", ["Function"])) == ["till/coin.py::count"]
+    with pytest.raises(LookupError, match="shop, till"):
+        shop.source_search("coins", "til")
+
+
+def test_files_are_resolved_below_their_repositories(shop):
+    assert shop.path_candidates("/work/till/coin.py") == ["/work/till/coin.py", "coin.py"]
+    assert shop.resolve_file("/work/shop/src/cash.py") == "shop/src/cash.py" and shop.resolve_file("elsewhere/coin.py") == "till/coin.py"
+    assert shop.resolve_file("nothing.py") is None
+    with pytest.raises(LookupError, match="shop/src/cash.py, till/cash.py"):
+        shop.resolve_file("other/cash.py")
+    assert [(r["repo_id"], r["path"]) for r in shop.repo_paths().collect()] == [("shop", "/work/shop"), ("till", "/work/till/")]
+
+
+def test_read_source_explore_and_file_impact(shop):
+    content = lambda **k: shop.read_source(**k).first()["content"]
+    assert content(path="src/cash.py", lines="2") == "def change():" and content(path="src/cash.py", lines="2-") == "def change():\n    return coin.count()\n"
+    assert content(node_id="till/coin.py::count") == "def count(): return 1" and content(path="/work/shop/src/cash.py", lines="1-2") == "import coin\ndef change():"
+    for bad in ("x", "0", "3-2", "1-2-3"):
+        with pytest.raises(ValueError):
+            shop.read_source(path="src/cash.py", lines=bad)
+    with pytest.raises(LookupError):
+        shop.read_source(path="nothing.py")
+    node, near, source = shop.explore("shop/src/cash.py::change", 2)
+    assert ids(node) == ["shop/src/cash.py::change"] and source.first()["line_count"] == 4
+    assert {r["id"]: r["depth"] for r in near.collect()} == {"shop/src/cash.py": 1, "till/coin.py::count": 1, "till/coin.py": 2}
+    assert [r["neighbor_id"] for r in shop.file_impact("coin.py").collect()] == ["shop/src/cash.py"]
+
+
+def test_index_update_and_remove(spark):
+    docs = spark.createDataFrame([("a", "one", "red apple"), ("b", "two", "green apple tree"), ("c", "three", "blue sea")], "id string, name string, text string")
+    index = search.Index.build(docs)
+    assert ids(search.bm25(index, "apple")) == ["a", "b"]
+    newer = index.update(spark.createDataFrame([("a", "one", "red brick"), ("d", "four", "apple pie")], docs.schema))
+    same = search.Index.build(spark.createDataFrame([("a", "one", "red brick"), ("b", "two", "green apple tree"), ("c", "three", "blue sea"), ("d", "four", "apple pie")], docs.schema))
+    assert search.bm25(newer, "apple red").collect() == search.bm25(same, "apple red").collect()
+    less = newer.remove(spark.createDataFrame([("b",), ("zzz",)], "id string"))
+    assert ids(search.bm25(less, "apple")) == ["d"] and less.sizes.count() == 3
+
+
+def test_imports_are_counted_and_bad_rows_told(spark, seeded):
+    nodes = spark.createDataFrame([("pack", "Function", "p", "{}"), ("new", "File", "n", "{}"), (None, "File", "x", "{}"), ("untyped", None, "x", "{}")], "id string, type string, name string, properties string")
+    edges = spark.createDataFrame([("e1", "CALLS", "pack", "new"), ("e9", "CALLS", "new", "label"), ("lost", "CALLS", "new", "nowhere"), ("gone", "CALLS", "nowhere", "new")], "id string, type string, source_id string, target_id string")
+    counts, errors = seeded.import_report(nodes, edges)
+    assert {r["what"]: r["n"] for r in counts.collect()} == {"nodes_created": 1, "nodes_updated": 1, "edges_created": 1, "edges_updated": 1, "errors": 4}
+    assert {(r["id"], r["error"]) for r in errors.collect()} == {(None, "no id"), ("untyped", "no type"), ("lost", "no target"), ("gone", "no source")}
+    vectors = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "id string, vec array<double>")
+    more = seeded.add_vectors(vectors).add_vectors(spark.createDataFrame([("b", [3.0])], vectors.schema))
+    assert {r["id"]: r["vec"] for r in more.vectors.collect()} == {"a": [1.0], "b": [3.0]}
+    assert more.cleared().nodes.count() == 0 and more.cleared().vectors.columns == ["id", "vec"]
+
+
+def test_properties_literals_and_references(spark):
+    rows = spark.createDataFrame([("{a: 1, b: 'x, y', \"c d\": z, a: 2}",), ("{}",), ("none",)], "s string")
+    assert [r["m"] for r in rows.select(store_ops.parse_map_literal(F.col("s")).alias("m")).collect()] == [{"a": "2", "b": "x, y", "c d": "z"}, {}, None]
+    variables = spark.createDataFrame([("f", "x", 3, ["c"]), ("f", "x", 1, ["a", "b"]), ("f", "y", 2, [])], "scope_id string, name string, seq int, refs array<string>")
+    assert {(r["name"], r["seq"], tuple(r["refs"])) for r in store_ops.merge_refs(variables).collect()} == {("x", 1, ("a", "b", "c")), ("y", 2, ())}
+    fresh = store_ops.insert_missing(rows.select(F.col("s").alias("id"), F.lit(1).alias("n")), spark.createDataFrame([("q", 9), ("q", 4), ("{}", 0)], "id string, n int"))
+    assert {(r["id"], r["n"]) for r in fresh.collect()} >= {("q", 4), ("{}", 1)} and fresh.count() == 4

@@ -187,7 +187,7 @@ def test_archive_round_trip(spark, seeded, tmp_path):
     path = str(tmp_path / "g.zip")
     archive.export_graph(seeded.nodes, seeded.edges.withColumn("properties", F.lit('{"w": 1}')), path)
     nodes, edges = archive.import_graph(spark, path)
-    assert sorted(map(tuple, nodes.collect())) == sorted(map(tuple, seeded.nodes.collect())) and edges.count() == 4
+    assert sorted(map(tuple, nodes.collect())) == sorted(map(tuple, seeded.nodes.collect())) and edges.count() == 7
     with pytest.raises(ValueError):
         archive.export_graph(seeded.nodes.where("false"), seeded.edges, path)
     with zipfile.ZipFile(str(tmp_path / "empty.zip"), "w"):
@@ -213,8 +213,9 @@ def test_snapshot_stream(spark, tmp_path):
     stream = spark.readStream.schema("repo string, id string, type string, name string").parquet(str(tmp_path / "in"))
     store = snapshots.SnapshotStore(spark, str(tmp_path / "store"))
     none = spark.createDataFrame([("1", "E", "q/a", "q/a")], "id string, type string, source_id string, target_id string")
-    snapshots.ingest(store, stream, lambda repo: none.where(F.col("source_id").startswith(f"{repo}/")), str(tmp_path / "cp")).awaitTermination()
+    snapshots.ingest(store, stream, lambda repos: none.withColumn("repo", F.split("source_id", "/")[0]).join(repos, "repo", "left_semi").drop("repo"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r["id"] for r in store.read()[0].collect()) == ["p/b", "q/a"]
+    assert store.current().startswith("0000000001-")  # both repositories of the batch in one snapshot
 
 
 def test_stream_equals_batch_and_drops_repeats(spark):
