@@ -266,12 +266,12 @@ def brute_force_scores(rows, learned, rounds):
 
     def softmaxes(before, last, target):
         a, b = before + 1, last + 1
-        hashed = [a * m1 & mask, (a * m2 & mask ^ b * m3 & mask) * m1 & mask, b * m2 & mask]
+        hashed = [a * m1 & mask, b * m2 & mask, (a * m2 & mask ^ b * m3 & mask) * m1 & mask]
         steps = path(target) if target < len(rank) else (width - 1,)
         for level, outcome in enumerate(steps):
             above = steps[:level]
             node = sum(x * width ** (level - 1 - k) for k, x in enumerate(above))
-            features = [(h + node * 3 + level & mask) * m3 % 2**64 >> 64 - (buckets.bit_length() - 1) for h in hashed]
+            features = [(h + node * 3 + level & mask) * m3 % 2**64 >> 64 - (buckets.bit_length() - 1) for h in hashed[: lm.FEATURES[level]]]
             total = sum(mass[(*above, k)] for k in range(width))
             up = [math.exp(math.log(max(mass[(*above, k)] / total, math.exp(-60))) + sum(weights.get((level, f, k), 0.0) for f in features)) for k in range(width)]
             yield level, features, outcome, [x / sum(up) for x in up]
@@ -330,7 +330,7 @@ def test_language_model_probabilities_sum_to_one():
     p = np.exp(model.log_probability(np.full(len(head), 3), np.full(len(head), 7), head)).sum()
     tail = np.exp(model.log_probability(np.array([3]), np.array([7]), np.array([99999])))[0]
     assert p + tail == pytest.approx(1, abs=1e-4)
-    assert lm.bucket_count(0) == lm.LEAST_BUCKETS < lm.bucket_count(3 * 10**7) < lm.bucket_count(2 * 10**8) == lm.MOST_BUCKETS == lm.bucket_count(10**14)
+    assert lm.bucket_count(0) == lm.LEAST_BUCKETS < lm.bucket_count(10**7) < lm.bucket_count(10**8) == lm.MOST_BUCKETS == lm.bucket_count(10**14)
 
 
 def test_decontamination_finds_copies_and_paraphrases(spark):
