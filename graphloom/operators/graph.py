@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -175,6 +176,17 @@ def overlaps(start: Column, end: Column, ranges: Sequence[tuple[int, int]]) -> C
     return start.isNull() | hit
 
 
+def discover(nodes: DataFrame, edges: DataFrame, roots: DataFrame, rank: Column, types: Sequence[str], depth: int = 3) -> DataFrame:
+    """The tree below the roots (id): parent_id, position, id, type, name, level, down to ``depth`` levels;
+    only nodes of the ``types`` are opened."""
+    level, open_at = [], roots.select("id").join(nodes.select("id", "type"), "id").where(F.col("type").isin(list(types)))
+    for n in range(1, min(depth, MAX_DEPTH) + 1):
+        below = children(nodes, edges, open_at, rank)
+        level.append(below.select("*", F.lit(n).alias("level")))
+        open_at = below.where(F.col("type").isin(list(types))).select("id")
+    return reduce(DataFrame.unionByName, level)
+
+
 def parse_lines(spec: str) -> list[tuple[int, int]]:
     """``10-25,40`` as ranges; parts that are no numbers are left out."""
     out = []

@@ -156,6 +156,13 @@ def name_contains(nodes: DataFrame, query: str) -> DataFrame:
     return hit.select("id", (1.0 / (1 + F.length("name"))).alias("score"))
 
 
+def name_or_id_contains(nodes: DataFrame, query: str, types: Sequence[str] | None = None) -> DataFrame:
+    """Nodes (of some types) whose name or id contains a text, in any case."""
+    part = query.lower()
+    found = nodes.where(F.lower("name").contains(part) | F.lower("id").contains(part))
+    return found.where(F.col("type").isin(list(types))) if types else found
+
+
 def hybrid(docs: DataFrame, query: str, vectors: DataFrame | None = None, query_vector: Sequence[float] | None = None, types: Sequence[str] | None = None, limit: int = 50, index: Index | None = None) -> DataFrame:
     """BM25 and vector lists fused by rank; if both are empty, names that hold the query.
     Types are filtered before the ranking, so none of the places is lost to others. A

@@ -118,6 +118,14 @@ def facets(nodes: DataFrame, sub: Column) -> DataFrame:
     return rows
 
 
+def facet_tree(nodes: DataFrame, sub: Column, hidden: Sequence[str] = ()) -> DataFrame:
+    """type, n, hidden, subs: types by number, each with its sub-types (an array of n, sub_type, the most frequent first)."""
+    by = nodes.select("type", sub.alias("sub_type")).groupBy("type", "sub_type").agg(F.count(F.lit(1)).alias("n"))
+    named = F.when(F.col("sub_type").isNotNull(), F.struct((-F.col("n")).alias("n"), "sub_type"))
+    tree = by.groupBy("type").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(named)).alias("_subs"))
+    return tree.select("type", "n", F.col("type").isin(*hidden).alias("hidden"), F.transform("_subs", lambda x: F.struct((-x["n"]).alias("n"), x["sub_type"].alias("sub_type"))).alias("subs")).orderBy(F.col("n").desc(), "type")
+
+
 def unpacked(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Some properties as columns, as text; a nested value stays JSON."""
     return nodes.select("*", *[F.get_json_object("properties", f"$.{k}").alias(k) for k in keys])

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
 from graphloom.functions.fixed_values import DOMAINS, STOP_WORDS
-from graphloom.operators import graph, resolve, search, store_ops
+from graphloom.operators import graph, reports, resolve, search, store_ops
 from graphloom.sources import archive
 from graphloom.session import spread
 from graphloom.sources.tables import GRAPH_SQL, edges, nodes, table
@@ -105,10 +106,9 @@ def name_contains(spark, sf):
     return nodes(spark, sf).where(F.lower("name").contains("an")).select("id", "type", "name")
 
 
-@query("SELECT id FROM nodes WHERE (contains(lower(name), 'urgent') OR contains(lower(id), 'urgent') OR contains(lower(id), 'supplier:1')) AND type IN ('Order', 'Supplier')", graph_sql=True)
+@query("SELECT id FROM nodes WHERE (contains(lower(name), 'urgent') OR contains(lower(id), 'urgent')) AND type IN ('Order', 'Supplier')", graph_sql=True)
 def name_or_id_contains(spark, sf):
-    hit = lambda c: F.lower(c).contains("urgent")
-    return nodes(spark, sf).where((hit("name") | hit("id") | F.lower("id").contains("supplier:1")) & F.col("type").isin("Order", "Supplier")).select("id")
+    return search.name_or_id_contains(nodes(spark, sf), "URGENT", ["Order", "Supplier"]).select("id")
 
 
 @query("SELECT type, CAST(count(*) AS BIGINT) AS n FROM nodes WHERE starts_with(id, 'order:1') GROUP BY type", graph_sql=True)
@@ -764,15 +764,82 @@ def events_stream_parity(spark, sf):
 # reports
 
 
-@query("SELECT o_orderpriority AS category, CAST(count(*) AS BIGINT) AS total, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS passed, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS pass_rate FROM orders GROUP BY ROLLUP (o_orderpriority)")
+@query("SELECT o_orderpriority AS category, CAST(count(*) AS BIGINT) AS total, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS passed, CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS failed, CAST(sum(CASE WHEN o_orderstatus IN ('F', 'O') THEN 0 ELSE 1 END) AS BIGINT) AS errors, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS pass_rate FROM orders GROUP BY ROLLUP (o_orderpriority)")
 def accuracy_report_rollup(spark, sf):
-    ok = (F.col("o_orderstatus") == "F").cast("int")
-    return table(spark, sf, "orders").rollup(F.col("o_orderpriority").alias("category")).agg(F.count(F.lit(1)).alias("total"), F.sum(ok).alias("passed"), F.round(F.avg(ok), 6).alias("pass_rate"))
+    found = reports.pass_rates(table(spark, sf, "orders").withColumnRenamed("o_orderpriority", "category"), "category", F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "O")
+    return found.withColumn("pass_rate", F.round("pass_rate", 6))
 
 
 @query("SELECT c_mktsegment, round(avg(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END), 4) AS urgent, round(avg(CASE WHEN o_orderpriority <> '1-URGENT' THEN o_totalprice END), 4) AS other FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1")
 def ab_report(spark, sf):
     rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     side = F.when(F.col("o_orderpriority") == "1-URGENT", "urgent").otherwise("other")
-    wide = rows.withColumn("side", side).groupBy("c_mktsegment").pivot("side", ["urgent", "other"]).agg(F.avg("o_totalprice"))
+    wide = reports.compared(rows, "c_mktsegment", side, ["urgent", "other"], "o_totalprice")
     return wide.select("c_mktsegment", F.round("urgent", 4).alias("urgent"), F.round("other", 4).alias("other"))
+
+
+# paths, patches, batches and trees over whole tables
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(trim(url), '^http://', 'https://'), '/+$', ''), '\.git$', '') AS url FROM pages")
+def url_normalise(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.normalise_url(F.col("url")).alias("url"))
+
+
+@query("SELECT page_id, url FROM pages WHERE regexp_matches(regexp_replace(url, '^https?://', ''), '^[^/]*/en/[^/]*$')")
+def glob_paths(spark, sf):
+    path = F.regexp_replace("url", "^https?://", "")
+    return table(spark, sf, "pages").where(path.rlike(text.glob_pattern("*/en/*"))).select("page_id", "url")
+
+
+@query("SELECT doc_id, md5(CASE WHEN length(text) > 5000 THEN substr(text, 1, 5000) || chr(10) || '... (truncated)' ELSE text END) AS patch FROM documents")
+def patch_truncation(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.truncate_patch(F.col("text"))).alias("patch"))
+
+
+@query("SELECT 'customer:' || o_custkey AS id, 'seen' AS name FROM (SELECT DISTINCT o_custkey FROM orders) UNION ALL SELECT 'customer:' || c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def insert_missing(spark, sf):
+    seen = table(spark, sf, "orders").select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("id"), F.lit("seen").alias("name")).distinct()
+    return store_ops.insert_missing(seen, table(spark, sf, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name")))
+
+
+@query("SELECT id, CASE WHEN type = 'Customer' THEN upper(name) ELSE name END AS name FROM nodes", graph_sql=True)
+def batch_upsert(spark, sf):
+    every = nodes(spark, sf)
+    store = GraphStore(every, edges(spark, sf))
+    return store.import_batch(every.where("type = 'Customer'").withColumn("name", F.upper("name")), store.edges.where("false")).nodes.select("id", "name")
+
+
+@query("SELECT CASE WHEN type = 'Region' THEN 'Repository' ELSE type END AS type, CAST(count(*) AS BIGINT) AS n FROM nodes WHERE type <> 'EventType' GROUP BY 1", graph_sql=True)
+def internal_types_hidden(spark, sf):
+    kind = F.when(F.col("type") == "EventType", graph.INTERNAL_TYPES[0]).when(F.col("type") == "Region", "Repository").otherwise(F.col("type"))
+    return GraphStore(nodes(spark, sf).withColumn("type", kind), edges(spark, sf)).nodes.groupBy("type").agg(F.count("id").alias("n"))
+
+
+@query("""
+WITH p AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, url, 'pkg:' || substr(regexp_extract(url, '[^/]*$'), 1, 1) AS dep FROM pages), one AS (SELECT min(host) AS host FROM p)
+SELECT DISTINCT host AS id, 'Repository' AS type FROM p WHERE host = (SELECT host FROM one) UNION SELECT DISTINCT host || '/' || url, 'File' FROM p WHERE host = (SELECT host FROM one) UNION SELECT DISTINCT dep, 'Dependency' FROM p WHERE host = (SELECT host FROM one)""")
+def scoped_export(spark, sf):
+    """The part of a graph of hosts, pages and what they depend on that belongs to the first host."""
+    p = table(spark, sf, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), "url", F.concat(F.lit("pkg:"), F.substring(text.basename(F.col("url")), 1, 1)).alias("dep"))
+    file = F.concat("host", F.lit("/"), "url")
+    parts = [(F.col("host"), "Repository"), (file, "File"), (F.col("dep"), "Dependency")]
+    n = reduce(DataFrame.unionByName, [p.select(c.alias("id"), F.lit(t).alias("type")).distinct() for c, t in parts])
+    e = p.select(F.concat(file, F.lit("->"), "dep").alias("id"), F.lit("DEPENDS_ON").alias("type"), file.alias("source_id"), F.col("dep").alias("target_id")).distinct()
+    return store_ops.scoped(n, e, p.agg(F.min("host").alias("host")).first()["host"])[0]
+
+
+@query("""
+WITH RECURSIVE t AS (
+SELECT e.source_id AS parent_id, n.id, n.type, 1 AS level FROM edges e JOIN nodes n ON n.id = e.target_id WHERE e.type = 'DEFINES' AND e.source_id LIKE 'region:%'
+UNION ALL SELECT e.source_id, n.id, n.type, t.level + 1 FROM t JOIN edges e ON e.source_id = t.id AND e.type = 'DEFINES' JOIN nodes n ON n.id = e.target_id WHERE t.type IN ('Region', 'Nation') AND t.level < 3)
+SELECT parent_id, id, type, CAST(level AS INT) AS level FROM t""", graph_sql=True)
+def discover_tree(spark, sf):
+    n = nodes(spark, sf)
+    return graph.discover(n, edges(spark, sf), n.where("type = 'Region'"), F.lit(0), ["Region", "Nation"]).select("parent_id", "id", "type", "level")
+
+
+@query("WITH c AS (SELECT type, kind, count(*) AS n FROM nodes GROUP BY 1, 2) SELECT type, CAST(sum(n) AS BIGINT) AS n, type IN ('Document', 'Page') AS hidden, coalesce(string_agg(kind || '=' || n, ',' ORDER BY n DESC, kind) FILTER (WHERE kind IS NOT NULL), '') AS subs FROM c GROUP BY type", graph_sql=True)
+def filter_tree(spark, sf):
+    tree = store_ops.facet_tree(nodes(spark, sf), text.sub_type(F.col("type"), F.col("name"), F.col("properties")), ["Document", "Page"])
+    return tree.withColumn("subs", F.array_join(F.transform("subs", lambda x: F.concat(x["sub_type"], F.lit("="), x["n"].cast("string"))), ","))

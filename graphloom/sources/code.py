@@ -1,7 +1,7 @@
 """Symbols, calls, imports and variables of source files.
 
 Python is parsed in its tasks with the standard library's ``ast``; other languages are
-matched line by line with definition patterns, in Spark expressions. Whatever crosses
+read by their blocks (``sources.blocks``). Whatever crosses
 files (imports, calls, data flow) is resolved by joins in ``operators.resolve``."""
 
 from __future__ import annotations
@@ -10,8 +10,7 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 ROWS = "file_id string, seq int, what string, scope string, name string, kind string, start_line int, end_line int, signature string, receiver string, docs string, bases array<string>"
 
@@ -110,39 +109,3 @@ def python_facts(sources: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=columns).astype({"start_line": "Int32", "end_line": "Int32", "seq": "int32"})
 
     return sources.where("language = 'python'").select("file_id", "content").mapInPandas(run, ROWS)
-
-
-#: Definition patterns of other languages: language, kind, pattern with the name as its last group.
-PATTERNS = [
-    ("typescript", "class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:class|interface|enum)\s+(\w+)"),
-    ("typescript", "function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+(\w+)"),
-    ("typescript", "function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>"),
-    ("go", "class", r"^type\s+(\w+)\s+(?:struct|interface)\b"),
-    ("go", "function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*[\[(]"),
-    ("java", "class", r"^\s*(?:(?:public|protected|private|abstract|final|static|sealed)\s+)*(?:class|interface|enum|record)\s+(\w+)"),
-    ("java", "function", r"^\s*(?:(?:public|protected|private|abstract|final|static|synchronized|native)\s+)+(?:<[^>]+>\s*)?[\w<>\[\],.? ]+\s+(\w+)\s*\([^;]*$"),
-    ("kotlin", "class", r"^\s*(?:(?:public|private|internal|data|sealed|abstract|open|enum)\s+)*(?:class|interface|object)\s+(\w+)"),
-    ("kotlin", "function", r"^\s*(?:(?:public|private|internal|override|suspend|inline|open)\s+)*fun\s+(?:<[^>]+>\s*)?(?:\w+\.)?(\w+)\s*\("),
-    ("csharp", "class", r"^\s*(?:(?:public|protected|private|internal|abstract|sealed|static|partial)\s+)*(?:class|interface|struct|enum|record)\s+(\w+)"),
-    ("csharp", "function", r"^\s*(?:(?:public|protected|private|internal|static|virtual|override|async|abstract)\s+)+[\w<>\[\],.? ]+\s+(\w+)\s*\([^;]*$"),
-    ("rust", "class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait|union)\s+(\w+)"),
-    ("rust", "function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|const|unsafe)\s+)*fn\s+(\w+)"),
-    ("ruby", "class", r"^\s*(?:class|module)\s+(?:\w+::)*(\w+)"),
-    ("ruby", "function", r"^\s*def\s+(?:self\.)?(\w+[?!=]?)"),
-    ("swift", "class", r"^\s*(?:(?:public|private|internal|open|final)\s+)*(?:class|struct|enum|protocol|actor)\s+(\w+)"),
-    ("swift", "function", r"^\s*(?:(?:public|private|internal|open|static|override|mutating)\s+)*func\s+(\w+)"),
-    ("c", "class", r"^\s*(?:typedef\s+)?(?:struct|enum|union)\s+(\w+)\s*\{"),
-    ("c", "function", r"^(?!\s*(?:return|else|if|for|while|switch)\b)[\w\s*]+?\b(\w+)\s*\([^;]*\)\s*\{?\s*$"),
-    ("cpp", "class", r"^\s*(?:template\s*<[^>]*>\s*)?(?:class|struct|enum(?:\s+class)?)\s+(\w+)\s*(?:final\s*)?(?::[^:].*)?\{?\s*$"),
-    ("cpp", "function", r"^(?!\s*(?:return|else|if|for|while|switch)\b)[\w\s*&:<>,~]+?\b(?:\w+::)*(~?\w+)\s*\([^;]*\)\s*(?:const\s*)?(?:override\s*)?\{?\s*$"),
-]
-
-
-def pattern_symbols(sources: DataFrame) -> DataFrame:
-    """file_id, seq, name, kind, start_line, end_line (the line before the next symbol), signature."""
-    lines = sources.select("file_id", "language", F.size(F.split("content", "\n", -1)).alias("_lines"), F.posexplode(F.split("content", "\n", -1)).alias("_at", "line"))
-    family = F.when(F.col("language") == "javascript", "typescript").otherwise(F.col("language"))
-    hits = F.coalesce(*[F.when((family == lang) & (F.regexp_extract("line", p, 1) != ""), F.struct(F.regexp_extract("line", p, 1).alias("name"), F.lit(kind).alias("kind"))) for lang, kind, p in PATTERNS])
-    found = lines.withColumn("_hit", hits).where("_hit IS NOT NULL")
-    order = Window.partitionBy("file_id").orderBy("_at")
-    return found.select("file_id", F.row_number().over(order).alias("seq"), "_hit.name", "_hit.kind", (F.col("_at") + 1).alias("start_line"), F.coalesce(F.lead("_at").over(order), F.col("_lines")).alias("end_line"), F.trim("line").alias("signature"))

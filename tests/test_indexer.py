@@ -7,7 +7,11 @@ REPO = {
     "shop/__init__.py": "",
     "shop/store.py": '"""Store."""\nimport requests\nfrom shop.util import price\n\n\nclass Store:\n    """Keeps goods. More."""\n\n    def sell(self, item: str) -> int:\n        cost = price(item)\n        return self.log(cost)\n\n    def log(self, cost):\n        return cost\n\n\ndef main():\n    s = Store()\n    return s\n',
     "shop/util.py": "def price(item):\n    return 1\n",
-    "web/app.ts": "export class App {\n}\n",
+    "web/app.ts": "import { paint } from './paint';\nimport React from 'react';\nexport class App {\n  show(x) {\n    paint(x);\n    this.hide();\n  }\n  hide() {\n  }\n}\n",
+    "web/paint.ts": "export function paint(x) {\n  return x;\n}\n",
+    "go.mod": "module example.org/depot\n",
+    "main.go": 'package main\n\nimport "example.org/depot/boxes"\n\nfunc main() {\n\tboxes.Pack()\n}\n',
+    "boxes/box.go": "package boxes\n\ntype Box struct {\n}\n\nfunc Pack() {\n}\n\nfunc (b *Box) Shut() {\n\tb.lock()\n}\n\nfunc (b *Box) lock() {\n}\n",
     "requirements.txt": "requests>=2\n",
 }
 
@@ -24,9 +28,12 @@ def test_index_and_query(spark):
         ("CALLS", "r/shop/store.py::Store::sell(str)", "r/shop/util.py::price"), ("CALLS", "r/shop/store.py::Store::sell(str)", "r/shop/store.py::Store::log"),
         ("CALLS", "r/shop/store.py::main()", "r/shop/store.py::Store"), ("DEFINES", "r/shop", "r/shop/store.py"),
         ("DERIVED_FROM", "r/shop/store.py::Store::sell(str)::cost", "r/shop/util.py::price"),
+        ("IMPORTS", "r/web/app.ts", "r/web/paint.ts"), ("IMPORTS", "r/web/app.ts", "pkg:npm:react"), ("IMPORTS", "r/main.go", "r/boxes/box.go"),
+        ("CALLS", "r/web/app.ts::App::show", "r/web/paint.ts::paint"), ("CALLS", "r/web/app.ts::App::show", "r/web/app.ts::App::hide"),
+        ("CALLS", "r/main.go::main", "r/boxes/box.go::Pack"), ("CALLS", "r/boxes/box.go::Box.Shut", "r/boxes/box.go::Box.lock"),
     } <= got, got
     store = GraphStore(nodes, edges)
     assert {r["id"] for r in store.impact("shop/util.py").collect()} >= {"r/shop/store.py::Store::sell(str)"}
     assert [r["id"] for r in store.search_nodes("keeps goods").collect()] == ["r/shop/store.py::Store"]
     meta = indexer.index_metadata(nodes, edges, "r", branch="main")
-    assert meta.first()["n_class"] == 2 and indexer.repositories(nodes, meta.union(meta)).first()["branch"] == "main"
+    assert meta.first()["n_class"] == 3 and indexer.repositories(nodes, meta.union(meta)).first()["branch"] == "main"

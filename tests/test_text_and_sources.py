@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text
 from graphloom.operators import search
 from graphloom.plans import registry
-from graphloom.sources import archive, code, files, manifests, pulls
+from graphloom.sources import archive, benchmarks, blocks, code, files, manifests, pulls
 from graphloom.streaming import events, snapshots
 
 
@@ -149,7 +149,7 @@ def test_python_facts(spark):
 
 def test_pattern_symbols(spark):
     rows = [("a.ts", "typescript", "export class A {}\nconst f = async (x) => 1\nexport function g() {}"), ("a.go", "go", "type T struct {\n}\nfunc (t *T) Run() {"), ("A.java", "java", "public class A {\n  public static int f(int x) {"), ("a.rs", "rust", "pub struct S;\npub fn go() {}"), ("a.rb", "ruby", "class A\n  def b?\n  end"), ("a.c", "c", "int main(int a) {\n  if (x) {\n")]
-    found = code.pattern_symbols(spark.createDataFrame(rows, "file_id string, language string, content string"))
+    found = blocks.symbols(spark.createDataFrame(rows, "file_id string, language string, content string"))
     got = {}
     for r in found.collect():
         got.setdefault(r["file_id"], []).append((r["name"], r["kind"]))
@@ -225,3 +225,164 @@ def test_stream_equals_batch_and_drops_repeats(spark):
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, stream.collect()))
     once = events.run_to_end(events.deduplicated(events.event_stream(spark, sf), ["event_id"], "10 days"), "append")
     assert once.count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+SAMPLES = {
+"r/a.ts":("typescript",'''import React, { useState as state, type Kind } from 'react';
+import {
+  load,
+  save,
+} from "./disk";
+const fs = require('fs');
+
+/** Keeps boxes.
+ * More. */
+export class Shelf extends Board<Row, Cell> implements Holder, Named {
+  private boxes: Box[] = [];
+
+  constructor(private size: number) {
+    super(size);
+  }
+
+  // Puts one in.
+  put(box: Box): void {
+    if (box.ok("}{")) {
+      this.boxes.push(box);
+    } else {
+      load(box);
+    }
+  }
+}
+
+export const wrap = async (x: number): Promise<number> => {
+  return save(x);
+};
+function one() { return wrap(1); }
+'''),
+"r/b.go":("go",'''package depot
+
+import (
+	"fmt"
+	box "example.org/depot/boxes"
+)
+
+// Depot holds boxes.
+type Depot struct {
+	Base
+	*boxes.Lid
+	name string
+}
+
+// Open opens it.
+func (d *Depot) Open(key string) error {
+	fmt.Println("}")
+	return d.turn(key)
+}
+
+func helper() {}
+'''),
+"r/A.java":("java",'''package x;
+
+@Deprecated
+public class A extends B implements C, D<E> {
+    /** Says. */
+    @Override
+    public int f(int x)
+    {
+        if (x > 1) {
+            return g(x);
+        }
+        return 0;
+    }
+
+    static class Inner {
+        void h() {
+        }
+    }
+
+    private void last() {
+    }
+}
+'''),
+"r/m.rs":("rust",'''use crate::util::parse;
+/// A point.
+pub struct Point {
+    x: i32,
+}
+
+impl Shape for Point {
+    fn area(&self) -> i32 {
+        self.x
+    }
+}
+fn lone() {}
+'''),
+"r/s.rb":("ruby",'''require_relative 'util'
+require 'json'
+# A shop.
+class Shop < Base
+  def sell?(x)
+    if x
+      1
+    end
+    [1].each do |y|
+      y
+    end
+  end
+
+  def self.all
+  end
+end
+'''),
+"r/c.kt":("kotlin","class Car(val n: Int) : Vehicle(n), Named {\n  override fun go(x: Int): Int {\n    return 1\n  }\n}\n"),
+"r/p.php":("php","<?php\nclass P extends Q {\n  public function run($x) {\n    foo('{');\n  }\n}\n"),
+}
+
+
+def test_blocks(spark):
+    sources = spark.createDataFrame([(k, *v) for k, v in SAMPLES.items()], "file_id string, language string, content string")
+    rows = blocks.lines(sources)
+    found = blocks.symbols(sources, rows)
+    got = {(r["file_id"], r["scope"].removeprefix(r["file_id"]).removeprefix("::"), r["name"]): r for r in found.collect()}
+    assert {k: (r["kind"], r["start_line"], r["end_line"]) for k, r in got.items()} == {
+        ("r/a.ts", "", "Shelf"): ("class", 10, 25), ("r/a.ts", "Shelf", "constructor"): ("function", 13, 15), ("r/a.ts", "Shelf", "put"): ("function", 18, 24),
+        ("r/a.ts", "", "wrap"): ("function", 27, 29), ("r/a.ts", "", "one"): ("function", 30, 30),
+        ("r/b.go", "", "Depot"): ("class", 9, 13), ("r/b.go", "", "Open"): ("function", 16, 19), ("r/b.go", "", "helper"): ("function", 21, 21),
+        ("r/A.java", "", "A"): ("class", 4, 22), ("r/A.java", "A", "f"): ("function", 7, 13), ("r/A.java", "A", "Inner"): ("class", 15, 18),
+        ("r/A.java", "A::Inner", "h"): ("function", 16, 17), ("r/A.java", "A", "last"): ("function", 20, 21),
+        ("r/m.rs", "", "Point"): ("class", 3, 5), ("r/m.rs", "Point", "area"): ("function", 8, 10), ("r/m.rs", "", "lone"): ("function", 12, 12),
+        ("r/s.rb", "", "Shop"): ("class", 4, 16), ("r/s.rb", "Shop", "sell?"): ("function", 5, 12), ("r/s.rb", "Shop", "all"): ("function", 14, 15),
+        ("r/c.kt", "", "Car"): ("class", 1, 5), ("r/c.kt", "Car", "go"): ("function", 2, 4), ("r/p.php", "", "P"): ("class", 2, 6), ("r/p.php", "P", "run"): ("function", 3, 5),
+    }
+    assert {k[2]: r["bases"] for k, r in got.items() if r["bases"]} == {"Shelf": ["Board", "Holder", "Named"], "Depot": ["Base", "Lid"], "A": ["B", "C", "D"], "Shop": ["Base"], "Car": ["Vehicle", "Named"], "P": ["Q"]}
+    opened, put = got["r/b.go", "", "Open"], got["r/a.ts", "Shelf", "put"]
+    assert (opened["receiver_var"], opened["receiver_type"], opened["signature"], opened["docs"]) == ("d", "Depot", "(key string)", "Open opens it.")
+    assert (put["signature"], put["docs"], got["r/A.java", "A", "f"]["docs"]) == ("(box: Box)", "Puts one in.", "Says.")
+    called = blocks.calls(rows, found.withColumn("node_id", F.concat("scope", F.lit("::"), "name"))).collect()
+    assert sorted((r["caller_id"].split("::")[-1], r["name"], r["receiver"]) for r in called if r["receiver"]) == [("Open", "Println", "fmt"), ("Open", "turn", "d"), ("put", "ok", "box"), ("put", "push", "this.boxes")]
+    assert sorted((r["caller_id"].split("::")[-1], r["name"]) for r in called if not r["receiver"]) == [("one", "wrap"), ("put", "load"), ("wrap", "save")]
+    assert {(r["alias"], r["module"], r["member"]) for r in blocks.imports(sources).collect()} == {
+        ("React", "react", None), ("state", "react", None), ("Kind", "react", None), ("load", "./disk", None), ("save", "./disk", None), ("fs", "fs", None),
+        ("fmt", "fmt", None), ("box", "example.org/depot/boxes", None), ("parse", "crate::util", "parse"), ("util", "./util", None), ("json", "json", None),
+    }
+
+
+def test_blocks_of_odd_files(spark):
+    rows = [("r/e.ts", "typescript", ""), ("r/n.ts", "typescript", None), ("r/u.go", "go", "func Open() {\n  a(\n"), ("r/x.c", "c", "}}}\n" + '"' + "x" * 200_000), ("r/q.md", None, "class A {}")]
+    sources = spark.createDataFrame(rows, "file_id string, language string, content string")
+    assert [(r["file_id"], r["name"], r["end_line"]) for r in blocks.symbols(sources).collect()] == [("r/u.go", "Open", 3)]
+    assert blocks.imports(sources).count() == 0
+
+
+def test_benchmark_files(spark, tmp_path):
+    import json
+
+    rows = [{"instance_id": "a", "repo": "x"}, {"instance_id": "b", "repo": "y"}]
+    (tmp_path / "list.json").write_text(json.dumps(rows))
+    (tmp_path / "held.json").write_text(json.dumps({"instances": rows}))
+    for name in ("list.json", "held.json"):
+        assert sorted(r["instance_id"] for r in benchmarks.load_instances(spark, str(tmp_path / name)).collect()) == ["a", "b"]
+    task = {"id": "t", "category": "c", "tool": "stats", "tool_args": {"k": 1}, "assertions": [{"type": "min_count", "value": 3}]}
+    (tmp_path / "suite.json").write_text(json.dumps({"suite_name": "s", "repo_id": "r", "tasks": [task]}))
+    got = benchmarks.load_suite(spark, str(tmp_path / "suite.json")).collect()
+    assert [(r["suite_name"], r["id"], r["tool_args"], r["assertions"][0]["value"]) for r in got] == [("s", "t", {"k": "1"}, "3")]
