@@ -106,9 +106,10 @@ def name_contains(spark, sf):
     return nodes(spark, sf).where(F.lower("name").contains("an")).select("id", "type", "name")
 
 
-@query("SELECT id FROM nodes WHERE (contains(lower(name), 'urgent') OR contains(lower(id), 'urgent')) AND type IN ('Order', 'Supplier')", graph_sql=True)
+@query("SELECT id FROM nodes WHERE (contains(lower(name), 'urgent') OR contains(lower(id), 'urgent') OR contains(lower(id), 'supplier:1')) AND type IN ('Order', 'Supplier')", graph_sql=True)
 def name_or_id_contains(spark, sf):
-    return search.name_or_id_contains(nodes(spark, sf), "URGENT", ["Order", "Supplier"]).select("id")
+    found = [search.name_or_id_contains(nodes(spark, sf), part, ["Order", "Supplier"]).select("id") for part in ("URGENT", "supplier:1")]
+    return found[0].unionByName(found[1]).distinct()
 
 
 @query("SELECT type, CAST(count(*) AS BIGINT) AS n FROM nodes WHERE starts_with(id, 'order:1') GROUP BY type", graph_sql=True)
