@@ -61,13 +61,19 @@ def _remove_written() -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the driver ends."""
+    path = f"{scratch_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs start from the
     files, whatever executors are lost, and the lineage above is cut."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import documents
+from graphloom.llm.conversation_trie import conversation_trie
 from graphloom.llm.decontaminate import contaminated
 from graphloom.llm.langid import fit, identify, remainder
 from graphloom.llm.line_dedup import dedup_lines
 from graphloom.llm.lm import score_texts
 from graphloom.llm.mixing import mix_sources
+from graphloom.llm.phrases import mine_phrases
 from graphloom.llm.secrets import scan
 from graphloom.llm.simhash import near_duplicates
 from graphloom.llm.substring_dedup import dedup_substrings
 from graphloom.llm.token_counts import count_tokens
+from graphloom.llm.token_files import new_folder, read_tokens, write_tokens
 from graphloom.llm.topk import top_k
 
 
@@ -170,6 +173,94 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", held_out), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+OP11_SQL = r"""
+WITH keyed AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS key
+  FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, key) AS pos, key,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM keyed),
+convs AS (
+  SELECT c, c - c % 20 AS head, count(*) AS n,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda r, _: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)),
+           4294967295) % 4 AS h
+  FROM turns GROUP BY c),
+rebuilt AS (
+  SELECT v.c, t.pos, t.key, t.words FROM convs v JOIN turns t ON t.c = v.head AND t.pos <= v.h
+  UNION ALL
+  SELECT v.c, t.pos + 1000000, t.key, t.words FROM convs v JOIN turns t ON t.c = v.c AND t.pos > v.h),
+whole AS (
+  SELECT v.c, coalesce(list(r.key ORDER BY r.pos) FILTER (WHERE r.key IS NOT NULL), []) AS keys, coalesce(list(r.words ORDER BY r.pos) FILTER (WHERE r.key IS NOT NULL), []) AS words
+  FROM convs v LEFT JOIN rebuilt r ON r.c = v.c GROUP BY v.c),
+paths AS (
+  SELECT c, d AS depth, array_to_string(keys[1:d], '/') AS node, array_to_string(keys[1:d - 1], '/') AS above,
+         CASE WHEN d = 0 THEN 0 ELSE words[d] END AS words, d = len(keys) AS ends
+  FROM (SELECT *, unnest(range(len(keys) + 1)) AS d FROM whole)),
+nodes AS (
+  SELECT depth, node, any_value(above) AS above, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM paths GROUP BY depth, node),
+children AS (SELECT depth - 1 AS depth, above AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN children k ON n.depth = k.depth AND n.node = k.node),
+sums AS (
+  SELECT p.depth, p.node, count(*) FILTER (WHERE u.n_children = 0) AS n_leaves, sum((u.n_convs - 1) * u.words) AS saved_tokens
+  FROM full_nodes u JOIN paths p ON p.c = u.conv_id AND p.depth <= u.depth GROUP BY ALL)
+SELECT n.conv_id, n.depth::BIGINT AS depth, a.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN sums s ON n.depth = s.depth AND n.node = s.node
+LEFT JOIN nodes a ON n.depth > 0 AND a.depth = n.depth - 1 AND a.node = n.above
+"""
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(documents(spark, sf_dir))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+listed AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+placed AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM listed),
+grams AS (
+  SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM placed, (VALUES (1), (2), (3), (4), (5)) AS t(m) WHERE i + m - 1 <= len(ws)),
+counts AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM listed GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.m, c.phrase, c.f AS a, string_split(c.phrase, ' ') AS ws, k
+  FROM counts c, (VALUES (1), (2), (3), (4)) AS t(k) WHERE c.m >= 2 AND k < c.m),
+parts AS (
+  SELECT c.lang, c.m, c.phrase, c.a, c.k, x.f AS l, y.f AS r, t.n,
+         (1000::HUGEINT * c.a * t.n // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c
+  JOIN counts x ON x.lang = c.lang AND x.m = c.k AND x.phrase = array_to_string(c.ws[1:c.k], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.m = c.m - c.k AND y.phrase = array_to_string(c.ws[c.k + 1:c.m], ' ')
+  JOIN totals t ON t.lang = c.lang),
+scored AS (
+  SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM parts) WHERE place = 1),
+covered AS (
+  SELECT DISTINCT s.lang, s.phrase FROM scored s JOIN scored g
+  ON s.lang = g.lang AND g.m > s.m AND contains(' ' || g.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * g.a >= 100 * s.a),
+ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank
+  FROM scored s ANTI JOIN covered c ON s.lang = c.lang AND s.phrase = c.phrase)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark)
+    write_tokens(documents(spark, sf_dir), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 _QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
     "op2_decontamination": (op2_decontamination, None),
@@ -181,6 +272,9 @@ _QUERIES = {
     "op8_top_k": (op8_top_k, OP8_SQL),
     "op9_secret_scan": (op9_secret_scan, None),
     "op10_language_id": (op10_language_id, None),
+    "op11_conversation_trie": (op11_conversation_trie, OP11_SQL),
+    "op12_phrases": (op12_phrases, OP12_SQL),
+    "op13_token_files": (op13_token_files, None),
 }
 
 
