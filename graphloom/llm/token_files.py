@@ -28,10 +28,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +41,10 @@ from graphloom.llm.common import SPACES, new_path, ship
 from graphloom.llm.words import marks, portions, split_words
 
 #: Words whose ids a worker keeps, and the longest kept (bytes).
-CACHE_WORDS = 500_000
+CACHE_WORDS = 2_000_000
 CACHE_BYTES = 64
+#: Bytes of text that are encoded together.
+TOGETHER = 16 << 20
 #: Bytes of ids that a reader gives on at once.
 READ_BYTES = 8 << 20
 _BLANK = marks(SPACES.encode())
@@ -51,30 +55,28 @@ _known: dict[str, WordIds] = {}
 
 
 class WordIds:
-    """Ids of words: the library's answers, kept in one growing array and looked up by word.
+    """Ids of words: the library's answers, kept in flat arrays and found by 128-bit hashes of the words.
     White space is dropped by this vocabulary's normaliser and no token spans it, so the ids of a
     text are those of its words one after another."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = CACHE_WORDS) -> None:
         self.encode, self.most = encode, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.pool = np.zeros(1 << 16, dtype=np.uint32)
-        self.used = 0
-        self.starts: list[int] = []
-        self.counts: list[int] = []
-
-    def add(self, words: list[bytes]) -> None:
-        for word, ids in zip(words, self.encode([w.decode() for w in words]), strict=True):
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(ids)), dtype=np.uint32)))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.at[word] = len(self.starts)
-            self.starts.append(self.used)
-            self.counts.append(len(ids))
-            self.used += len(ids)
+        self.keep(np.zeros(0, dtype=bool))
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def keep(self, which: np.ndarray) -> None:
+        """Forget all words but some. Words stand in the order of the lower half of their hashes."""
+        if not len(which):
+            self.low, self.high = np.zeros((2, 0), dtype=np.uint64)
+            self.starts, self.counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+            self.hit, self.pool = np.zeros(0, dtype=bool), np.zeros(0, dtype=np.uint32)
+            return
+        counts = self.counts[which]
+        self.pool = self.pool[spans(self.starts[which], counts)]
+        self.low, self.high, self.counts, self.starts = self.low[which], self.high[which], counts, np.cumsum(counts) - counts
+        self.hit = np.zeros(len(counts), dtype=bool)
 
     def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words, and how many each word has."""
@@ -82,20 +84,49 @@ class WordIds:
             return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.starts) > self.most:
-            self.clear()
-        self.add([w for w in distinct if w not in self.at])
-        places = np.array([self.at[w] for w in distinct])
-        starts, counts = np.array(self.starts)[places], np.array(self.counts)[places]
+        low, high = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, distinct)), dtype=np.uint64).reshape(-1, 2).T
+        starts, counts = np.zeros(len(low), dtype=np.int64), np.zeros(len(low), dtype=np.int32)
+        known = np.zeros(len(low), dtype=bool)
+        if len(self):
+            at = np.minimum(np.searchsorted(self.low, low), len(self) - 1)
+            known = (self.low[at] == low) & (self.high[at] == high)
+            at = at[known]
+            starts[known], counts[known], self.hit[at] = self.starts[at], self.counts[at], True
+        missing = np.flatnonzero(~known)
+        answers = self.encode(coded.dictionary.take(pa.array(missing)).cast(pa.string()).to_pylist())
+        counts[missing] = n = np.fromiter(map(len, answers), np.int32, len(answers))
+        starts[missing] = len(self.pool) + np.cumsum(n) - n
+        pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(answers), np.uint32, int(n.sum()))))
         codes = coded.indices.to_numpy()
         n = counts[codes]
-        ends = np.cumsum(n)
-        take = np.arange(ends[-1]) + np.repeat(starts[codes] - (ends - n), n)
-        found = self.pool[take]
-        for word in [w for w in distinct if len(w) > CACHE_BYTES]:
-            del self.at[word]  # its ids leave with the next clear()
+        found = pool[spans(starts[codes], n)]
+        self.learn(low[missing], high[missing], starts[missing], counts[missing], np.array([len(distinct[i]) <= CACHE_BYTES for i in missing], dtype=bool), pool)
         return found, n
 
+    def learn(self, low: np.ndarray, high: np.ndarray, starts: np.ndarray, counts: np.ndarray, short: np.ndarray, pool: np.ndarray) -> None:
+        """Keep new words, one for each lower half. If they are too many, those met again since the last time stay."""
+        order = np.argsort(low, kind="stable")
+        order = order[short[order]]
+        new = low[order]
+        fresh = np.ones(len(new), dtype=bool)
+        fresh[1:] = new[1:] != new[:-1]
+        if len(self):
+            fresh &= self.low[np.minimum(np.searchsorted(self.low, new), len(self) - 1)] != new
+        order = order[fresh]
+        merged = np.argsort(np.concatenate((self.low, low[order])), kind="stable")
+        self.low, self.high, self.starts, self.counts, self.hit = (
+            np.concatenate((a, b))[merged] for a, b in ((self.low, low[order]), (self.high, high[order]), (self.starts, starts[order]), (self.counts, counts[order]), (self.hit, np.zeros(len(order), dtype=bool)))
+        )
+        self.pool = pool
+        if len(self) > self.most or len(pool) > 8 * self.most:
+            self.keep(self.hit if 2 * self.hit.sum() <= self.most else np.zeros(0, dtype=bool))
+
+
+def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of all spans, one span after another."""
+    ends = np.cumsum(counts, dtype=np.int64)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
 
 def tokenizer(path: str):
     """The library's tokenizer for a file, once per worker, on one core."""
@@ -116,21 +147,18 @@ def word_ids(path: str) -> WordIds:
     return _known[path]
 
 
-def encode_texts(texts: pa.Array, known: WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the texts, each followed by the end id, and how many each text has."""
-    pieces, rows, sizes = [], [], np.ones(len(texts), dtype=np.int64)
-    for portion in portions(texts, _BLANK):
+def encode_texts(texts: pa.Array, known: WordIds, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Stretches of the ids of the texts, each text followed by the end id, and where in the stretch texts end."""
+    for portion in portions(texts, _BLANK, TOGETHER):
         found = split_words(portion, _BLANK, _NONE, lower=False)
         ids, n = known.ids(found.words)
-        row = portion.rows[found.part]
-        sizes += np.bincount(row, weights=n, minlength=len(texts)).astype(np.int64)
-        pieces.append(ids)
-        rows.append(np.repeat(row, n))
-    out = np.full(int(sizes.sum()), end_id, dtype=np.uint32)
-    if pieces:
-        row = np.concatenate(rows)
-        out[np.arange(len(row)) + row] = np.concatenate(pieces)  # a text's ids come after one end id for each text before it
-    return out, sizes
+        closed = len(portion.rows) - (not portion.ends)
+        ends = np.cumsum(np.bincount(found.part, weights=n, minlength=len(portion.rows)).astype(np.int64)[:closed] + 1)
+        out = np.full(len(ids) + closed, end_id, dtype=np.uint32)
+        inside = np.ones(len(out), dtype=bool)
+        inside[ends - 1] = False
+        out[inside] = ids
+        yield out, ends
 
 
 def token_type(path: str) -> np.dtype:
@@ -163,12 +191,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, p
                     files = {x: system.open_output_stream(f"{folder}/{name}.{x}") for x in ("ids", "offsets", "docs", "nulls")}
                     files["offsets"].write(np.zeros(1, dtype="<u8").tobytes())
                 doc_ids = batch.column(1)
-                ids, sizes = encode_texts(batch.column(2), known, end_id)
-                files["ids"].write(ids.astype(kind).tobytes())
-                files["offsets"].write((n_ids + np.cumsum(sizes)).astype("<u8").tobytes())
+                for ids, ends in encode_texts(batch.column(2), known, end_id):
+                    files["ids"].write(ids.astype(kind).tobytes())
+                    files["offsets"].write((n_ids + ends).astype("<u8").tobytes())
+                    n_ids += len(ids)
                 files["docs"].write(doc_ids.fill_null(0).to_numpy().astype("<i8").tobytes())
                 files["nulls"].write(doc_ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes())
-                n_docs, n_ids = n_docs + batch.num_rows, n_ids + len(ids)
+                n_docs += batch.num_rows
         finally:
             for file in files.values():
                 file.close()

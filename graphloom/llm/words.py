@@ -19,11 +19,13 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 class Portion(NamedTuple):
-    """Bytes of some texts: text ``rows[i]`` has those from starts[i] to starts[i + 1]."""
+    """Bytes of some texts: text ``rows[i]`` has those from starts[i] to starts[i + 1]. Unless
+    ``ends``, the last text goes on in the next portion."""
 
     data: np.ndarray
     starts: np.ndarray
     rows: np.ndarray
+    ends: bool
 
 
 class Words(NamedTuple):
@@ -48,15 +50,13 @@ def portions(texts: pa.Array, cuts: np.ndarray, size: int = PORTION) -> Iterator
     if not len(texts):
         return
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32, count=len(texts) + 1 + texts.offset)[texts.offset :].astype(np.int64)
-    if offsets[-1] == offsets[0]:
-        return
-    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
     row = 0
     while row < len(texts):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1)
         a, b = int(offsets[row]), int(offsets[end])
         if end > row + 1 or b - a <= size:
-            yield Portion(data[a:b], offsets[row : end + 1] - a, np.arange(row, end))
+            yield Portion(data[a:b], offsets[row : end + 1] - a, np.arange(row, end), True)
         else:
             while a < b:
                 stop = min(b, a + size)
@@ -66,7 +66,7 @@ def portions(texts: pa.Array, cuts: np.ndarray, size: int = PORTION) -> Iterator
                         stop += int(found[0])
                         break
                     stop = min(b, stop + size)
-                yield Portion(data[a:stop], np.array([0, stop - a]), np.array([row]))
+                yield Portion(data[a:stop], np.array([0, stop - a]), np.array([row]), stop == b)
                 a = stop
         row = end
 
@@ -87,7 +87,7 @@ def split_words(portion: Portion, spaces: np.ndarray, separators: np.ndarray, lo
     kept = data[inside]
     words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(_LOWER[kept] if lower else kept)])
     part = np.searchsorted(portion.starts, at, side="right") - 1
-    passed = np.cumsum(apart)[at]
+    passed = np.searchsorted(np.flatnonzero(apart), at)
     first = np.ones(len(at), dtype=bool)
     first[1:] = (part[1:] != part[:-1]) | (passed[1:] != passed[:-1])
     return Words(words, part, first)

@@ -224,10 +224,25 @@ def test_word_ids_are_bounded_and_right():
     known = WordIds(lambda ws: [e.ids for e in library.encode_batch(ws, add_special_tokens=False)], most=50)
     for i in range(40):
         texts = [f"qzx{i} the {'y' * 200} w{i % 7}" for _ in range(3)] + ["", f"{i}"]
-        ids, n = encode_texts(pa.array(texts), known, 2)
+        ((ids, ends),) = encode_texts(pa.array(texts), known, 2)
         assert ids.tolist() == [x for t in texts for x in library_ids(t)]
-        assert n.tolist() == [len(library_ids(t)) for t in texts]
-        assert len(known.starts) < 60
+        assert ends.tolist() == np.cumsum([len(library_ids(t)) for t in texts]).tolist()
+        assert len(known) < 60 and len(known.pool) < 1000
+    assert len(known)
+
+
+def test_word_ids_of_texts_cut_in_portions(monkeypatch):
+    library = tokenizer(VOCABULARY)
+    known = WordIds(lambda ws: [e.ids for e in library.encode_batch(ws, add_special_tokens=False)])
+    monkeypatch.setattr(token_files, "TOGETHER", 12)
+    texts = ["", "a text that is cut into portions of a few words", "", "", "b", "x" * 40 + " and more of it", ""]
+    at, ends, ids = 0, [], []
+    for some, where in encode_texts(pa.array(texts), known, 2):
+        ids += some.tolist()
+        ends += (at + where).tolist()
+        at += len(some)
+    assert ids == [x for t in texts for x in library_ids(t)]
+    assert ends == np.cumsum([len(library_ids(t)) for t in texts]).tolist()
 
 
 def test_token_ids_of_a_large_vocabulary(spark, monkeypatch):
