@@ -43,7 +43,7 @@ RANGE_BYTES = 12 << 20
 #: Text looked at for the borders of a range, and every how many-th of its suffixes is taken.
 SAMPLE_BYTES = 200_000
 SAMPLE_STEP = 50
-_BLOCKS = "range int, langs array<string>, lengths binary, words binary, width int, codes binary, counts binary"
+_BLOCKS = "range int, langs array<string>, rows int, names int, size int, lengths binary, words binary, width int, codes binary, counts binary"
 _COUNTS = "lang string, phrase string, words int, n long"
 
 #: A suffix: its language and its words.
@@ -89,7 +89,7 @@ def in_byte_order(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The distinct words in byte order, and for each word its place there, from 1."""
     coded = words.dictionary_encode()
     order = pc.sort_indices(coded.dictionary).to_numpy()
-    rank = np.empty(len(order), dtype=np.int64)
+    rank = np.empty(len(order), dtype=np.int32)
     rank[order] = np.arange(1, len(order) + 1)
     return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy()]
 
@@ -99,7 +99,7 @@ def chunks(batch: pa.RecordBatch, longest: int, extra: Sequence[Suffix] = ()) ->
     langs = batch.column(1).dictionary_encode()
     named = sorted({*langs.dictionary.to_pylist(), *(lang for lang, _ in extra)}, key=str.encode)
     number = {lang: i for i, lang in enumerate(named)}
-    of_row = np.array([number[x] for x in langs.dictionary.to_pylist()], dtype=np.int64)[langs.indices.to_numpy()]
+    of_row = np.array([number[x] for x in langs.dictionary.to_pylist()], dtype=np.int32)[langs.indices.to_numpy()]
     more = pa.array([w for _, ws in extra for w in ws], pa.binary())
     for portion in portions(batch.column(0), SEPARATORS):
         found = split_words(portion, BLANKS, SEPARATORS, lower=True)
@@ -108,11 +108,11 @@ def chunks(batch: pa.RecordBatch, longest: int, extra: Sequence[Suffix] = ()) ->
             b = min(len(piece), a + CHUNK)
             end = min(len(piece), b + longest - 1)  # words that only follow
             words, code = in_byte_order(pa.concat_arrays([found.words.slice(a, end - a), more]))
-            own = np.concatenate((code[: end - a], np.zeros(longest, dtype=np.int64)))
+            own = np.concatenate((code[: end - a], np.zeros(longest, dtype=np.int32)))
             home = np.concatenate((piece[a:end], np.zeros(longest, dtype=np.int64)))
             columns = [lang[a:b]] + [np.where(home[k : k + b - a] == home[: b - a], own[k : k + b - a], 0) for k in range(longest)]
             if extra:
-                at, tail = end - a, np.zeros((len(extra), longest + 1), dtype=np.int64)
+                at, tail = end - a, np.zeros((len(extra), longest + 1), dtype=np.int32)
                 for i, (name, ws) in enumerate(extra):
                     tail[i, 0] = number[name]
                     tail[i, 1 : len(ws) + 1] = code[at : at + len(ws)]
@@ -144,7 +144,7 @@ def borders(docs: DataFrame, longest: int, range_bytes: int) -> list[Suffix]:
 
 def blocks(batches: Iterator[pa.RecordBatch], longest: int, cuts: list[Suffix]) -> Iterator[pa.RecordBatch]:
     """Counted suffixes, a row for each chunk and range: the words used, and columns of their numbers."""
-    schema = pa.schema([("range", pa.int32()), ("langs", pa.list_(pa.string())), ("lengths", pa.binary()), ("words", pa.binary()), ("width", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("range", pa.int32()), ("langs", pa.list_(pa.string())), ("rows", pa.int32()), ("names", pa.int32()), ("size", pa.int32()), ("lengths", pa.binary()), ("words", pa.binary()), ("width", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())])
     for batch in batches:
         for chunk in chunks(batch, longest, cuts):
             rows = len(chunk.columns[0])
@@ -170,7 +170,8 @@ def blocks(batches: Iterator[pa.RecordBatch], longest: int, cuts: list[Suffix])
                 own[1:] = (np.cumsum(used) - 1)[own[1:]]
                 lengths, data = lengths_and_bytes(chunk.words.take(pa.array(np.flatnonzero(used)[1:] - 1)))
                 width = 2 if used.sum() <= 1 << 16 and len(chunk.langs) <= 1 << 16 else 4
-                out.append({"range": int(of_range[pick[0]]), "langs": chunk.langs, "lengths": lengths, "words": data, "width": width, "codes": own.astype(f"<u{width}").tobytes(), "counts": counts[pick].astype("<u4").tobytes()})
+                packed = {k: pa.compress(v, "zstd", asbytes=True) for k, v in {"lengths": lengths, "words": data, "codes": own.astype(f"<u{width}").tobytes(), "counts": counts[pick].astype("<u4").tobytes()}.items()}
+                out.append({"range": int(of_range[pick[0]]), "langs": chunk.langs, "rows": len(pick), "names": len(lengths) // 4, "size": len(data), "width": width, **packed})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
@@ -179,17 +180,21 @@ def count_range(table: pa.Table, longest: int, least: int) -> pa.Table:
     ranges may have too. A row of no words has the occurrences of all words of a language."""
     rows, sizes, langs, words = [], [], [], []
     for block in table.to_pylist():
-        columns = np.frombuffer(block["codes"], dtype=f"<u{block['width']}").reshape(longest + 1, -1).astype(np.int64)
-        names = binary_array(np.frombuffer(block["lengths"], dtype=np.uint32), block["words"])
+
+        def unpacked(name: str, size: int, block: dict = block) -> bytes:
+            return pa.decompress(block[name], size, "zstd", asbytes=True) if size else b""
+
+        columns = np.frombuffer(unpacked("codes", (longest + 1) * block["rows"] * block["width"]), dtype=f"<u{block['width']}").reshape(longest + 1, -1).astype(np.int32)
+        names = binary_array(np.frombuffer(unpacked("lengths", 4 * block["names"]), dtype=np.uint32), unpacked("words", block["size"]))
         rows.append((columns, sum(map(len, words))))
         words.append(names)
         langs.append(block["langs"])
-        sizes.append(np.frombuffer(block["counts"], dtype="<u4").astype(np.int64))
+        sizes.append(np.frombuffer(unpacked("counts", 4 * block["rows"]), dtype="<u4").astype(np.int64))
     named = sorted({x for some in langs for x in some}, key=str.encode)
     number = {x: i for i, x in enumerate(named)}
     distinct, place = in_byte_order(pa.concat_arrays(words))
-    place = np.append(place, 0)  # the last stands for no word
-    columns = [np.concatenate([np.array([number[x] for x in some], dtype=np.int64)[c[0]] for (c, _), some in zip(rows, langs, strict=True)])]
+    place = np.append(place, np.int32(0))  # the last stands for no word
+    columns = [np.concatenate([np.array([number[x] for x in some], dtype=np.int32)[c[0]] for (c, _), some in zip(rows, langs, strict=True)])]
     columns += [np.concatenate([place[np.where(c[k] > 0, at + c[k] - 1, -1)] for c, at in rows]) for k in range(1, longest + 1)]
     size = np.concatenate(sizes)
     del rows, sizes
