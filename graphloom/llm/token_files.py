@@ -41,10 +41,10 @@ from graphloom.llm.common import SPACES, new_path, ship
 from graphloom.llm.words import marks, portions, split_words
 
 #: Words whose ids a worker keeps, and the longest kept (bytes).
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 1_000_000
 CACHE_BYTES = 64
 #: Bytes of text that are encoded together.
-TOGETHER = 16 << 20
+TOGETHER = 8 << 20
 #: Bytes of ids that a reader gives on at once.
 READ_BYTES = 8 << 20
 _BLANK = marks(SPACES.encode())
@@ -165,7 +165,7 @@ def token_type(path: str) -> np.dtype:
     return np.dtype("<u2" if tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, part_bytes: int = 64 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, part_bytes: int = 32 << 20) -> DataFrame:
     """Encode ``docs`` and write them below ``path`` (a folder that all executors share); returns
     the manifest. Parts hold about ``part_bytes`` of text."""
     spark = docs.sparkSession
