@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import glob_pattern, tokenize
+from graphloom.operators.fulltext import FullText
 from graphloom.session import written
 
 K1, B = 1.5, 0.75
@@ -163,14 +164,18 @@ def name_or_id_contains(nodes: DataFrame, query: str, types: Sequence[str] | Non
     return found.where(F.col("type").isin(list(types))) if types else found
 
 
-def hybrid(docs: DataFrame, query: str, vectors: DataFrame | None = None, query_vector: Sequence[float] | None = None, types: Sequence[str] | None = None, limit: int = 50, index: Index | None = None) -> DataFrame:
-    """BM25 and vector lists fused by rank; if both are empty, names that hold the query.
+def hybrid(docs: DataFrame, query: str, vectors: DataFrame | None = None, query_vector: Sequence[float] | None = None, types: Sequence[str] | None = None, limit: int = 50, index: Index | None = None, full_text: FullText | None = None) -> DataFrame:
+    """BM25, stemmed full text and vector lists fused by rank; if all are empty, names that hold the query.
     Types are filtered before the ranking, so none of the places is lost to others. A
-    stored index of all docs serves queries without types."""
+    stored index of all docs serves queries without types; full text keeps the statistics of all its documents."""
+    ids = None
     if types:
         docs, index = docs.where(F.col("type").isin(list(types))), None
-        vectors = vectors.join(docs.select("id"), "id", "left_semi") if vectors is not None else None
+        ids = docs.select("id")
+        vectors = vectors.join(ids, "id", "left_semi") if vectors is not None else None
     lists = [bm25(index or docs, query, 2 * limit)]
+    if full_text is not None:
+        lists.append(full_text.search(query, 2 * limit, within=ids))
     if vectors is not None and query_vector is not None:
         lists.append(nearest(vectors, query_vector, 2 * limit, 0.65))
     found = written(fuse(lists, limit), "found")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text
 from graphloom.functions.fixed_values import DOMAINS, STOP_WORDS
-from graphloom.operators import graph, reports, resolve, search, store_ops
+from graphloom.functions.stemming import stem, stem_sql
+from graphloom.operators import fulltext, graph, reports, resolve, search, store_ops
 from graphloom.sources import archive
 from graphloom.session import spread
 from graphloom.sources.tables import GRAPH_SQL, edges, nodes, table
@@ -500,6 +501,61 @@ def hybrid_search(spark, sf):
     return found.select("id", F.round("score", 8).alias("score"))
 
 
+def _full_text_sql(docs: str, fields: list[str], query_words: list[str], limit: int = 50, tag: str = "") -> str:
+    """Full text over ``docs`` (id and fields) as common table expressions that end in ``found`` (id, score)."""
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    every = " UNION ALL ".join(f"SELECT id, unnest(regexp_extract_all(lower(coalesce({f}, '')), '[a-z0-9]+')) AS word FROM ({docs})" for f in fields)
+    asked = ", ".join(f"('{w}')" for w in query_words)
+    return f"""spoken AS ({every}), counted AS (SELECT id, word, count(*) AS tf FROM spoken WHERE word NOT IN ({stop}) GROUP BY ALL),
+{stem_sql(f"(SELECT word FROM counted UNION ALL SELECT word FROM (VALUES {asked}) a(word))", "word")},
+terms AS (SELECT c.id, s.w AS term, sum(c.tf) AS tf FROM counted c JOIN stems s ON s.word = c.word GROUP BY ALL),
+texts AS (SELECT d.id, coalesce(sum(c.tf), 0) AS len FROM (SELECT id FROM ({docs})) d LEFT JOIN counted c ON c.id = d.id GROUP BY d.id),
+whole AS (SELECT count(*) AS n_docs, avg(len) AS avg_len FROM texts),
+frequent AS (SELECT term, count(*) AS df FROM terms WHERE term IN (SELECT w FROM stems WHERE word IN (FROM (VALUES {asked}) a(word))) GROUP BY term),
+weighed AS (SELECT t.id, sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * t.tf * 2.2 / (t.tf + 1.2 * (0.25 + 0.75 * x.len / avg_len))) AS score
+  FROM terms t JOIN frequent f ON t.term = f.term JOIN texts x ON x.id = t.id CROSS JOIN whole GROUP BY t.id),
+found AS (SELECT id, score FROM weighed ORDER BY weighed.score DESC, id LIMIT {limit})"""
+
+
+_SNIPPETS = "SELECT doc_id AS id, source AS name, substr(text, 1, 10000) AS source_text FROM documents"
+
+
+def _snippets(spark, sf):
+    """Documents as sources: the source is the name, and a snippet is indexed."""
+    return fulltext.source_docs(_documents(spark, sf).withColumnRenamed("text", "content"), name=F.col("name"))
+
+
+@query(f"WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS word FROM documents), {stem_sql('words', 'word')} SELECT word, w AS stem FROM stems")
+def porter_stems(spark, sf):
+    """The stem of each distinct word of all documents."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    found = _documents(spark, sf).select(F.explode(F.array_distinct(F.split(text, "[^a-z0-9]+"))).alias("word")).where("word <> ''").distinct()
+    return stem(found, "word")
+
+
+@query(f"WITH {GRAPH_SQL}, {_full_text_sql('SELECT id, concat_ws(chr(32), name, type) AS search_text FROM nodes', ['search_text'], ['urgent', 'orders', 'america'])} SELECT id, round(score, 6) AS score FROM found")
+def fts_nodes(spark, sf):
+    found = GraphStore(nodes(spark, sf), edges(spark, sf)).node_text().search("the URGENT orders, America!")
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_full_text_sql(_SNIPPETS, ['name', 'source_text'], ['licensed', 'passwords', 'src3'])} SELECT id, round(score, 6) AS score FROM found")
+def fts_sources(spark, sf):
+    return fulltext.FullText.build(_snippets(spark, sf)).search("Licensed passwords of src3").select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_full_text_sql(_SNIPPETS, ['name', 'source_text'], ['licensed', 'passwords'], 100)},
+one AS ({bm25_sql(['licensed', 'passwords'], 100)}), two AS (FROM found),
+three AS (SELECT v.vec_id AS id, {_COS} AS score FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE 1 - {_COS} < 0.65 ORDER BY score DESC, id LIMIT 100),
+{_FUSED.replace("FROM two)", "FROM two UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM three)")}
+SELECT id, round(s, 8) AS score FROM fused ORDER BY s DESC, id LIMIT 50""")
+def hybrid_three_lists(spark, sf):
+    """BM25 with expansion, stemmed full text and vectors, fused."""
+    full_text = fulltext.FullText.build(_snippets(spark, sf))
+    found = search.hybrid(_documents(spark, sf), "licensed passwords", _vectors(spark, sf), _query_vector(spark, sf), full_text=full_text)
+    return found.select("id", F.round("score", 8).alias("score"))
+
+
 @query()
 def hybrid_search_expand(spark, sf):
     """The flagship: search over the graph's names, then the neighborhood of what it finds."""

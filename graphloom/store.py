@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import search_text, sub_type
-from graphloom.operators import graph, search, store_ops
+from graphloom.operators import fulltext, graph, search, store_ops
 
 
 class GraphStore:
@@ -18,6 +18,7 @@ class GraphStore:
     def __init__(self, nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, vectors: DataFrame | None = None) -> None:
         self.nodes, self.edges, self.sources, self.vectors = nodes.where(~F.col("type").isin(*graph.INTERNAL_TYPES)), edges, sources, vectors
         self._index: search.Index | None = None
+        self._texts: dict[str, fulltext.FullText] = {}
 
     def docs(self) -> DataFrame:
         """What search indexes of the nodes."""
@@ -29,6 +30,28 @@ class GraphStore:
             self._index = search.Index.build(self.docs())
         return self._index
 
+    def node_text(self) -> fulltext.FullText:
+        """The full-text index of the nodes, built when it is first asked for."""
+        if "nodes" not in self._texts:
+            self._texts["nodes"] = fulltext.FullText.build(fulltext.node_docs(self.nodes))
+        return self._texts["nodes"]
+
+    def source_text(self) -> fulltext.FullText | None:
+        """The full-text index of the sources, if sources are stored."""
+        if self.sources is not None and "sources" not in self._texts:
+            self._texts["sources"] = fulltext.index_sources(self.sources)
+        return self._texts.get("sources")
+
+    def full_text_nodes(self, query: str, types: Sequence[str] | None = None, limit: int = 50) -> DataFrame:
+        return fulltext.search_nodes(self.node_text(), self.nodes, query, types, limit)
+
+    def full_text_sources(self, query: str, limit: int = 50) -> DataFrame:
+        """id, score of the files whose name or text fits best."""
+        index = self.source_text()
+        if index is None:
+            raise LookupError("no sources are stored")
+        return index.search(query, limit)
+
     def register(self) -> None:
         """Views nodes and edges for spark.sql()."""
         self.nodes.createOrReplaceTempView("nodes")
@@ -56,7 +79,8 @@ class GraphStore:
         return self.nodes.where((F.col("type") == "File") & ((path == base) | path.endswith(f"/{base}"))).orderBy("id").limit(limit)
 
     def search_nodes(self, query: str, types: Sequence[str] | None = None, limit: int = 50, vector: Sequence[float] | None = None) -> DataFrame:
-        found = search.hybrid(self.docs(), query, self.vectors, vector, types, min(limit, 1000), None if types else self.index())
+        """BM25 over the nodes, full text over the sources and vectors, whichever there are, fused by rank."""
+        found = search.hybrid(self.docs(), query, self.vectors, vector, types, min(limit, 1000), None if types else self.index(), self.source_text())
         return found.join(self.nodes, "id").orderBy(F.col("score").desc(), "id")
 
     def search_graph(self, query: str, hops: int = 2, limit: int = 50) -> tuple[DataFrame, DataFrame]:
