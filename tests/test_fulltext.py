@@ -154,7 +154,7 @@ def test_snippets_hold_the_first_characters(spark):
 
 
 def test_types_are_filtered_after_the_ranking(spark):
-    nodes = spark.createDataFrame([(f"n{i}", "Function" if i % 2 else "Class", "walker", "{}") for i in range(6)] + [("z", "Module", "zebraland", "{}")], "id string, type string, name string, properties string")
+    nodes = spark.createDataFrame([(f"n{i}", "Function" if i % 2 else "Class", "walked", "{}") for i in range(6)] + [("z", "Module", "zebraland", "{}")], "id string, type string, name string, properties string")
     store = GraphStore(nodes, spark.createDataFrame([], "id string, type string, source_id string, target_id string"))
     assert [r["id"] for r in store.full_text_nodes("walking", limit=2).collect()] == ["n0", "n1"]
     assert [r["id"] for r in store.full_text_nodes("walking", ["Function"], limit=2).collect()] == ["n1", "n3"]
