@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import common_prefix, pluralize, split_identifier
+from graphloom.functions.text import common_prefix, pluralize
 from graphloom.session import written
 
 INTERNAL_TYPES = ("IndexMetadata",)
@@ -271,8 +271,8 @@ CONTAINERS = ("Repository", "Repo", "Service", "Module", "Package", "Directory",
 
 def community_names(labels: DataFrame, nodes: DataFrame, containers: Sequence[str] = CONTAINERS) -> DataFrame:
     """community, name: its first container by type, else the common prefix of its names,
-    else the one-word name that most others have as a word, else its main type in the
-    plural. Names that several communities would share get a number."""
+    else the name that most others contain, else its main type in the plural. Names that several
+    communities would share get their hub, and a number if they still do."""
     members = nodes.select("id", "type", "name").join(labels, "id")
     priority = F.array_position(F.array(*map(F.lit, containers)), F.col("type"))
     per = members.groupBy("community").agg(
@@ -280,14 +280,20 @@ def community_names(labels: DataFrame, nodes: DataFrame, containers: Sequence[st
         F.min("name").alias("low"),
         F.max("name").alias("high"),
     )
-    words = members.select("community", "id", F.explode(F.array_distinct(F.transform(split_identifier(F.col("name")), F.lower))).alias("word"))
-    hubs = words.groupBy("community", "word").agg(F.count("id").alias("n")).join(members.select("community", F.lower("name").alias("word"), "name").distinct(), ["community", "word"])
-    hubs = hubs.where("n > 1").groupBy("community").agg(F.min(F.struct((-F.col("n")).alias("n"), F.length("name").alias("len"), "name")).alias("hub")).select("community", F.col("hub.name").alias("hub"))
+    from graphloom.operators.communities import hubs as contained  # which needs this module
+
+    hubs = contained(members).select("community", "hub")
     types = members.groupBy("community", "type").agg(F.count("id").alias("n")).groupBy("community").agg(F.min(F.struct((-F.col("n")).alias("n"), "type")).alias("main")).select("community", F.col("main.type").alias("main"))
     prefix = common_prefix(F.col("low"), F.col("high"))
     trimmed = F.when(prefix.contains("/"), F.regexp_replace(prefix, "/[^/]*$", "")).when(prefix.contains("."), F.regexp_replace(prefix, r"[^.]*$", "")).otherwise(prefix)
     named = per.join(hubs, "community", "left").join(types, "community").select(
         "community", F.coalesce(F.col("container.name"), F.when(F.length(trimmed) > 1, trimmed), F.col("hub"), pluralize(F.col("main"))).alias("name")
     )
-    at = F.row_number().over(Window.partitionBy("name").orderBy("community"))
-    return named.withColumn("_n", at).select("community", F.when(F.col("_n") > 1, F.concat("name", F.lit(" "), F.col("_n").cast("string"))).otherwise(F.col("name")).alias("name"))
+    shared = named.groupBy("name").agg((F.count(F.lit(1)) > 1).alias("_shared"))
+    named = named.join(hubs, "community", "left").join(shared, "name")
+    apart = F.col("_shared") & F.col("hub").isNotNull() & ~F.col("name").contains(F.col("hub"))
+    named = named.select("community", F.when(apart, F.concat("name", F.lit(" · "), "hub")).otherwise(F.col("name")).alias("name"))
+    own = Window.partitionBy("name")
+    at, many = F.row_number().over(own.orderBy("community")), F.count(F.lit(1)).over(own)
+    named = named.withColumns({"_n": at, "_many": many})
+    return named.select("community", F.when(F.col("_many") > 1, F.concat("name", F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))).otherwise(F.col("name")).alias("name"))

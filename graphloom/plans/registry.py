@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text
 from graphloom.functions.fixed_values import DOMAINS, STOP_WORDS
 from graphloom.functions.stemming import stem, stem_sql
-from graphloom.operators import fulltext, graph, reports, resolve, search, store_ops
+from graphloom.operators import communities, fulltext, graph, reports, resolve, search, store_ops
 from graphloom.sources import archive
 from graphloom.session import spread
 from graphloom.sources.tables import GRAPH_SQL, edges, nodes, table
@@ -790,6 +790,23 @@ def community_names(spark, sf):
     return graph.community_names(graph.communities(own), nodes(spark, sf), ("Region", "Nation", "Supplier"))
 
 
+@query()
+def louvain_communities(spark, sf):
+    """Louvain over what defines what."""
+    return communities.louvain(edges(spark, sf).where("type = 'DEFINES'")).labels
+
+
+@query("""WITH named AS (SELECT regexp_extract(url, '//([^/]*)', 1) AS community, url AS name, lower(url) AS low FROM pages),
+scores AS (SELECT a.community, a.name, count(*) - 1 AS score FROM named a JOIN named b ON a.community = b.community AND contains(b.low, a.low) WHERE length(a.low) > 1 GROUP BY a.community, a.name, a.low),
+per AS (SELECT community, name, score FROM (SELECT s.community, s.name, CAST((SELECT count(*) FROM named b WHERE b.community = s.community AND contains(b.low, lower(s.name))) - 1 AS BIGINT) AS score FROM (SELECT DISTINCT community, name FROM scores) s)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY score DESC, length(name), name) AS r FROM per)
+SELECT community, name AS hub, score FROM ranked WHERE r = 1""")
+def hub_names(spark, sf):
+    """The address that most other addresses of a host contain."""
+    pages = table(spark, sf, "pages").select(F.regexp_extract("url", "//([^/]*)", 1).alias("community"), F.col("url").alias("name"))
+    return communities.hubs(pages)
+
+
 # events
 
 
