@@ -1,56 +1,10 @@
-"""Symbols, calls and imports of languages with blocks, as Spark expressions over lines.
-
-Lines lose their strings and comments; a running sum of what opens and closes on them is the depth.
-Per file and level, the lines where the depth rises above the level and falls back to it take turns,
-so a window finds where a block ends. What lies inside which block is an equality join of lines with
-the lines of each block: as many rows as there are lines, times how deep they are nested.
-
-Not seen: definitions that start on one line and are named on the next, comments of several lines
-without marks of their own on each, and template strings of several lines."""
+"""Imports of TypeScript, Go, Rust and Ruby, as Spark expressions over whole files."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Definition patterns: language, kind, pattern with the name as its first group. A ``scope`` holds
-#: members without being a symbol; a ``method`` counts directly inside a class or scope only.
-PATTERNS = [
-    ("typescript", "class", r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:class|interface|enum)\s+(\w+)"),
-    ("typescript", "class", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*class\b"),
-    ("typescript", "function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+(\w+)"),
-    ("typescript", "function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>"),
-    ("typescript", "function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?function\b"),
-    ("typescript", "method", r"^\s*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*[*#]?(?!(?:if|for|while|switch|catch|function|return|with)\b)(\w+)\s*(?:<[^>]*>)?\([^;]*\)?\s*(?::[^{;]+)?\{?\s*$"),
-    ("go", "class", r"^type\s+(\w+)(?:\[[^\]]*\])?\s+(?:struct|interface)\b"),
-    ("go", "function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*[\[(]"),
-    ("java", "class", r"^\s*(?:(?:public|protected|private|abstract|final|static|sealed)\s+)*(?:class|interface|enum|record)\s+(\w+)"),
-    ("java", "function", r"^\s*(?:(?:public|protected|private|abstract|final|static|synchronized|native)\s+)+(?:<[^>]+>\s*)?[\w<>\[\],.? ]+\s+(\w+)\s*\("),
-    ("java", "method", r"^\s*(?:(?:public|protected|private|default)\s+)?(?!(?:new|return|throw|else|case)\b)(?:[\w<>\[\],.?]+\s+)?(?!(?:if|for|while|switch|catch|synchronized|try)\b)(\w+)\s*\([^;]*\)\s*(?:throws\s+[\w., ]+)?\{?\s*$"),
-    ("kotlin", "class", r"^\s*(?:(?:public|private|internal|data|sealed|abstract|open|enum)\s+)*(?:class|interface|object)\s+(\w+)"),
-    ("kotlin", "function", r"^\s*(?:(?:public|private|internal|protected|override|suspend|inline|open|abstract)\s+)*fun\s+(?:<[^>]+>\s*)?(?:\w+\.)?(\w+)\s*\("),
-    ("csharp", "class", r"^\s*(?:(?:public|protected|private|internal|abstract|sealed|static|partial)\s+)*(?:class|interface|struct|enum|record)\s+(\w+)"),
-    ("csharp", "function", r"^\s*(?:(?:public|protected|private|internal|static|virtual|override|async|abstract)\s+)+(?:[\w<>\[\],.? ]+\s+)?(\w+)\s*\([^;]*$"),
-    ("rust", "class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait|union)\s+(\w+)"),
-    ("rust", "scope", r"^\s*(?:unsafe\s+)?impl(?:<[^{]*?>)?\s+(?:[\w:<>, ]+\s+for\s+)?(?:\w+::)*(\w+)"),
-    ("rust", "function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|const|unsafe)\s+)*fn\s+(\w+)"),
-    ("ruby", "class", r"^\s*(?:class|module)\s+(?:\w+::)*(\w+)"),
-    ("ruby", "function", r"^\s*def\s+(?:self\.)?(\w+[?!=]?)"),
-    ("swift", "class", r"^\s*(?:(?:public|private|internal|open|final)\s+)*(?:class|struct|enum|protocol|actor)\s+(?!func\b)(\w+)"),
-    ("swift", "scope", r"^\s*(?:(?:public|private|internal)\s+)*extension\s+(\w+)"),
-    ("swift", "function", r"^\s*(?:(?:public|private|internal|open|static|class|override|mutating)\s+)*func\s+(\w+)"),
-    ("php", "class", r"^\s*(?:(?:abstract|final|readonly)\s+)*(?:class|interface|trait|enum)\s+(\w+)"),
-    ("php", "function", r"^\s*(?:(?:public|protected|private|static|abstract|final)\s+)*function\s+&?(\w+)"),
-    ("c", "class", r"^\s*(?:typedef\s+)?(?:struct|enum|union)\s+(\w+)\s*\{"),
-    ("c", "function", r"^(?!\s*(?:return|else|if|for|while|switch)\b)[\w\s*]+?\b(\w+)\s*\([^;]*\)\s*\{?\s*$"),
-    ("cpp", "class", r"^\s*(?:template\s*<[^>]*>\s*)?(?:class|struct|enum(?:\s+class)?)\s+(\w+)\s*(?:final\s*)?(?::[^:].*)?\{?\s*$"),
-    ("cpp", "function", r"^(?!\s*(?:return|else|if|for|while|switch)\b)[\w\s*&:<>,~]+?\b(?:\w+::)*(~?\w+)\s*\([^;]*\)\s*(?:const\s*)?(?:override\s*)?\{?\s*$"),
-]
-#: Languages whose single quotes hold strings; elsewhere they hold one character.
-QUOTING = ("typescript", "php", "ruby")
-#: What looks like a call and is none.
-NO_CALLS = ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "super", "await", "func", "select", "constructor", "import")
-
 
 def _family() -> Column:
     return F.when(F.col("language") == "javascript", "typescript").otherwise(F.col("language"))
@@ -62,100 +16,6 @@ def _swap(text: Column, *pairs: tuple[str, str]) -> Column:
     return text
 
 
-def lines(sources: DataFrame) -> DataFrame:
-    """file_id, family, at (from 1), line, bare (without strings and comments), is_note (a comment's
-    or annotation's line), before and after (the depth around the line)."""
-    rows = sources.select("file_id", _family().alias("family"), F.posexplode(F.split("content", "\r?\n", -1)).alias("_at", "line"))
-    ruby = F.col("family") == "ruby"
-    note = F.col("line").rlike(r"^\s*(?:///?|/\*|\*(?:\s|/|\*|$))") | (ruby & F.col("line").rlike(r"^\s*#"))
-    strings = [(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', '""'), (r"`[^`]*+`", '""')]
-    quoted = _swap(F.col("line"), *strings, (r"'[^'\\]*+(?:\\.[^'\\]*+)*+'", '""'))
-    single = _swap(F.col("line"), *strings, (r"'(?:[^'\\]|\\.[^']{0,8})'", '""'))
-    code = F.when(F.col("family").isin(*QUOTING), quoted).otherwise(single)
-    bare = F.when(note, "").when(ruby, F.regexp_replace(code, r"#(?!\{).*$", "")).otherwise(_swap(code, (r"/\*.*?\*/", ""), (r"//.*$|/\*.*$", "")))
-    rows = rows.select("file_id", "family", (F.col("_at") + 1).alias("at"), "line", bare.alias("bare"), (note | F.col("line").rlike(r"^\s*(?:@\w|#\[)")).alias("is_note"))
-    count = lambda c: F.length("bare") - F.length(F.replace("bare", F.lit(c), F.lit("")))
-    opens = F.col("bare").rlike(r"^\s*(?:class|module|def|if|unless|while|until|case|begin|for)\b|=\s*(?:if|unless|case|begin)\b|\bdo\s*(?:\|[^|]*\|)?\s*$")
-    whole = F.col("bare").rlike(r"\bend\s*$|^\s*def\s+[\w.?!]+(?:\([^)]*\))?\s+=\s")
-    words = F.when(F.col("bare").rlike(r"^\s*end\b"), -1).when(opens & ~whole, 1).otherwise(0)
-    order = Window.partitionBy("file_id").orderBy("at")
-    rows = rows.withColumn("_delta", F.when(ruby, words).otherwise(count("{") - count("}"))).withColumn("after", F.sum("_delta").over(order))
-    return rows.withColumn("before", F.col("after") - F.col("_delta")).drop("_delta")
-
-
-def _heritage() -> Column:
-    """Names that a class line says it extends or implements."""
-    named = F.concat_ws(",", F.regexp_extract("bare", r"\bextends\s+([^{]+?)(?:\s+implements\b|\s*\{|\s*$)", 1), F.regexp_extract("bare", r"\bimplements\s+([^{]+)", 1))
-    after = F.when(F.col("family").isin("kotlin", "csharp", "swift", "cpp"), F.regexp_extract("bare", r"^[^:({]*(?:\([^)]*\))?\s*:\s*([^:{][^{]*)", 1))
-    text = F.when(F.col("family").isin("typescript", "java", "php"), named).when(F.col("family") == "ruby", F.regexp_extract("bare", r"<\s*([\w:]+)", 1)).otherwise(F.coalesce(after, F.lit("")))
-    plain = _swap(text, (r"<[^<>]*>", ""), (r"<[^<>]*>", ""), (r"\([^)]*\)", ""), (r"\b(?:public|protected|private|virtual)\s+", ""))
-    return F.filter(F.transform(F.split(plain, ","), lambda x: F.trim(x)), lambda x: x != "")
-
-
-def _blocks(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """hits (file_id, at, bare, before, after ...) with end_line."""
-    moves = rows.where("before <> after")
-    steps = F.explode(F.sequence(F.least("before", "after"), F.greatest("before", "after") - 1))
-    turns = moves.select("file_id", steps.alias("level"), "at", F.when(F.col("after") > F.col("before"), 1).otherwise(-1).alias("way"), F.lit(None).cast("string").alias("hit"))
-    both = hits.select("file_id", F.col("before").alias("level"), "at", F.lit(0).alias("way"), "name").withColumnRenamed("name", "hit").unionByName(turns)
-    order = Window.partitionBy("file_id", "level").orderBy("at", "way")
-    ahead = both.select("*", *[F.lead(c, n).over(order).alias(f"{c}{n}") for c, n in (("way", 1), ("at", 1), ("at", 2))]).where("way = 0")
-    last = rows.groupBy("file_id").agg(F.max("at").alias("_last"))
-    found = hits.join(ahead.select("file_id", "at", "way1", "at1", "at2"), ["file_id", "at"]).join(last, "file_id")
-    shut = F.col("bare").rlike(r"[;}]\s*$|=>\s*[^\s{(]")
-    own = (F.col("way1") == 1) & ((F.col("at1") == F.col("at")) | ((F.col("at1") - F.col("at") <= 12) & ~shut & ~F.col("bare").contains("{")))
-    return found.withColumn("end_line", F.when(own, F.coalesce("at2", "_last")).otherwise(F.col("at"))).drop("way1", "at1", "at2", "_last")
-
-
-def symbols(sources: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """file_id, seq, scope (the file and the classes around), name, kind (class, function), start_line,
-    end_line, signature (the parameters as written), docs, bases, receiver_var and receiver_type (Go)."""
-    rows = lines(sources) if rows is None else rows
-    hit = F.coalesce(*[F.when((F.col("family") == lang) & (F.regexp_extract("bare", p, 1) != ""), F.struct(F.regexp_extract("bare", p, 1).alias("name"), F.lit(kind).alias("what"))) for lang, kind, p in PATTERNS])
-    runs = Window.partitionBy("file_id").orderBy("at")
-    noted = rows.withColumn("_run", F.sum((~F.col("is_note")).cast("int")).over(runs))
-    hits = noted.withColumn("_hit", hit).where("_hit IS NOT NULL").select("*", "_hit.name", "_hit.what").drop("_hit")
-    found = _blocks(rows, hits)
-
-    holders = found.where("what IN ('class', 'scope') AND end_line > at")
-    inside = holders.select("file_id", F.explode(F.sequence(F.col("at") + 1, "end_line")).alias("at"), F.struct(F.col("before").alias("level"), F.col("name").alias("name")).alias("_holder"))
-    around = inside.join(found.select("file_id", "at"), ["file_id", "at"], "left_semi").groupBy("file_id", "at").agg(F.array_sort(F.collect_list("_holder")).alias("_around"))
-    direct = F.coalesce(F.element_at("_around", -1)["level"] == F.col("before") - 1, F.lit(False))
-    found = found.join(around, ["file_id", "at"], "left").where((F.col("what") != "method") | direct).where("what <> 'scope'")
-
-    text = _swap(F.trim("line"), (r"^(?:/\*\*?|\*/|///?|\*|#+)\s?", ""), (r"\s*\*/$", ""))
-    notes = noted.where(F.col("is_note") & ~F.col("line").rlike(r"^\s*(?:@\w|#\[)")).groupBy("file_id", (F.col("_run") + 1).alias("_run")).agg(F.array_sort(F.collect_list(F.struct("at", text.alias("text")))).alias("_notes"))
-    docs = F.nullif(F.trim(F.array_join(F.transform("_notes", lambda x: x["text"]), "\n")), F.lit(""))
-    # Go embeds a type by naming it alone on a line of the struct
-    embeds = inside.join(rows.where("family = 'go'").withColumn("_base", F.regexp_extract("bare", r"^\s*\*?(?:\w+\.)?([A-Z]\w*)\s*$", 1)).where("_base <> ''").select("file_id", "at", "_base"), ["file_id", "at"])
-    embeds = embeds.groupBy("file_id", F.col("_holder.name").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "_base"))), lambda x: x["_base"]).alias("_embeds"))
-
-    tail = F.expr(r"regexp_extract(line, concat('(?<!\\w)\\Q', name, '\\E(.*)$'), 1)")
-    params = F.nullif(F.regexp_extract(tail, r"^\s*(?:<[^>]*>|\[[^\]]*\])?\s*(?::[^=]*)?(?:=\s*)?(?:async\s*)?(?:function\s*)?(\([^)]*\))", 1), F.lit(""))
-    receiver = lambda n: F.when(F.col("family") == "go", F.nullif(F.regexp_extract("bare", r"^func\s+\(\s*(\w*)\s*\*?(\w+)[^)]*\)", n), F.lit("")))
-    found = found.join(notes, ["file_id", "_run"], "left").join(embeds, ["file_id", "name"], "left")
-    is_class = F.col("what") == "class"
-    return found.select(
-        "file_id", F.row_number().over(Window.partitionBy("file_id").orderBy("at")).alias("seq"), F.concat_ws("::", "file_id", F.transform("_around", lambda h: h["name"])).alias("scope"), "name",
-        F.when(is_class, "class").otherwise("function").alias("kind"), F.col("at").alias("start_line"), "end_line", F.when(~is_class, params).alias("signature"), docs.alias("docs"),
-        F.when(is_class, F.concat(_heritage(), F.coalesce("_embeds", F.array().cast("array<string>")))).alias("bases"), receiver(1).alias("receiver_var"), receiver(2).alias("receiver_type"),
-    )
-
-
-def calls(rows: DataFrame, functions: DataFrame) -> DataFrame:
-    """caller_id, file_id, ord, name, receiver, kind: calls of TypeScript and Go, each in the innermost
-    of the functions (node_id, name, file_id, start_line, end_line) around it."""
-    spans = functions.where("kind = 'function'").select("file_id", F.explode(F.sequence("start_line", "end_line")).alias("at"), "start_line", "node_id", F.col("name").alias("_own"))
-    inner = spans.groupBy("file_id", "at").agg(F.max(F.struct("start_line", "node_id", "_own")).alias("f"))
-    found = rows.where("family IN ('typescript', 'go')").select("file_id", "at", F.posexplode(F.regexp_extract_all("bare", F.lit(r"(?<![\w.$])((?:[A-Za-z_$][\w$]*\??\.)*[A-Za-z_$][\w$]*)(?:<[\w, ]*>)?\("), 1)).alias("_pos", "_text"))
-    told = found.withColumn("_text", F.replace("_text", F.lit("?"), F.lit(""))).withColumn("name", F.substring_index("_text", ".", -1)).where(~F.col("name").isin(*NO_CALLS))
-    told = told.withColumn("receiver", F.nullif(F.expr("left(_text, length(_text) - length(name) - 1)"), F.lit("")))
-    defined = (F.col("at") == F.col("f.start_line")) & (F.col("name") == F.col("f._own")) & F.col("receiver").isNull()
-    return told.join(inner, ["file_id", "at"]).where(~defined).select(
-        F.col("f.node_id").alias("caller_id"), "file_id", (F.col("at").cast("long") * 100_000 + F.col("_pos")).alias("ord"), "name", "receiver", F.when(F.col("receiver").isNull(), "bare").otherwise("attribute").alias("kind")
-    )
-
-
 def imports(sources: DataFrame) -> DataFrame:
     """file_id, language, alias, module, member: imports of TypeScript, Go, Rust and Ruby, one row for a name."""
     rows = sources.select("file_id", _family().alias("language"), "content")

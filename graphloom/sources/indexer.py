@@ -12,7 +12,7 @@ from graphloom.functions import text
 from graphloom.operators import resolve
 from graphloom.operators.store_ops import keep_first, keep_latest
 from graphloom.session import written
-from graphloom.sources import blocks, code, files, manifests
+from graphloom.sources import blocks, code, files, lexer, manifests, syntax
 
 
 def _edge(kind: str, source: Column, target: Column, properties: Column | None = None) -> list[Column]:
@@ -20,17 +20,20 @@ def _edge(kind: str, source: Column, target: Column, properties: Column | None =
     return [made.alias("id"), F.lit(kind).alias("type"), source.alias("source_id"), target.alias("target_id"), (F.lit("{}") if properties is None else properties).alias("properties")]
 
 
-def symbol_table(sources: DataFrame, facts: DataFrame, lines: DataFrame) -> DataFrame:
-    """node_id, name, kind, file_id, parent_id, receiver_var, receiver_type, seq, lines, signature, docs, bases, language."""
+def symbol_table(sources: DataFrame, facts: DataFrame, parsed: DataFrame) -> DataFrame:
+    """node_id, name, kind, file_id, parent_id, receiver_var, receiver_type, seq, lines, signature, docs, bases, language. ``parsed``
+    are the symbols of languages other than Python."""
     none = F.lit(None).cast("string")
     own = facts.where("what = 'symbol'").select(
         F.concat("scope", F.lit("::"), "name", F.coalesce("signature", F.lit(""))).alias("node_id"), "name", "kind", "file_id", F.col("scope").alias("parent_id"),
         none.alias("receiver_var"), none.alias("receiver_type"), "seq", "start_line", "end_line", "signature", "docs", "bases",
     )
     receiver = F.coalesce(F.concat("receiver_type", F.lit(".")), F.lit(""))
-    other = blocks.symbols(sources, lines).select(
+    none_of = F.array().cast("array<string>")
+    bases = F.concat(F.coalesce("superclasses", none_of), F.coalesce("interfaces", none_of)).alias("bases")
+    other = parsed.select(
         F.concat("scope", F.lit("::"), receiver, F.col("name")).alias("node_id"), "name", "kind", "file_id", F.col("scope").alias("parent_id"),
-        "receiver_var", "receiver_type", "seq", "start_line", "end_line", "signature", "docs", "bases",
+        "receiver_var", "receiver_type", "seq", "start_line", "end_line", "signature", "docs", F.when(F.col("kind") == "class", bases).alias("bases"),
     )
     every = keep_first(own.unionByName(other).withColumn("_key", F.col("node_id")), "_key", "seq").drop("_key")
     return every.join(sources.select("file_id", "language"), "file_id")
@@ -67,8 +70,10 @@ def index_files(tree: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
     sources = written(files.sources(tree, repo), "sources")
     file_nodes, file_edges = files.tree(sources, repo)
     facts = written(code.python_facts(sources), "facts")
-    lines = written(blocks.lines(sources.where("language IS NOT NULL AND language <> 'python'")), "lines")
-    symbols = written(symbol_table(sources, facts, lines), "symbols")
+    other = sources.where("language IS NOT NULL AND language <> 'python'").select("file_id", "language", "content")
+    tokens = written(syntax.in_blocks(lexer.tokens(other)), "tokens")
+    parsed = written(syntax.symbols(other, tokens), "parsed")
+    symbols = written(symbol_table(sources, facts, parsed), "symbols")
 
     about = F.to_json(F.struct("language", "start_line", "end_line", "signature", "docs", F.col("bases").alias("superclasses"), "summary"))
     members = symbols.groupBy(F.col("parent_id").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "name"))), lambda x: x["name"]).alias("members"))
@@ -87,7 +92,10 @@ def index_files(tree: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
     variables = facts.where("what = 'variable'").withColumn("var_id", F.concat("scope", F.lit("::"), "name"))
     types = variables.where("kind = 'parameter' AND signature IS NOT NULL").groupBy(F.col("scope").alias("caller_id")).agg(F.map_from_entries(F.collect_set(F.struct("name", "signature"))).alias("param_types"))
     callers = symbols.select(F.col("node_id").alias("caller_id"), F.col("name").alias("caller_name"), "receiver_var", "receiver_type")
-    called = facts.where("what = 'call'").select(F.col("scope").alias("caller_id"), "file_id", F.col("seq").alias("ord"), "name", "receiver", "kind").unionByName(blocks.calls(lines, symbols))
+    receiver = F.coalesce(F.concat("receiver_type", F.lit(".")), F.lit(""))
+    ids = parsed.select("file_id", F.col("seq").alias("caller"), F.concat("scope", F.lit("::"), receiver, F.col("name")).alias("caller_id"))
+    heard = syntax.call_refs(other, tokens, parsed).join(ids, ["file_id", "caller"]).select("caller_id", "file_id", F.col("ord").cast("long").alias("ord"), "name", "receiver", "kind")
+    called = facts.where("what = 'call'").select(F.col("scope").alias("caller_id"), "file_id", F.col("seq").alias("ord"), "name", "receiver", "kind").unionByName(heard)
     calls = resolve.resolve_calls(called.join(callers, "caller_id").join(types, "caller_id", "left"), symbols, imports)
     call_edges = calls.select(*_edge("CALLS", F.col("source_id"), F.col("target_id"), F.to_json(F.struct("confidence"))))
 

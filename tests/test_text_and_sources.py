@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text
 from graphloom.operators import search
 from graphloom.plans import registry
-from graphloom.sources import archive, benchmarks, blocks, code, files, manifests, pulls
+from graphloom.sources import archive, benchmarks, blocks, code, files, lexer, manifests, pulls, syntax
 from graphloom.streaming import events, snapshots
 
 
@@ -149,7 +149,8 @@ def test_python_facts(spark):
 
 def test_pattern_symbols(spark):
     rows = [("a.ts", "typescript", "export class A {}\nconst f = async (x) => 1\nexport function g() {}"), ("a.go", "go", "type T struct {\n}\nfunc (t *T) Run() {"), ("A.java", "java", "public class A {\n  public static int f(int x) {"), ("a.rs", "rust", "pub struct S;\npub fn go() {}"), ("a.rb", "ruby", "class A\n  def b?\n  end"), ("a.c", "c", "int main(int a) {\n  if (x) {\n")]
-    found = blocks.symbols(spark.createDataFrame(rows, "file_id string, language string, content string"))
+    sources = spark.createDataFrame(rows, "file_id string, language string, content string")
+    found = syntax.symbols(sources, syntax.in_blocks(lexer.tokens(sources)))
     got = {}
     for r in found.collect():
         got.setdefault(r["file_id"], []).append((r["name"], r["kind"]))
@@ -341,24 +342,25 @@ end
 
 def test_blocks(spark):
     sources = spark.createDataFrame([(k, *v) for k, v in SAMPLES.items()], "file_id string, language string, content string")
-    rows = blocks.lines(sources)
-    found = blocks.symbols(sources, rows)
+    rows = syntax.in_blocks(lexer.tokens(sources)).cache()
+    found = syntax.symbols(sources, rows)
     got = {(r["file_id"], r["scope"].removeprefix(r["file_id"]).removeprefix("::"), r["name"]): r for r in found.collect()}
     assert {k: (r["kind"], r["start_line"], r["end_line"]) for k, r in got.items()} == {
-        ("r/a.ts", "", "Shelf"): ("class", 10, 25), ("r/a.ts", "Shelf", "constructor"): ("function", 13, 15), ("r/a.ts", "Shelf", "put"): ("function", 18, 24),
+        ("r/a.ts", "", "Shelf"): ("class", 10, 25), ("r/a.ts", "Shelf", "boxes"): ("function", 11, 11), ("r/a.ts", "Shelf", "constructor"): ("function", 13, 15), ("r/a.ts", "Shelf", "put"): ("function", 18, 24),
         ("r/a.ts", "", "wrap"): ("function", 27, 29), ("r/a.ts", "", "one"): ("function", 30, 30),
         ("r/b.go", "", "Depot"): ("class", 9, 13), ("r/b.go", "", "Open"): ("function", 16, 19), ("r/b.go", "", "helper"): ("function", 21, 21),
-        ("r/A.java", "", "A"): ("class", 4, 22), ("r/A.java", "A", "f"): ("function", 7, 13), ("r/A.java", "A", "Inner"): ("class", 15, 18),
+        ("r/A.java", "", "A"): ("class", 3, 22), ("r/A.java", "A", "f"): ("function", 6, 13), ("r/A.java", "A", "Inner"): ("class", 15, 18),
         ("r/A.java", "A::Inner", "h"): ("function", 16, 17), ("r/A.java", "A", "last"): ("function", 20, 21),
-        ("r/m.rs", "", "Point"): ("class", 3, 5), ("r/m.rs", "Point", "area"): ("function", 8, 10), ("r/m.rs", "", "lone"): ("function", 12, 12),
+        ("r/m.rs", "", "Point"): ("class", 3, 5), ("r/m.rs", "", "area"): ("function", 8, 10), ("r/m.rs", "", "lone"): ("function", 12, 12),
         ("r/s.rb", "", "Shop"): ("class", 4, 16), ("r/s.rb", "Shop", "sell?"): ("function", 5, 12), ("r/s.rb", "Shop", "all"): ("function", 14, 15),
         ("r/c.kt", "", "Car"): ("class", 1, 5), ("r/c.kt", "Car", "go"): ("function", 2, 4), ("r/p.php", "", "P"): ("class", 2, 6), ("r/p.php", "P", "run"): ("function", 3, 5),
     }
-    assert {k[2]: r["bases"] for k, r in got.items() if r["bases"]} == {"Shelf": ["Board", "Holder", "Named"], "Depot": ["Base", "Lid"], "A": ["B", "C", "D"], "Shop": ["Base"], "Car": ["Vehicle", "Named"], "P": ["Q"]}
+    bases = {k[2]: (r["superclasses"] or []) + (r["interfaces"] or []) for k, r in got.items()}
+    assert {k: v for k, v in bases.items() if v} == {"Shelf": ["Board", "Holder", "Named"], "Depot": ["Base", "boxes.Lid"], "A": ["B", "C", "D"], "Shop": ["Base"], "Car": ["Vehicle", "Named"], "P": ["Q"]}
     opened, put = got["r/b.go", "", "Open"], got["r/a.ts", "Shelf", "put"]
     assert (opened["receiver_var"], opened["receiver_type"], opened["signature"], opened["docs"]) == ("d", "Depot", "(key string)", "Open opens it.")
     assert (put["signature"], put["docs"], got["r/A.java", "A", "f"]["docs"]) == ("(box: Box)", "Puts one in.", "Says.")
-    called = blocks.calls(rows, found.withColumn("node_id", F.concat("scope", F.lit("::"), "name"))).collect()
+    called = syntax.call_refs(sources, rows, found).join(found.select("file_id", F.col("seq").alias("caller"), F.concat("scope", F.lit("::"), "name").alias("caller_id")), ["file_id", "caller"]).collect()
     assert sorted((r["caller_id"].split("::")[-1], r["name"], r["receiver"]) for r in called if r["receiver"]) == [("Open", "Println", "fmt"), ("Open", "turn", "d"), ("put", "ok", "box"), ("put", "push", "this.boxes")]
     assert sorted((r["caller_id"].split("::")[-1], r["name"]) for r in called if not r["receiver"]) == [("one", "wrap"), ("put", "load"), ("wrap", "save")]
     assert {(r["alias"], r["module"], r["member"]) for r in blocks.imports(sources).collect()} == {
@@ -370,7 +372,7 @@ def test_blocks(spark):
 def test_blocks_of_odd_files(spark):
     rows = [("r/e.ts", "typescript", ""), ("r/n.ts", "typescript", None), ("r/u.go", "go", "func Open() {\n  a(\n"), ("r/x.c", "c", "}}}\n" + '"' + "x" * 200_000), ("r/q.md", None, "class A {}")]
     sources = spark.createDataFrame(rows, "file_id string, language string, content string")
-    assert [(r["file_id"], r["name"], r["end_line"]) for r in blocks.symbols(sources).collect()] == [("r/u.go", "Open", 3)]
+    assert [(r["file_id"], r["name"], r["end_line"]) for r in syntax.symbols(sources, syntax.in_blocks(lexer.tokens(sources))).collect()] == [("r/u.go", "Open", 2)]
     assert blocks.imports(sources).count() == 0
 
 
