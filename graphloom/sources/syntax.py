@@ -241,7 +241,7 @@ def _returned() -> Column:
     flat = F.replace(text, F.lit(" "), F.lit(""))
     script = F.when(flat.contains("."), F.substring_index(flat, ".", -1)).otherwise(flat)
     listed = F.regexp_extract(text, r"(?s)^\((.*?),?\s*\)$", 1)
-    parts = F.filter(F.transform(F.split(listed, ","), lambda p: F.trim(p)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(listed, ","), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
     typed = r"^[\p{L}_][\p{L}\p{N}_]*\s+[^\s].*$"
     named = F.exists(parts, lambda p: p.rlike(typed) & ~p.rlike(r"^(?:map|chan|func|interface|struct)\b"))
     types = F.when(named, F.transform(F.filter(parts, lambda p: p.rlike(typed)), lambda p: F.regexp_replace(p, r"^\S+\s+", ""))).otherwise(parts)
