@@ -77,6 +77,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of docs in one, so that no column beside it can clash with them; ``row.*`` takes them out."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def count_words(text: Column) -> Column:
     """Words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

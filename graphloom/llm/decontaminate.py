@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ship
+from graphloom.llm.common import ship, whole_row
 from graphloom.llm.substring_dedup import CHUNK_BYTES, Words, mixed
 
 BUCKET_BITS = 18
@@ -250,6 +250,14 @@ def item_shingles(items: list[Item]) -> tuple[np.ndarray, np.ndarray]:
     return flat[order], np.concatenate(holder)[order]
 
 
+def window_sums(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums over windows that hold a value at least, each from its own values: what differs by many orders from the rest
+    of a chunk would be lost in differences of running sums."""
+    if not len(begin):
+        return np.zeros(0)
+    return np.add.reduceat(np.append(values, 0.0), np.stack([begin, end], axis=1).ravel())[::2]
+
+
 def runs_of(hashes: np.ndarray, length: int) -> np.ndarray:
     """Hashes of the runs of ``length`` words, whatever text they are in."""
     n = max(0, len(hashes) - length + 1)
@@ -308,18 +316,16 @@ def search(block: Block, idf: np.ndarray, words: Words) -> list[list[tuple]]:
     known[near[hit]] = True
     place[near[hit]] = at[hit]
     where = np.nonzero(known)[0]
-    all_sum = np.concatenate([[0], np.cumsum(weight**2)])
-    known_sum = np.concatenate([[0], np.cumsum(np.where(known, weight**2, 0))])
     begin = np.arange(0, n, STRIDE)
     # windows start at multiples of the stride or at the start of a text, and end with it
     begin = np.unique(np.concatenate([begin, words.first[:-1][words.first[:-1] < n]]))
     end = np.minimum(begin + PASSAGE_WORDS, words.first[words.text[begin] + 1])
-    whole, part = all_sum[end] - all_sum[begin], known_sum[end] - known_sum[begin]
+    whole, part = window_sums(weight**2, begin, end), window_sums(np.where(known, weight**2, 0), begin, end)
     # no passage has more of a word than the one that has most of it
     most = np.zeros(n)
     most[where] = weight[where] * block.most[place[where]]
-    most = np.concatenate([[0], np.cumsum(most)])
-    alive = np.nonzero((part >= CANDIDATE**2 * whole) & (part > 0) & ((most[end] - most[begin]) * 1.001 >= CANDIDATE * np.sqrt(whole)))[0]
+    most = window_sums(most, begin, end)
+    alive = np.nonzero((part >= CANDIDATE**2 * whole) & (part > 0) & (whole > 0) & (most * 1.001 >= CANDIDATE * np.sqrt(whole)))[0]
     pairs: dict[tuple[int, int], list[int]] = {}
     for low in range(0, len(alive), 2048):
         some = alive[low : low + 2048]
@@ -411,5 +417,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item."""
-    return docs.withColumn("_leaks", leaks(docs, benchmark)).where(F.size("_leaks") == 0).drop("_leaks")
+    """The rows of docs that hold no item, with all their columns. Repeated rows fare alike; a null text holds none."""
+    found = docs.select(whole_row(docs).alias("row"), leaks(docs, benchmark).alias("leaks"))
+    return found.where(F.size("leaks") == 0).select("row.*")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import saved, ship
+from graphloom.llm.common import saved, ship, whole_row
 from graphloom.llm.token_counts import processor
 
 UNKNOWN = "und"
@@ -296,6 +296,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.5) -> DataFrame:
-    """The rows of docs with a language more likely than all others together."""
-    found = docs.withColumn("_found", predictor(model)(F.col("text")))
-    return found.where((F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= min_score)).drop("_found")
+    """The rows of docs with a language more likely than all others together, with all their columns. Repeated rows fare
+    alike; a null text, or one without letters, goes."""
+    found = docs.select(whole_row(docs).alias("row"), predictor(model)(F.col("text")).alias("found"))
+    return found.where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= min_score)).select("row.*")

@@ -10,7 +10,7 @@ to be reassembled by position.
 Defined results: a null or empty text is one empty line and is never dropped. Rows
 with the same doc_id are one document; rows with a null doc_id are together one
 document that comes after all others. Repeated rows get the same result each. Other
-columns of the input do not matter.
+columns of the input do not matter, whatever their names, and come back as they are.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import SPACES, saved
+from graphloom.llm.common import SPACES, saved, whole_row
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LAST = 2**63 - 1
@@ -80,9 +80,9 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """The rows of docs with text (and n_chars, if there) as the lines left make it.
     Rows that lost lines go if nothing of their own is left: every line, those too short
     to be judged too, is blank or stands in an earlier document."""
-    found = _reassembled(docs, 10, 2, short=True)
+    found = _reassembled(docs.select(whole_row(docs).alias("row"), "doc_id", "text"), 10, 2, short=True)
     stays = (F.col("_dropped") == 0) | (F.col("_own") > 0)
-    new = {"text": F.when(F.col("_dropped") > 0, F.col("_kept")).otherwise(F.col("text"))}
+    row = F.col("row").withField("text", F.when(F.col("_dropped") > 0, F.col("_kept")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_dropped") > 0, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
-    return found.where(stays).withColumns(new).select(*docs.columns)
+        row = row.withField("n_chars", F.when(F.col("_dropped") > 0, F.length("_kept").cast("long")).otherwise(F.col("row.n_chars")))
+    return found.where(stays).select(row.alias("row")).select("row.*")
