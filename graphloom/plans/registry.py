@@ -682,97 +682,122 @@ def path_parts(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.basename(url).alias("base"), text.parent_dir(url).alias("parent"), text.extension(url).alias("ext"))
 
 
-_TYPES = [("const std::string &", "string&"), ("java.util.List", "List"), ("int * ", "int*"), ("Foo", "Foo"), ("const char *", "char*")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _TYPES) + ") t(raw, clean)")
+@query("""SELECT CAST(p_partkey AS BIGINT) AS id, CASE p_partkey % 4 WHEN 0 THEN 'const std::' || p_type || ' &' WHEN 1 THEN 'java.util.' || p_type WHEN 2 THEN p_type || ' * ' ELSE p_type END AS raw,
+p_type || CASE p_partkey % 4 WHEN 0 THEN '&' WHEN 2 THEN '*' ELSE '' END AS clean FROM part""")
 def type_normalise(spark, sf):
-    return spark.createDataFrame([(a,) for a, _ in _TYPES], "raw string").select("raw", text.normalise_type(F.col("raw")).alias("clean"))
-
-
-_SUMMARIES = [("findOrderByNumber", "Retrieves order by number"), ("decodeXMLFeed", "Decodes XML feed"), ("test_refund_total", "Tests refund total"), ("__init__", "Initializes instance"), ("warehouseShelves", "Warehouse shelves"), ("has_stock", "Checks whether stock")]
+    """Types of parts, written as types of several languages."""
+    way, kind = F.col("p_partkey") % 4, F.col("p_type")
+    raw = F.when(way == 0, F.concat(F.lit("const std::"), kind, F.lit(" &"))).when(way == 1, F.concat(F.lit("java.util."), kind)).when(way == 2, F.concat(kind, F.lit(" * "))).otherwise(kind)
+    return table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("id"), raw.alias("raw"), text.normalise_type(raw).alias("clean"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _SUMMARIES) + ") t(name, summary)")
+@query("""WITH words AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS ws FROM part),
+camel AS (SELECT *, array_to_string(list_transform(ws, lambda w: upper(w[1]) || w[2:]), '') AS caps FROM words)
+SELECT CAST(p_partkey AS BIGINT) AS id, CASE p_partkey % 5 WHEN 0 THEN 'find' || caps WHEN 1 THEN 'decode' || caps WHEN 2 THEN 'test_' || replace(p_name, ' ', '_') WHEN 3 THEN 'has_' || replace(p_name, ' ', '_') ELSE lower(caps[1]) || caps[2:] END AS name,
+CASE p_partkey % 5 WHEN 0 THEN 'Retrieves ' || p_name WHEN 1 THEN 'Decodes ' || p_name WHEN 2 THEN 'Tests ' || p_name WHEN 3 THEN 'Checks whether ' || p_name ELSE CASE WHEN ws[1] = 'new' THEN 'Creates ' || p_name[5:] ELSE upper(p_name[1]) || p_name[2:] END END AS summary FROM camel""")
 def template_summary(spark, sf):
+    """Names of parts as names of functions, and what they say."""
+    way = F.col("p_partkey") % 5
+    caps, under = F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), F.replace("p_name", F.lit(" "), F.lit("_"))
+    lower = F.concat(F.lower(F.substring(caps, 1, 1)), F.substring(caps, 2, 1000))
+    name = F.when(way == 0, F.concat(F.lit("find"), caps)).when(way == 1, F.concat(F.lit("decode"), caps)).when(way == 2, F.concat(F.lit("test_"), under)).when(way == 3, F.concat(F.lit("has_"), under)).otherwise(lower)
     none = F.lit(None).cast("string")
-    return spark.createDataFrame([(a,) for a, _ in _SUMMARIES], "name string").select("name", text.summarise_function(F.col("name"), none, none).alias("summary"))
+    return table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("id"), name.alias("name"), text.summarise_function(name, none, none).alias("summary"))
 
 
-_RELATIVE = [("src/app", "../lib/x", "src/lib/x"), ("src", "./y", "src/y"), ("", "a/./b", "a/b"), ("a/b", "../../../c", "c")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _RELATIVE) + ") t(base, path, resolved)")
+@query("""WITH bases AS (SELECT page_id, regexp_extract(url, '//[^/]*/([^?#]*)', 1) AS base FROM pages), parts AS (SELECT *, list_filter(string_split(base, '/'), lambda p: p <> '') AS ps FROM bases)
+SELECT page_id AS id, base, repeat('../', CAST(page_id % 4 AS INT)) || './x/' || page_id AS path, array_to_string(list_concat(ps[1:greatest(len(ps) - page_id % 4, 0)], ['x', CAST(page_id AS VARCHAR)]), '/') AS resolved FROM parts""")
 def relative_paths(spark, sf):
-    return spark.createDataFrame([(a, b) for a, b, _ in _RELATIVE], "base string, path string").select("base", "path", text.resolve_relative(F.col("base"), F.col("path")).alias("resolved"))
+    """From the path of each page so many folders up and down again."""
+    base = F.regexp_extract("url", "//[^/]*/([^?#]*)", 1)
+    path = F.concat(F.repeat(F.lit("../"), (F.col("page_id") % 4).cast("int")), F.lit("./x/"), F.col("page_id").cast("string"))
+    return table(spark, sf, "pages").select(F.col("page_id").alias("id"), base.alias("base"), path.alias("path"), text.resolve_relative(base, path).alias("resolved"))
 
 
-# resolution, on small inputs of its own
+# resolution: suppliers as functions of their nations' files, orders as scopes of their customers
 
-_SYMBOLS = [
-    ("a.py::Shop", "Shop", "class", "a.py", "a.py", None, 1), ("a.py::Shop::__init__", "__init__", "function", "a.py", "a.py::Shop", None, 2),
-    ("a.py::Shop::sell", "sell", "function", "a.py", "a.py::Shop", None, 3), ("a.py::Shop::pay", "pay", "function", "a.py", "a.py::Shop", None, 4),
-    ("a.py::helper", "helper", "function", "a.py", "a.py", None, 5), ("b.py::Cart", "Cart", "class", "b.py", "b.py", None, 6),
-    ("b.py::Cart::add", "add", "function", "b.py", "b.py::Cart", None, 7), ("b.py::total", "total", "function", "b.py", "b.py", None, 8),
-    ("c.go::Run", "Run", "function", "c.go", "c.go", "Engine", 9), ("c.go::Stop", "Stop", "function", "c.go", "c.go", "Engine", 10),
-]
-_CALLS = [
-    ("a.py::Shop::sell", "sell", "a.py", 1, "pay", "self", "attribute", None, None, None), ("a.py::Shop::sell", "sell", "a.py", 2, "missing", "self", "attribute", None, None, None),
-    ("a.py::helper", "helper", "a.py", 3, "Shop", None, "bare", None, None, None), ("a.py::helper", "helper", "a.py", 4, "helper", None, "bare", None, None, None),
-    ("a.py::helper", "helper", "a.py", 5, "total", "b", "attribute", None, None, None), ("b.py::total", "total", "b.py", 6, "helper", None, "bare", None, None, None),
-    ("b.py::total", "total", "b.py", 7, "add", "cart", "attribute", None, None, {"cart": "Cart"}), ("b.py::total", "total", "b.py", 8, "add", "Cart", "attribute", None, None, None),
-    ("a.py::helper", "helper", "a.py", 9, "Cart", None, "bare", None, None, None), ("c.go::Run", "Run", "c.go", 10, "Stop", "e", "attribute", "e", "Engine", None),
-    ("b.py::total", "total", "b.py", 11, "nothing", None, "bare", None, None, None), ("b.py::total", "total", "b.py", 12, "sell", "Shop", "attribute", None, None, None),
-]
-_CALL_EDGES = [
-    ("a.py::Shop::sell", "a.py::Shop::pay", 1.0), ("a.py::helper", "a.py::Shop::__init__", 1.0), ("a.py::helper", "b.py::total", 0.9),
-    ("b.py::total", "a.py::helper", 0.8), ("b.py::total", "b.py::Cart::add", 0.7), ("a.py::helper", "b.py::Cart", 0.8), ("c.go::Run", "c.go::Stop", 1.0),
-    ("b.py::total", "a.py::Shop::sell", 0.9),
-]
 
+_CODE_SQL = """suppliers AS (SELECT s_suppkey AS k, s_nationkey AS nk, 's' || (s_suppkey % 40) AS name, 'f' || s_nationkey AS file, 'f' || s_nationkey || CASE WHEN s_suppkey % 3 = 0 THEN '::N' || s_nationkey ELSE '' END AS parent FROM supplier),
+functions AS (SELECT *, parent || '::' || name || '#' || k AS node FROM suppliers),
+called AS (
+  SELECT a.node AS caller, a.name AS caller_name, a.nk AS an, a.parent AS around, l.l_orderkey * 10 + l.l_linenumber AS ord, b.name AS name, b.nk AS bn, l.l_orderkey % 4 AS way
+  FROM lineitem l JOIN lineitem m ON m.l_orderkey = l.l_orderkey AND m.l_linenumber = l.l_linenumber + 1 JOIN functions a ON a.k = l.l_suppkey JOIN functions b ON b.k = m.l_suppkey)"""
 
-def _symbols(spark):
-    return spark.createDataFrame(_SYMBOLS, "node_id string, name string, kind string, file_id string, parent_id string, receiver_type string, seq int")
 
+def _functions(spark, sf):
+    nk, k = F.col("s_nationkey").cast("string"), F.col("s_suppkey")
+    name, file = F.concat(F.lit("s"), (k % 40).cast("string")), F.concat(F.lit("f"), nk)
+    parent = F.when(k % 3 == 0, F.concat(file, F.lit("::N"), nk)).otherwise(file)
+    return table(spark, sf, "supplier").select(k.alias("k"), nk.alias("nk"), F.concat(parent, F.lit("::"), name, F.lit("#"), k.cast("string")).alias("node_id"), name.alias("name"), F.lit("function").alias("kind"), file.alias("file_id"), parent.alias("parent_id"), F.lit(None).cast("string").alias("receiver_type"), k.cast("long").alias("seq"))
 
-def _imports(spark):
-    return spark.createDataFrame([("a.py", "b", "b.py")], "file_id string, alias string, target_file_id string")
 
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c}::DOUBLE)" for a, b, c in _CALL_EDGES) + ") t(source_id, target_id, confidence)")
+@query(f"""WITH {_CODE_SQL},
+found AS (
+  SELECT c.caller, c.ord, 1.0 AS pr, 0 AS prefer, f.k, f.node, 1.0::DOUBLE AS confidence FROM called c JOIN functions f ON c.way = 0 AND f.parent = c.around AND f.name = c.name
+  UNION ALL SELECT c.caller, c.ord, 3.0, CAST(c.an <> c.bn AS INT), f.k, f.node, CASE WHEN c.an = c.bn THEN 1.0 ELSE 0.9 END FROM called c JOIN functions f ON c.way = 2 AND f.parent = 'f' || c.bn || '::N' || c.bn AND f.name = c.name
+  UNION ALL SELECT c.caller, c.ord, 4.0, -f.k, f.k, f.node, 0.9 FROM called c JOIN functions f ON c.way = 3 AND (c.an + c.bn) % 3 = 0 AND f.nk = c.bn AND f.name = c.name
+  UNION ALL SELECT c.caller, c.ord, 6.0, -f.k, f.k, f.node, 1.0 FROM called c JOIN functions f ON c.way = 1 AND c.name <> c.caller_name AND f.nk = c.an AND f.name = c.name
+  UNION ALL SELECT c.caller, c.ord, 7.0, 0, min(f.k), min(f.node), 0.8 FROM called c JOIN functions f ON c.way = 1 AND c.name <> c.caller_name AND f.nk <> c.an AND f.name = c.name GROUP BY c.caller, c.ord HAVING count(*) = 1),
+best AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY caller, ord ORDER BY pr, prefer, k, node, confidence) = 1)
+SELECT caller AS source_id, node AS target_id, arg_min(confidence, ord) AS confidence FROM best WHERE node <> caller GROUP BY caller, node""")
 def call_resolution_cascade(spark, sf):
-    calls = spark.createDataFrame(_CALLS, "caller_id string, caller_name string, file_id string, ord int, name string, receiver string, kind string, receiver_var string, receiver_type string, param_types map<string,string>")
-    return resolve.resolve_calls(calls, _symbols(spark), _imports(spark))
-
-
-_VARIABLES = [("a.py::f", "x", "a.py::f::x"), ("a.py::f", "y", "a.py::f::y"), ("a.py::Shop", "stock", "a.py::Shop::stock"), ("a.py", "G", "a.py::G")]
-_REFS = [
-    ("a.py::f::y", "a.py::f", "a.py", 1, "x", None, "identifier"), ("a.py::f::y", "a.py::f", "a.py", 2, "G", None, "identifier"),
-    ("a.py::f::x", "a.py::f", "a.py", 3, "helper", None, "call"), ("a.py::Shop::sell::z", "a.py::Shop::sell", "a.py", 4, "stock", "self", "attribute"),
-    ("a.py::f::x", "a.py::f", "a.py", 5, "total", "b", "attribute"), ("a.py::f::x", "a.py::f", "a.py", 6, "unknown", None, "identifier"),
-]
-_DERIVED = [("a.py::f::y", "a.py::f::x", "identifier"), ("a.py::f::y", "a.py::G", "identifier"), ("a.py::f::x", "a.py::helper", "call"), ("a.py::Shop::sell::z", "a.py::Shop::stock", "attribute"), ("a.py::f::x", "b.py::total", "attribute")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _DERIVED) + ") t(source_id, target_id, transform)")
+    """Each line of an order as a call from its supplier's function to the next line's: on self, bare, on a class or on an import."""
+    own = _functions(spark, sf)
+    classes = own.select("nk", "file_id").distinct().select(F.concat("file_id", F.lit("::N"), "nk").alias("node_id"), F.concat(F.lit("N"), "nk").alias("name"), F.lit("class").alias("kind"), "file_id", F.col("file_id").alias("parent_id"), F.lit(None).cast("string").alias("receiver_type"), F.lit(10**9).cast("long").alias("seq"))
+    symbols = own.drop("k", "nk").unionByName(classes)
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("k"))
+    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("k").alias("k2"))
+    target = own.select(F.col("k").alias("k2"), F.col("name").alias("name2"), F.col("nk").alias("nk2"))
+    rows = lines.join(after, ["l_orderkey", "l_linenumber"]).join(own.select("k", "node_id", "name", "file_id"), "k").join(target, "k2")
+    way = F.col("l_orderkey") % 4
+    receiver = F.when(way == 0, "self").when(way == 2, F.concat(F.lit("N"), "nk2")).when(way == 3, F.concat(F.lit("m"), "nk2"))
+    none = F.lit(None).cast("string")
+    calls = rows.select(
+        F.col("node_id").alias("caller_id"), F.col("name").alias("caller_name"), "file_id", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("name2").alias("name"), receiver.alias("receiver"),
+        F.when(way == 1, "bare").otherwise("attribute").alias("kind"), none.alias("receiver_var"), none.alias("receiver_type"), F.lit(None).cast("map<string,string>").alias("param_types"),
+    )
+    nations = own.select("nk").distinct()
+    imports = nations.join(nations.withColumnRenamed("nk", "to"), (F.col("nk").cast("long") + F.col("to").cast("long")) % 3 == 0)  # nations only
+    imports = imports.select(F.concat(F.lit("f"), "nk").alias("file_id"), F.concat(F.lit("m"), "to").alias("alias"), F.concat(F.lit("f"), "to").alias("target_file_id"))
+    return resolve.resolve_calls(calls, symbols, imports)
+
+
+@query("""WITH scopes AS (SELECT o_orderkey AS o, 'n' || c_nationkey || '::c' || c_custkey AS customer, 'n' || c_nationkey AS nation, c_custkey % 7 AS own FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT customer || '::o' || o || '::z' AS source_id, CASE WHEN own = o % 7 THEN customer ELSE nation END || '::v' || (o % 7) AS target_id, CASE WHEN o % 5 < 4 THEN 'identifier' ELSE 'attribute' END AS transform
+FROM scopes WHERE own = o % 7 OR o % 7 < 3""")
 def derivation_scope_chain(spark, sf):
-    refs = spark.createDataFrame(_REFS, "variable_id string, scope_id string, file_id string, ord int, name string, receiver string, kind string")
-    variables = spark.createDataFrame(_VARIABLES, "scope_id string, name string, var_id string")
-    return resolve.resolve_derivations(refs, variables, _symbols(spark), _imports(spark))
-
-
-_IMPORTS = [
-    ("r/pkg/a.py", "pkg/a.py", "python", "util", "pkg.util", None, "r/pkg/util.py"), ("r/pkg/a.py", "pkg/a.py", "python", "core", ".core", None, "r/pkg/core/__init__.py"),
-    ("r/pkg/a.py", "pkg/a.py", "python", "deep", ".", "deep", "r/pkg/deep.py"), ("r/pkg/a.py", "pkg/a.py", "python", "np", "numpy", None, None),
-    ("r/web/x.ts", "web/x.ts", "typescript", "y", "./y", None, "r/web/y.tsx"), ("r/web/x.ts", "web/x.ts", "typescript", "lib", "../lib", None, "r/lib/index.ts"),
-]
-_FILES = ["pkg/a.py", "pkg/util.py", "pkg/core/__init__.py", "pkg/deep.py", "pkg/__init__.py", "web/x.ts", "web/y.tsx", "lib/index.ts"]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {d!r})".replace("None", "NULL") for a, _, _, b, c, _, d in _IMPORTS) + ") t(file_id, alias, module, target_file_id)")
+    """A variable of each order refers to one of its customer, or else of its nation."""
+    nation, customer = F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit("::c"), F.col("c_custkey").cast("string"))
+    people = table(spark, sf, "customer")
+    own = people.select(customer.alias("scope_id"), F.concat(F.lit("v"), (F.col("c_custkey") % 7).cast("string")).alias("name"))
+    shared = people.select(nation.alias("scope_id")).distinct().select("scope_id", F.explode(F.array(*map(F.lit, ("v0", "v1", "v2")))).alias("name"))
+    variables = own.unionByName(shared).withColumn("var_id", F.concat("scope_id", F.lit("::"), "name"))
+    key = F.col("o_orderkey")
+    scope = F.concat(customer, F.lit("::o"), key.cast("string"))
+    plain = key % 5 < 4
+    refs = table(spark, sf, "orders").join(people, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.concat(scope, F.lit("::z")).alias("variable_id"), scope.alias("scope_id"), nation.alias("file_id"), F.lit(1).alias("ord"), F.concat(F.lit("v"), (key % 7).cast("string")).alias("name"), F.when(~plain, "self").alias("receiver"), F.when(plain, "identifier").otherwise("attribute").alias("kind")
+    )
+    symbols = _functions(spark, sf).where("false")
+    imports = symbols.select("file_id", F.col("name").alias("alias"), F.col("file_id").alias("target_file_id"))
+    return resolve.resolve_derivations(refs, variables, symbols, imports)
+
+
+@query("""WITH rows AS (SELECT c_custkey AS k, c_nationkey AS nk, c_custkey % 2 AS script, c_custkey % 5 AS r FROM customer)
+SELECT CASE WHEN script = 0 THEN 'x/c/f' || k || '.py' ELSE 'x/r' || r || '/f' || k || '.ts' END AS file_id, 'n' || nk AS alias, CASE WHEN script = 0 THEN 'r' || r || '.n' || nk ELSE './n' || nk END AS module,
+CASE WHEN n_nationkey IS NOT NULL THEN 'x/r' || r || '/n' || nk || CASE nk % 3 WHEN 0 THEN '.py' WHEN 1 THEN '/__init__.py' ELSE '.ts' END END AS target_file_id
+FROM rows LEFT JOIN nation ON n_nationkey = nk AND n_regionkey = r AND (script = 1) = (n_nationkey % 3 = 2)""")
 def import_candidates(spark, sf):
-    rows = spark.createDataFrame([x[:6] for x in _IMPORTS], "file_id string, path string, language string, alias string, module string, member string")
-    return resolve.resolve_imports(rows, spark.createDataFrame([(f, f"r/{f}") for f in _FILES], "path string, file_id string"))
+    """Each customer's file imports its nation's, from the region it takes it to be in."""
+    nk, k, r = F.col("n_nationkey"), F.col("c_custkey"), (F.col("c_custkey") % 5).cast("string")
+    suffix = F.when(nk % 3 == 0, ".py").when(nk % 3 == 1, "/__init__.py").otherwise(".ts")
+    path = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("/n"), nk.cast("string"), suffix)
+    files = table(spark, sf, "nation").select(path.alias("path"), F.concat(F.lit("x/"), path).alias("file_id"))
+    script, to = k % 2 == 1, F.col("c_nationkey").cast("string")
+    own = F.when(script, F.concat(F.lit("r"), r, F.lit("/f"), k.cast("string"), F.lit(".ts"))).otherwise(F.concat(F.lit("c/f"), k.cast("string"), F.lit(".py")))
+    module = F.when(script, F.concat(F.lit("./n"), to)).otherwise(F.concat(F.lit("r"), r, F.lit(".n"), to))
+    rows = table(spark, sf, "customer").select(F.concat(F.lit("x/"), own).alias("file_id"), own.alias("path"), F.when(script, "typescript").otherwise("python").alias("language"), F.concat(F.lit("n"), to).alias("alias"), module.alias("module"), F.lit(None).cast("string").alias("member"))
+    return resolve.resolve_imports(rows, files)
 
 
 # communities
@@ -793,7 +818,7 @@ def community_names(spark, sf):
 @query()
 def louvain_communities(spark, sf):
     """Louvain over what defines what."""
-    return communities.louvain(edges(spark, sf).where("type = 'DEFINES'")).labels
+    return communities.louvain(edges(spark, sf).where("type = 'DEFINES'"), passes=1).labels
 
 
 @query("""WITH named AS (SELECT regexp_extract(url, '//([^/]*)', 1) AS community, url AS name, lower(url) AS low FROM pages),
