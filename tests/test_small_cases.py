@@ -6,82 +6,8 @@ from graphloom.functions import text
 from graphloom.operators import resolve
 
 _TYPES = [("const std::string &", "string&"), ("java.util.List", "List"), ("int * ", "int*"), ("Foo", "Foo"), ("const char *", "char*")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _TYPES) + ") t(raw, clean)")
-def type_normalise(spark, sf):
-    return spark.createDataFrame([(a,) for a, _ in _TYPES], "raw string").select("raw", text.normalise_type(F.col("raw")).alias("clean"))
-
-
 _SUMMARIES = [("findOrderByNumber", "Retrieves order by number"), ("decodeXMLFeed", "Decodes XML feed"), ("test_refund_total", "Tests refund total"), ("__init__", "Initializes instance"), ("warehouseShelves", "Warehouse shelves"), ("has_stock", "Checks whether stock")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _SUMMARIES) + ") t(name, summary)")
-def template_summary(spark, sf):
-    none = F.lit(None).cast("string")
-    return spark.createDataFrame([(a,) for a, _ in _SUMMARIES], "name string").select("name", text.summarise_function(F.col("name"), none, none).alias("summary"))
-
-
 _RELATIVE = [("src/app", "../lib/x", "src/lib/x"), ("src", "./y", "src/y"), ("", "a/./b", "a/b"), ("a/b", "../../../c", "c")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _RELATIVE) + ") t(base, path, resolved)")
-def relative_paths(spark, sf):
-    return spark.createDataFrame([(a, b) for a, b, _ in _RELATIVE], "base string, path string").select("base", "path", text.resolve_relative(F.col("base"), F.col("path")).alias("resolved"))
-
-
-# resolution, on small inputs of its own
-
-_SYMBOLS = [
-    ("a.py::Shop", "Shop", "class", "a.py", "a.py", None, 1), ("a.py::Shop::__init__", "__init__", "function", "a.py", "a.py::Shop", None, 2),
-    ("a.py::Shop::sell", "sell", "function", "a.py", "a.py::Shop", None, 3), ("a.py::Shop::pay", "pay", "function", "a.py", "a.py::Shop", None, 4),
-    ("a.py::helper", "helper", "function", "a.py", "a.py", None, 5), ("b.py::Cart", "Cart", "class", "b.py", "b.py", None, 6),
-    ("b.py::Cart::add", "add", "function", "b.py", "b.py::Cart", None, 7), ("b.py::total", "total", "function", "b.py", "b.py", None, 8),
-    ("c.go::Run", "Run", "function", "c.go", "c.go", "Engine", 9), ("c.go::Stop", "Stop", "function", "c.go", "c.go", "Engine", 10),
-]
-_SUMMARIES = [("findOrderByNumber", "Retrieves order by number"), ("decodeXMLFeed", "Decodes XML feed"), ("test_refund_total", "Tests refund total"), ("__init__", "Initializes instance"), ("warehouseShelves", "Warehouse shelves"), ("has_stock", "Checks whether stock")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _SUMMARIES) + ") t(name, summary)")
-def template_summary(spark, sf):
-    none = F.lit(None).cast("string")
-    return spark.createDataFrame([(a,) for a, _ in _SUMMARIES], "name string").select("name", text.summarise_function(F.col("name"), none, none).alias("summary"))
-
-
-_RELATIVE = [("src/app", "../lib/x", "src/lib/x"), ("src", "./y", "src/y"), ("", "a/./b", "a/b"), ("a/b", "../../../c", "c")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _RELATIVE) + ") t(base, path, resolved)")
-def relative_paths(spark, sf):
-    return spark.createDataFrame([(a, b) for a, b, _ in _RELATIVE], "base string, path string").select("base", "path", text.resolve_relative(F.col("base"), F.col("path")).alias("resolved"))
-
-
-# resolution, on small inputs of its own
-
-_SYMBOLS = [
-    ("a.py::Shop", "Shop", "class", "a.py", "a.py", None, 1), ("a.py::Shop::__init__", "__init__", "function", "a.py", "a.py::Shop", None, 2),
-    ("a.py::Shop::sell", "sell", "function", "a.py", "a.py::Shop", None, 3), ("a.py::Shop::pay", "pay", "function", "a.py", "a.py::Shop", None, 4),
-    ("a.py::helper", "helper", "function", "a.py", "a.py", None, 5), ("b.py::Cart", "Cart", "class", "b.py", "b.py", None, 6),
-    ("b.py::Cart::add", "add", "function", "b.py", "b.py::Cart", None, 7), ("b.py::total", "total", "function", "b.py", "b.py", None, 8),
-    ("c.go::Run", "Run", "function", "c.go", "c.go", "Engine", 9), ("c.go::Stop", "Stop", "function", "c.go", "c.go", "Engine", 10),
-]
-_RELATIVE = [("src/app", "../lib/x", "src/lib/x"), ("src", "./y", "src/y"), ("", "a/./b", "a/b"), ("a/b", "../../../c", "c")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _RELATIVE) + ") t(base, path, resolved)")
-def relative_paths(spark, sf):
-    return spark.createDataFrame([(a, b) for a, b, _ in _RELATIVE], "base string, path string").select("base", "path", text.resolve_relative(F.col("base"), F.col("path")).alias("resolved"))
-
-
-# resolution, on small inputs of its own
-
-_SYMBOLS = [
-    ("a.py::Shop", "Shop", "class", "a.py", "a.py", None, 1), ("a.py::Shop::__init__", "__init__", "function", "a.py", "a.py::Shop", None, 2),
-    ("a.py::Shop::sell", "sell", "function", "a.py", "a.py::Shop", None, 3), ("a.py::Shop::pay", "pay", "function", "a.py", "a.py::Shop", None, 4),
-    ("a.py::helper", "helper", "function", "a.py", "a.py", None, 5), ("b.py::Cart", "Cart", "class", "b.py", "b.py", None, 6),
-    ("b.py::Cart::add", "add", "function", "b.py", "b.py::Cart", None, 7), ("b.py::total", "total", "function", "b.py", "b.py", None, 8),
-    ("c.go::Run", "Run", "function", "c.go", "c.go", "Engine", 9), ("c.go::Stop", "Stop", "function", "c.go", "c.go", "Engine", 10),
-]
 _SYMBOLS = [
     ("a.py::Shop", "Shop", "class", "a.py", "a.py", None, 1), ("a.py::Shop::__init__", "__init__", "function", "a.py", "a.py::Shop", None, 2),
     ("a.py::Shop::sell", "sell", "function", "a.py", "a.py::Shop", None, 3), ("a.py::Shop::pay", "pay", "function", "a.py", "a.py::Shop", None, 4),
@@ -108,26 +34,7 @@ _REFS = [
     ("a.py::f::x", "a.py::f", "a.py", 3, "helper", None, "call"), ("a.py::Shop::sell::z", "a.py::Shop::sell", "a.py", 4, "stock", "self", "attribute"),
     ("a.py::f::x", "a.py::f", "a.py", 5, "total", "b", "attribute"), ("a.py::f::x", "a.py::f", "a.py", 6, "unknown", None, "identifier"),
 ]
-_REFS = [
-    ("a.py::f::y", "a.py::f", "a.py", 1, "x", None, "identifier"), ("a.py::f::y", "a.py::f", "a.py", 2, "G", None, "identifier"),
-    ("a.py::f::x", "a.py::f", "a.py", 3, "helper", None, "call"), ("a.py::Shop::sell::z", "a.py::Shop::sell", "a.py", 4, "stock", "self", "attribute"),
-    ("a.py::f::x", "a.py::f", "a.py", 5, "total", "b", "attribute"), ("a.py::f::x", "a.py::f", "a.py", 6, "unknown", None, "identifier"),
-]
 _DERIVED = [("a.py::f::y", "a.py::f::x", "identifier"), ("a.py::f::y", "a.py::G", "identifier"), ("a.py::f::x", "a.py::helper", "call"), ("a.py::Shop::sell::z", "a.py::Shop::stock", "attribute"), ("a.py::f::x", "b.py::total", "attribute")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _DERIVED) + ") t(source_id, target_id, transform)")
-def derivation_scope_chain(spark, sf):
-    refs = spark.createDataFrame(_REFS, "variable_id string, scope_id string, file_id string, ord int, name string, receiver string, kind string")
-    variables = spark.createDataFrame(_VARIABLES, "scope_id string, name string, var_id string")
-    return resolve.resolve_derivations(refs, variables, _symbols(spark), _imports(spark))
-
-
-_IMPORTS = [
-    ("r/pkg/a.py", "pkg/a.py", "python", "util", "pkg.util", None, "r/pkg/util.py"), ("r/pkg/a.py", "pkg/a.py", "python", "core", ".core", None, "r/pkg/core/__init__.py"),
-    ("r/pkg/a.py", "pkg/a.py", "python", "deep", ".", "deep", "r/pkg/deep.py"), ("r/pkg/a.py", "pkg/a.py", "python", "np", "numpy", None, None),
-    ("r/web/x.ts", "web/x.ts", "typescript", "y", "./y", None, "r/web/y.tsx"), ("r/web/x.ts", "web/x.ts", "typescript", "lib", "../lib", None, "r/lib/index.ts"),
-]
 _IMPORTS = [
     ("r/pkg/a.py", "pkg/a.py", "python", "util", "pkg.util", None, "r/pkg/util.py"), ("r/pkg/a.py", "pkg/a.py", "python", "core", ".core", None, "r/pkg/core/__init__.py"),
     ("r/pkg/a.py", "pkg/a.py", "python", "deep", ".", "deep", "r/pkg/deep.py"), ("r/pkg/a.py", "pkg/a.py", "python", "np", "numpy", None, None),
