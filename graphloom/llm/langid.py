@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import saved, ship, whole_row
+from graphloom.llm.common import give_back, saved, ship, whole_row
 from graphloom.llm.token_counts import processor
 
 UNKNOWN = "und"
@@ -267,9 +267,6 @@ class Scorer:
         return out
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def predictor(model: LanguageModel):
     """A function of text columns that returns struct<lang_pred, score>; score is the
     posterior probability of the predicted language."""
@@ -279,12 +276,11 @@ def predictor(model: LanguageModel):
 
     @F.pandas_udf("lang_pred string, score double")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        key = id(shared.value)
-        if key not in _scorers:  # one model at a time in a worker, kept between tasks
-            _scorers.clear()
-            _scorers[key] = Scorer(shared.value)
+        scorer = Scorer(shared.value)  # a task's own: workers that go on to other work don't hold its words
         for some in texts:
-            yield pd.DataFrame(_scorers[key].predict([x if isinstance(x, str) else None for x in some]), columns=["lang_pred", "score"])
+            yield pd.DataFrame(scorer.predict([x if isinstance(x, str) else None for x in some]), columns=["lang_pred", "score"])
+        del scorer
+        give_back()
 
     return lambda text: run(text.cast("string"))
 
