@@ -1,7 +1,7 @@
 """Symbols, calls, imports and variables of source files.
 
 Python is parsed in its tasks with the standard library's ``ast``; other languages are
-read by their blocks (``sources.blocks``). Whatever crosses
+read by their tokens (``sources.lexer``, ``sources.syntax``). Whatever crosses
 files (imports, calls, data flow) is resolved by joins in ``operators.resolve``."""
 
 from __future__ import annotations
