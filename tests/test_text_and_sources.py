@@ -10,7 +10,7 @@ from graphloom.functions import text
 from graphloom.operators import search
 from graphloom.plans import registry
 from graphloom.sources import archive, benchmarks, blocks, code, files, lexer, manifests, pulls, syntax
-from graphloom.streaming import events, snapshots
+from graphloom.streaming import events
 
 
 def one(spark, column, **values):
@@ -187,28 +187,6 @@ def test_archive_round_trip(spark, seeded, tmp_path):
         archive.import_graph(spark, str(tmp_path / "empty.zip"))
 
 
-def test_snapshots_replace_a_repository(spark, tmp_path):
-    store = snapshots.SnapshotStore(spark, str(tmp_path / "store"))
-    n = lambda *ids: spark.createDataFrame([(i, "File", i) for i in ids], "id string, type string, name string")
-    e = lambda *pairs: spark.createDataFrame([(f"{a}->{b}", "E", a, b) for a, b in pairs], "id string, type string, source_id string, target_id string")
-    assert store.read() is None
-    store.replace("r", n("r/a", "r/b"), e(("r/a", "r/b")))
-    store.replace("s", n("s/x"), e())
-    store.replace("r", n("r/c"), e())
-    nodes, edges = store.read()
-    assert sorted(r["id"] for r in nodes.collect()) == ["r/c", "s/x"] and edges.count() == 0
-
-
-def test_snapshot_stream(spark, tmp_path):
-    spark.createDataFrame([("q", "q/a", "File", "a"), ("p", "p/b", "File", "b")], "repo string, id string, type string, name string").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("repo string, id string, type string, name string").parquet(str(tmp_path / "in"))
-    store = snapshots.SnapshotStore(spark, str(tmp_path / "store"))
-    none = spark.createDataFrame([("1", "E", "q/a", "q/a")], "id string, type string, source_id string, target_id string")
-    snapshots.ingest(store, stream, lambda repos: none.withColumn("repo", F.split("source_id", "/")[0]).join(repos, "repo", "left_semi").drop("repo"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r["id"] for r in store.read()[0].collect()) == ["p/b", "q/a"]
-    assert store.current().startswith("0000000001-")  # both repositories of the batch in one snapshot
-
-
 def test_stream_equals_batch_and_drops_repeats(spark):
     sf = "/root/testdata/sf0.001"
     batch = events.tumbling(spark.read.parquet(f"{sf}/events.parquet"))
