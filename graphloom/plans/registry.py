@@ -13,10 +13,11 @@ from graphloom.functions.fixed_values import DOMAINS, STOP_WORDS
 from graphloom.functions.stemming import stem, stem_sql
 from graphloom.operators import communities, fulltext, graph, reports, resolve, search, store_ops
 from graphloom.sources import archive
-from graphloom.session import spread
+from graphloom.session import scratch, spread
 from graphloom.sources.tables import GRAPH_SQL, edges, nodes, table
 from graphloom.store import GraphStore
 from graphloom.streaming import events as streaming
+from graphloom.streaming import snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -650,6 +651,41 @@ def snapshot_diff(spark, sf):
     return store_ops.snapshot_diff(old, new)
 
 
+@query("""WITH c AS (SELECT c_custkey, c_nationkey, n_regionkey = 1 AS again FROM customer JOIN nation ON c_nationkey = n_nationkey),
+o AS (SELECT o_orderkey, c_custkey, c_nationkey, again FROM orders JOIN c ON o_custkey = c_custkey WHERE NOT again OR o_orderstatus = 'O'),
+s AS (SELECT s_suppkey, s_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <> 1)
+SELECT concat('nation-', c_nationkey, '/customer-', c_custkey) AS id, 'Customer' AS type FROM c
+UNION ALL SELECT concat('nation-', c_nationkey, '/order-', o_orderkey), 'Order' FROM o
+UNION ALL SELECT concat('nation-', s_nationkey, '/supplier-', s_suppkey), 'Supplier' FROM s
+UNION ALL SELECT concat('nation-', c_nationkey, '/order-', o_orderkey, '->nation-', c_nationkey, '/customer-', c_custkey), 'PLACED_BY' FROM o
+UNION ALL SELECT DISTINCT concat('nation-', c_nationkey, '/order-', o_orderkey, '->nation-', s_nationkey, '/supplier-', s_suppkey), 'SUPPLIED_BY' FROM o JOIN lineitem ON l_orderkey = o_orderkey JOIN s ON l_suppkey = s_suppkey""")
+def snapshot_replace(spark, sf):
+    """The tables as a graph with a repository for each nation; those of a region come again with their open orders
+    and without suppliers, so edges of other nations' orders to their suppliers leave."""
+    nation, suppliers = table(spark, sf, "nation"), table(spark, sf, "supplier")
+    home = lambda kind, nation, key: F.concat(F.lit("nation-"), nation, F.lit(f"/{kind}-"), key)
+    again = nation.where("n_regionkey = 1").select(F.concat(F.lit("nation-"), "n_nationkey").alias("repo"))
+    customers = table(spark, sf, "customer").select("c_custkey", home("customer", "c_nationkey", "c_custkey").alias("customer"), F.concat(F.lit("nation-"), "c_nationkey").alias("repo"), "c_nationkey")
+    orders = table(spark, sf, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderstatus", home("order", "c_nationkey", "o_orderkey").alias("order"), "customer", "repo")
+    suppliers = suppliers.select("s_suppkey", home("supplier", "s_nationkey", "s_suppkey").alias("supplier"), F.concat(F.lit("nation-"), "s_nationkey").alias("repo"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+
+    def part(customers, orders, suppliers):
+        own = [df.select(F.col(c).alias("id"), F.lit(t).alias("type")) for df, c, t in ((customers, "customer", "Customer"), (orders, "order", "Order"), (suppliers, "supplier", "Supplier"))]
+        supplied = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).join(suppliers.drop("repo"), F.col("l_suppkey") == F.col("s_suppkey"))
+        edge = lambda df, kind, end: df.select(F.concat("order", F.lit("->"), end).alias("id"), F.lit(kind).alias("type"), F.col("order").alias("source_id"), F.col(end).alias("target_id"))
+        return reduce(DataFrame.unionByName, own), edge(orders, "PLACED_BY", "customer").unionByName(edge(supplied, "SUPPLIED_BY", "supplier"))
+
+    store = snapshots.SnapshotStore(spark, scratch(spark, "snapshots"))
+    store.publish(*part(customers, orders, suppliers), [f"nation-{r['n_nationkey']}" for r in nation.select("n_nationkey").collect()])
+    fresh = lambda df: df.join(again, "repo", "left_semi")
+    _, edges = part(customers, fresh(orders).where("o_orderstatus = 'O'"), suppliers.join(again, "repo", "left_anti"))
+    nodes, _ = part(fresh(customers), fresh(orders).where("o_orderstatus = 'O'"), suppliers.where("false"))
+    store.replace(again, nodes, edges)
+    nodes, edges = store.read()
+    return nodes.select("id", "type").unionByName(edges.select("id", "type"))
+
+
 @query("SELECT id, type, name FROM nodes WHERE type IN ('Region', 'Nation', 'Supplier')", graph_sql=True)
 def parquet_zip_roundtrip(spark, sf):
     """Export a part of the graph to an archive on the driver and read it back."""

@@ -53,10 +53,16 @@ def _remove_written() -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder's path in the shared folder, for as long as the driver lives."""
+    path = new_path(spark, name)
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df, written to the shared folder and read back, so that loops have short lineages
     and lost executors cost no recomputation."""
-    path = new_path(df.sparkSession, name)
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
