@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text
 from graphloom.functions.fixed_values import DOMAINS, STOP_WORDS
 from graphloom.functions.stemming import stem, stem_sql
-from graphloom.operators import communities, fulltext, graph, reports, resolve, search, store_ops
+from graphloom.operators import communities, fulltext, graph, reports, resolve, search, store_ops, vector_index
 from graphloom.sources import archive
 from graphloom.session import scratch, spread
 from graphloom.sources.tables import GRAPH_SQL, edges, nodes, table
@@ -484,6 +484,17 @@ def vector_threshold(spark, sf):
     return near.select("id", F.round(search.distance_score(1 - F.col("score")), 6).alias("score"))
 
 
+@query(f"""WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)),
+pairs AS (SELECT query_id, vec_id AS id, {_COS} AS score FROM embeddings v, q), ranks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM pairs)
+SELECT query_id, rank, id, round(score, 6) AS score FROM ranks WHERE rank <= 20""")
+def vector_index_search(spark, sf):
+    """The vectors indexed on disk, then the nearest of the first vector of each label by the exact search."""
+    index = vector_index.VectorIndex.build(_vectors(spark, sf), scratch(spark, "vector-index"))
+    first = table(spark, sf, "embeddings").groupBy("label").agg(F.min_by(F.struct("vec_id", "embedding"), "vec_id").alias("v"))
+    found = index.exact(first.select(F.col("v.vec_id").alias("query_id"), F.col("v.embedding").alias("vec")), 20)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
 _FUSED = f"""
 lists AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM one UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM two),
 fused AS (SELECT id, sum(1.0 / (60 + r)) AS s FROM lists GROUP BY id)"""
