@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,51 +56,134 @@ def expansions(vocabulary: DataFrame, terms: Sequence[str]) -> DataFrame:
     return ranked.join(first, "term").where(F.col("kind") == F.col("_kind")).select("term", "token", "penalty")
 
 
-@dataclass
-class Index:
-    """A stored search index: postings (token, id, in_name, len), in ranges of tokens so that a
-    query reads the row groups of its tokens only; vocabulary (token, df); sizes (id, len)."""
+@dataclass(frozen=True)
+class Segment:
+    """What one update added: postings (token, id, in_name, len) in ranges of tokens, its documents (id, len, tokens), the
+    ids it hides in earlier segments, and changes of document frequencies (token, df) and totals, which may be negative."""
 
+    number: int
     postings: DataFrame
-    vocabulary: DataFrame
-    sizes: DataFrame
+    documents: DataFrame
+    hidden: DataFrame | None
+    frequencies: DataFrame
+    held: int
+    n_docs: int
+    total_len: int
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored search index of segments. A query reads the row groups of its tokens only; an update writes a segment in
+    proportion to its documents, and now and then merges segments of about one size, so that each document is
+    written again as often as the logarithm of the index's size."""
+
+    segments: tuple[Segment, ...]
+
+    #: Segments of one size (to a factor of as many) that become one.
+    MERGED = 8
 
     @classmethod
     def build(cls, docs: DataFrame) -> Index:
         """Of docs (id, name, text); the texts are read once."""
-        rows = written(tokens_of(docs), "tokens")
-        return cls._stored(_exploded(rows), rows.select("id", F.size("tokens").alias("len")))
-
-    @classmethod
-    def _stored(cls, posts: DataFrame, sizes: DataFrame) -> Index:
-        posts = written(posts.repartitionByRange("token").sortWithinPartitions("token"), "postings")
-        return cls(posts, written(posts.groupBy("token").agg(F.count("id").alias("df")), "vocabulary"), sizes)
+        return cls((cls._segment(0, written(tokens_of(docs), "tokens"), None),))
+
+    @staticmethod
+    def _segment(number: int, rows: DataFrame, dead: DataFrame | None) -> Segment:
+        """A segment of rows (id, tokens, names) that hides the dead documents (id, len, tokens)."""
+        posts = written(_exploded(rows).repartitionByRange("token").sortWithinPartitions("token"), "postings")
+        own = rows.select("id", F.size("tokens").alias("len"), "tokens")
+        counts = posts.groupBy("token").agg(F.count("id").alias("df"))
+        sums = lambda df: df.agg(F.count("len"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        n, total = sums(own)
+        held = n
+        if dead is not None:
+            less = dead.select(F.explode("tokens").alias("token")).groupBy("token").agg((-F.count("token")).alias("df"))
+            counts = counts.unionByName(less).groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0")
+            gone = sums(dead)
+            n, total = n - gone[0], total - gone[1]
+        return Segment(number, posts, own, dead.select("id").distinct() if dead is not None else None, written(counts, "frequencies"), held, n, total)
+
+    def _living(self, kind: str, segments: Sequence[Segment] | None = None) -> DataFrame:
+        """postings or documents of segments without those that a later segment hides."""
+        rows = reduce(DataFrame.unionByName, [getattr(s, kind).withColumn("_segment", F.lit(s.number)) for s in segments or self.segments])
+        hiding = [s.hidden.select("id", F.lit(s.number).alias("_before")) for s in self.segments if s.hidden is not None]
+        if not hiding:
+            return rows.drop("_segment")
+        hidden = reduce(DataFrame.unionByName, hiding).groupBy("id").agg(F.max("_before").alias("_before"))
+        return rows.join(hidden, "id", "left").where("_before IS NULL OR _segment >= _before").drop("_segment", "_before")
+
+    @property
+    def postings(self) -> DataFrame:
+        """token, id, in_name, len."""
+        return self._living("postings")
+
+    @property
+    def vocabulary(self) -> DataFrame:
+        """token, df."""
+        if len(self.segments) == 1:
+            return self.segments[0].frequencies
+        every = reduce(DataFrame.unionByName, [s.frequencies for s in self.segments])
+        return every.groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
+
+    @property
+    def sizes(self) -> DataFrame:
+        """id, len."""
+        return self._living("documents").select("id", "len")
+
+    @property
+    def n_docs(self) -> int:
+        return sum(s.n_docs for s in self.segments)
+
+    @property
+    def avg_len(self) -> float | None:
+        return sum(s.total_len for s in self.segments) / self.n_docs if self.n_docs else None
 
     def remove(self, ids: DataFrame) -> Index:
         """Without the documents of ids (id)."""
-        return self._stored(self.postings.join(ids, "id", "left_anti"), written(self.sizes.join(ids, "id", "left_anti"), "sizes"))
+        none = self.segments[0].documents.where("false").select("id", "tokens", F.col("tokens").alias("names"))
+        return self._with(none, ids)
 
     def update(self, docs: DataFrame) -> Index:
         """With docs (id, name, text) in place of those with the same ids."""
-        rows, ids = written(tokens_of(docs), "tokens"), docs.select("id")
-        kept, sizes = self.postings.join(ids, "id", "left_anti"), self.sizes.join(ids, "id", "left_anti")
-        return self._stored(kept.unionByName(_exploded(rows)), written(sizes.unionByName(rows.select("id", F.size("tokens").alias("len"))), "sizes"))
+        rows = written(tokens_of(docs), "tokens")
+        return self._with(rows, rows.select("id"))
+
+    def _with(self, rows: DataFrame, ids: DataFrame) -> Index:
+        dead = written(self._living("documents").join(ids.select("id").distinct(), "id", "left_semi").select("id", "len", "tokens"), "hidden")
+        return Index((*self.segments, self._segment(self.segments[-1].number + 1, rows, dead)))._merged()
+
+    def _merged(self) -> Index:
+        """With the last segments as one, where enough of them are of one size."""
+        tier = lambda s: int(math.log(max(1, s.held), self.MERGED))
+        last, n = tier(self.segments[-1]), 0
+        while n < len(self.segments) and tier(self.segments[-1 - n]) <= last:
+            n += 1
+        if n < self.MERGED:
+            return self
+        group = self.segments[-n:]
+        posts = written(self._living("postings", group).repartitionByRange("token").sortWithinPartitions("token"), "postings")
+        documents = written(self._living("documents", group).select("id", "len", "tokens"), "documents")
+        # a row that is hidden still counts in the sums, as what hides it counts against it
+        counts = reduce(DataFrame.unionByName, [s.frequencies for s in group]).groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0")
+        hiding = [s.hidden for s in group if s.hidden is not None]
+        # ids hidden before the group stay so: the new number is above theirs and no hidden row is in the group any more
+        hidden = written(reduce(DataFrame.unionByName, hiding).distinct(), "hidden") if hiding and n < len(self.segments) else None
+        one = Segment(group[-1].number, posts, documents, hidden, written(counts, "frequencies"), documents.count(), sum(s.n_docs for s in group), sum(s.total_len for s in group))
+        return Index((*self.segments[:-n], one))._merged() if n < len(self.segments) else Index((one,))
 
 
 def bm25(index: Index | DataFrame, query: str, limit: int | None = 50, boost: float = NAME_BOOST) -> DataFrame:
     """id, score of the best documents of an index (or of docs, which are indexed for it), ties to
     the smaller id. At most 20 tokens stand for a term, so they come to the driver and prune the postings."""
     index = index if isinstance(index, Index) else Index.build(index)
-    spark = index.postings.sparkSession
-    used = written(expansions(index.vocabulary.select("token"), query_tokens(spark, query)).join(index.vocabulary, "token"), "query-tokens")
+    vocabulary = index.vocabulary
+    used = written(expansions(vocabulary.select("token"), query_tokens(vocabulary.sparkSession, query)).join(vocabulary, "token"), "query-tokens")
     tokens = [r["token"] for r in used.select("token").distinct().collect()]
-    # sums over the corpus: one row, which joins as a literal would
-    sizes = index.sizes.agg(F.count("len").alias("n_docs"), F.avg("len").alias("avg_len"))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    tf = (K1 + 1) / (1 + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    idf = F.log((F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    tf = (K1 + 1) / (1 + K1 * (1 - B + B * F.col("len") / F.lit(index.avg_len).cast("double")))
     score = idf * tf * F.col("penalty") * F.when(F.col("in_name"), boost).otherwise(1.0)
     posts = index.postings.where(F.col("token").isin(tokens)).join(F.broadcast(used), "token")
-    rows = posts.crossJoin(F.broadcast(sizes)).groupBy("id").agg(F.sum(score).alias("score"))
+    rows = posts.groupBy("id").agg(F.sum(score).alias("score"))
     return rows.orderBy(F.col("score").desc(), "id").limit(limit) if limit is not None else rows
 
 

@@ -181,6 +181,36 @@ def test_index_update_and_remove(spark):
     assert ids(search.bm25(less, "apple")) == ["d"] and less.sizes.count() == 3
 
 
+def test_segments_of_an_index_equal_one_built_anew(spark, monkeypatch):
+    monkeypatch.setattr(search.Index, "MERGED", 3)
+    rng = random.Random(5)
+    schema = "id string, name string, text string"
+    word = lambda: rng.choice(["oak", "elm", "fir", "ash", "yew", "birch", "maple"])
+    have = {f"d{i}": (f"d{i}", word(), " ".join(word() for _ in range(rng.randrange(6)))) for i in range(30)}
+    index = search.Index.build(spark.createDataFrame(list(have.values()), schema))
+    sizes = []
+    for step in range(7):
+        if step % 3 == 2:
+            gone = rng.sample(sorted(have), 3)
+            have = {k: v for k, v in have.items() if k not in gone}
+            index = index.remove(spark.createDataFrame([(g,) for g in [*gone, "never"]], "id string"))
+        else:
+            new = {i: (i, word(), f"{word()} {word()}") for i in [f"d{rng.randrange(40)}", f"d{rng.randrange(40)}"]}
+            have |= new
+            old = index.segments
+            index = index.update(spark.createDataFrame(list(new.values()), schema))
+            if len(index.segments) > len(old):  # nothing but the new documents was written
+                assert index.segments[:-1] == old and index.segments[-1].documents.count() == len(new)
+        sizes.append(len(index.segments))
+        if step in (1, 4, 6):
+            anew = search.Index.build(spark.createDataFrame(list(have.values()), schema))
+            assert (index.n_docs, index.avg_len) == (anew.n_docs, anew.avg_len) and sorted(index.vocabulary.collect()) == sorted(anew.vocabulary.collect())
+            assert sorted(index.sizes.collect()) == sorted(anew.sizes.collect()) and sorted(index.postings.collect()) == sorted(anew.postings.collect())
+            got, want = (search.bm25(i, "oak yew map", None).orderBy("id").collect() for i in (index, anew))
+            assert [r["id"] for r in got] == [r["id"] for r in want] and all(abs(a["score"] - b["score"]) < 1e-9 for a, b in zip(got, want, strict=True))
+    assert max(sizes) <= 4 and any(b < a for a, b in zip(sizes, sizes[1:], strict=False))  # segments were merged
+
+
 def test_imports_are_counted_and_bad_rows_told(spark, seeded):
     nodes = spark.createDataFrame([("pack", "Function", "p", "{}"), ("new", "File", "n", "{}"), (None, "File", "x", "{}"), ("untyped", None, "x", "{}")], "id string, type string, name string, properties string")
     edges = spark.createDataFrame([("e1", "CALLS", "pack", "new"), ("e9", "CALLS", "new", "label"), ("lost", "CALLS", "new", "nowhere"), ("gone", "CALLS", "nowhere", "new")], "id string, type string, source_id string, target_id string")
