@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,15 +131,67 @@ def unpacked(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     return nodes.select("*", *[F.get_json_object("properties", f"$.{k}").alias(k) for k in keys])
 
 
+#: A quoted string, a bracket or mark, or plain text up to the next of these.
+_TOKEN = r"""("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[{}\[\],:]|[^\s{}\[\],:"'][^{}\[\],:]*)"""
+
+
+def _plain(token: Column) -> Column:
+    """A token without its quotes and the backslashes before quotes in it."""
+    return F.when(token.rlike(r"""(?s)^(".*"|'.*')$"""), F.regexp_replace(F.regexp_replace(token, r"""(?s)^["'](.*)["']$""", "$1"), r"""\\(["'\\])""", "$1")).otherwise(token)
+
+
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _as_json(tokens: Column) -> Column:
+    """The tokens of a nested value as JSON: plain keys and words in quotes, numbers, booleans and null as they are."""
+    quoted = lambda t: F.regexp_extract(F.to_json(F.array(_plain(t))), r"(?s)^\[(.*)\]$", 1)
+
+    def one(t: Column, i: Column) -> Column:
+        key = F.coalesce(F.get(tokens, i + 1) == ":", F.lit(False))
+        number = t.rlike(r"^(-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][+-]?[0-9]+)?|true|false|null)$")
+        return F.when(t.rlike(r"^[{}\[\],:]$") | (number & ~key), t).otherwise(quoted(t))
+
+    return F.array_join(F.transform(tokens, one), "")
+
+
 def parse_map_literal(literal: Column) -> Column:
-    """A map from a literal such as {a: 1, b: 'x'} with plain or quoted keys; later keys win,
-    null if it is none."""
-    entries = F.regexp_extract_all(literal, F.lit(r"""([A-Za-z_]\w*|"[^"]*"|'[^']*')\s*:\s*("[^"]*"|'[^']*'|[^,{}]+)"""), F.lit(0))
-    bare = lambda x: F.regexp_replace(F.trim(x), r"""^(["'])(.*)\1$""", "$2")
-    pairs = F.transform(entries, lambda e: F.struct(bare(F.regexp_extract(e, r"""^("[^"]*"|'[^']*'|\w+)""", 1)).alias("key"), bare(F.regexp_replace(e, r"""^("[^"]*"|'[^']*'|\w+)\s*:""", "")).alias("value")))
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    last = F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1))
-    return F.when(F.trim(literal).rlike(r"^\{.*\}$"), F.map_from_entries(last))
+    """A map from a literal such as {a: 1, b: 'x', c: {d: [2, 3]}} with plain or quoted keys; a nested value is JSON text
+    ({"d":[2,3]}). Later keys win; entries without a key and a value are left out; null if brackets do not balance or
+    it is no map."""
+    tokens = F.transform(F.regexp_extract_all(literal, F.lit(_TOKEN), F.lit(1)), lambda t: F.regexp_replace(t, r"\s+$", ""))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("entry"), F.lit(True).alias("fits"), F.array().cast("array<struct<entry:int,token:string>>").alias("out"))
+
+    def step(at: Column, t: Column) -> Column:
+        opens, closes = t.isin("{", "["), t.isin("}", "]")
+        # the outer braces and the commas between entries are not part of an entry
+        outer = (closes & (at["depth"] == 1)) | (at["depth"] == 0) | ((t == ",") & (at["depth"] == 1))
+        return F.struct(
+            (at["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
+            (at["entry"] + F.when((t == ",") & (at["depth"] == 1), 1).otherwise(0)).alias("entry"),
+            # nothing stands outside the braces: only the first token is met at depth 0
+            (at["fits"] & ((at["depth"] > 0) | ((t == "{") & (F.size(at["out"]) == 0) & (at["entry"] == 0)))).alias("fits"),
+            F.when(outer, at["out"]).otherwise(F.array_append(at["out"], F.struct(at["entry"].alias("entry"), t.alias("token")))).alias("out"),
+        )
+
+    def pair(x: Column) -> Column:
+        value = F.slice(x, F.lit(3), F.size(x))
+        first = F.get(value, F.lit(0))
+        text = F.when(F.size(value) == 1, _plain(first)).when(first.isin("{", "["), _named(value, _as_json)).otherwise(F.array_join(value, ""))
+        return F.struct(_plain(F.get(x, F.lit(0))).alias("key"), text.alias("value"))
+
+    def last_of_each(pairs: Column) -> Column:
+        keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
+        return F.map_from_entries(F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)))
+
+    def finish(end: Column) -> Column:
+        entries = F.transform(F.sequence(F.lit(0), end["entry"]), lambda e: F.transform(F.filter(end["out"], lambda x: x["entry"] == e), lambda x: x["token"]))
+        whole = F.filter(entries, lambda x: (F.size(x) >= 3) & (F.get(x, F.lit(1)) == ":") & ~F.get(x, F.lit(0)).rlike(r"^[{}\[\],:]$"))
+        return F.when((end["depth"] == 0) & end["fits"], _named(F.transform(whole, pair), last_of_each))
+
+    return F.when(literal.rlike(r"(?s)^\s*\{.*\}\s*$"), F.aggregate(tokens, start, step, finish))
 
 
 def import_report(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
