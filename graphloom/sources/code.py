@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ROWS = "file_id string, seq int, what string, scope string, name string, kind string, start_line int, end_line int, signature string, receiver string, docs string, bases array<string>"
 
@@ -23,9 +24,17 @@ def _signature(args: ast.arguments) -> str | None:
     return "(" + ",".join(ast.unparse(a.annotation).split(".")[-1] for a in every) + ")"
 
 
-def _python_rows(file_id: str, source: str) -> list[tuple]:
-    """Rows of one file: symbols (class, function), calls, imports, variables and what
-    they derive from. A file that does not parse has none."""
+def _python_rows(file_id: str, source: str | None) -> list[tuple]:
+    """Rows of one file; of one that can't be parsed or is nested too deeply one row that tells the error."""
+    try:
+        return _facts_of(file_id, source)
+    except (SyntaxError, ValueError, TypeError, RecursionError, MemoryError) as failed:
+        told = getattr(failed, "msg", None) or str(failed)
+        return [(file_id, 0, "error", file_id, told, type(failed).__name__, getattr(failed, "lineno", None), None, None, None, None, None)]
+
+
+def _facts_of(file_id: str, source: str | None) -> list[tuple]:
+    """Symbols (class, function), calls, imports, variables and what they derive from."""
     out: list[tuple] = []
 
     def add(what, scope, name, kind, node, signature=None, receiver=None, docs=None, bases=None):
@@ -75,11 +84,7 @@ def _python_rows(file_id: str, source: str) -> list[tuple]:
                 add("call", own, call.func.attr, "attribute", call, receiver=ast.unparse(call.func.value))
         variables(own, node.body)
 
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
-        return []
-    for node in tree.body:
+    for node in ast.parse(source).body:
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             function(node, file_id)
         elif isinstance(node, ast.ClassDef):
@@ -109,3 +114,8 @@ def python_facts(sources: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=columns).astype({"start_line": "Int32", "end_line": "Int32", "seq": "int32"})
 
     return sources.where("language = 'python'").select("file_id", "content").mapInPandas(run, ROWS)
+
+
+def errors(facts: DataFrame) -> DataFrame:
+    """file_id, error, message, line of the files that have no other facts because of an error."""
+    return facts.where("what = 'error'").select("file_id", F.col("kind").alias("error"), F.col("name").alias("message"), F.col("start_line").alias("line"))

@@ -67,6 +67,11 @@ def _package(imports: DataFrame) -> DataFrame:
 
 def index_files(tree: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
     """nodes and edges of a repository's files (path, content, bytes)."""
+    return index_with_errors(tree, repo)[:2]
+
+
+def index_with_errors(tree: DataFrame, repo: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes and edges, and the files whose symbols could not be read (file_id, error, message, line), which are nodes all the same."""
     sources = written(files.sources(tree, repo), "sources")
     file_nodes, file_edges = files.tree(sources, repo)
     facts = written(code.python_facts(sources), "facts")
@@ -109,7 +114,7 @@ def index_files(tree: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
     package_nodes, package_edges = manifests.dependency_graph(manifests.dependencies(tree.select("path", F.decode("content", "UTF-8").alias("content"))), repo)
     nodes = reduce(DataFrame.unionByName, [part.withColumn("seq", F.lit(n)) for n, part in enumerate([file_nodes, symbol_nodes, variable_nodes, package_nodes, external_nodes])])
     edges = reduce(DataFrame.unionByName, [file_edges.withColumn("properties", F.lit("{}")), defined, internal, external_edges, call_edges, variable_edges, derived_edges, package_edges]).dropDuplicates(["id"])
-    return written(keep_first(nodes).drop("seq"), "indexed-nodes"), written(edges, "indexed-edges")
+    return written(keep_first(nodes).drop("seq"), "indexed-nodes"), written(edges, "indexed-edges"), code.errors(facts)
 
 
 def index_metadata(nodes: DataFrame, edges: DataFrame, repo: str, **about: str) -> DataFrame:

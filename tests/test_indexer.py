@@ -1,6 +1,6 @@
 """A small repository from files to answers."""
 
-from graphloom.sources import indexer
+from graphloom.sources import code, indexer
 from graphloom.store import GraphStore
 
 REPO = {
@@ -37,3 +37,12 @@ def test_index_and_query(spark):
     assert [r["id"] for r in store.search_nodes("keeps goods").collect()] == ["r/shop/store.py::Store"]
     meta = indexer.index_metadata(nodes, edges, "r", branch="main")
     assert meta.first()["n_class"] == 3 and indexer.repositories(nodes, meta.union(meta)).first()["branch"] == "main"
+
+
+def test_files_that_do_not_parse_are_told_and_harm_no_other(spark):
+    files = {"ok.py": "def f():\n    return g()\n\n\ndef g():\n    return 1\n", "bad.py": "x = 1\ndef (:\n", "nul.py": "a = 'x\0'\n", "deep.py": "-" * 200_000 + "1\n"}
+    sources = spark.createDataFrame([(f"r/{p}", c, "python") for p, c in files.items()] + [("r/none.py", None, "python")], "file_id string, content string, language string")
+    facts = code.python_facts(sources)
+    told = {r["file_id"]: r for r in code.errors(facts).collect()}
+    assert set(told) == {"r/bad.py", "r/nul.py", "r/deep.py", "r/none.py"} and told["r/bad.py"]["line"] == 2 and told["r/bad.py"]["error"] == "SyntaxError"
+    assert {r["file_id"] for r in facts.where("what <> 'error'").collect()} == {"r/ok.py"}
