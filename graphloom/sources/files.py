@@ -3,7 +3,6 @@ edges, archives of sources, binary detection."""
 
 from __future__ import annotations
 
-import io
 import zipfile
 from collections.abc import Iterator
 
@@ -40,21 +39,36 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_zip(spark: SparkSession, path: str) -> DataFrame:
-    """path, content, bytes of the files in zip archives, without a common top folder.
-    Each archive is opened in the task that reads it."""
+    """path, content, bytes of the files in zip archives, without a common top folder. Tasks list the archives' files
+    first; then the files are dealt to tasks, which read them one at a time where they lie in the archive."""
 
-    def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def opened(archive: str):
+        import re
+
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", archive))
+        return system.open_input_file(place)
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for data in frame["content"]:
-                with zipfile.ZipFile(io.BytesIO(data)) as archive:
+            for place in frame["path"]:
+                with opened(place) as data, zipfile.ZipFile(data) as archive:
                     names = [n for n in archive.namelist() if not n.endswith("/")]
-                    tops = {n.split("/", 1)[0] for n in names}
-                    cut = len(next(iter(tops))) + 1 if len(tops) == 1 and all("/" in n for n in names) else 0
-                    for n in names:
-                        body = archive.read(n)
-                        yield pd.DataFrame({"path": [n[cut:]], "content": [body], "bytes": [len(body)]})
+                tops = {n.split("/", 1)[0] for n in names}
+                cut = len(next(iter(tops))) + 1 if len(tops) == 1 and all("/" in n for n in names) else 0
+                yield pd.DataFrame({"archive": place, "name": names, "path": [n[cut:] for n in names]})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(entries, "path string, content binary, bytes long")
+    def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for place, some in frame.groupby("archive", sort=False):
+                with opened(place) as data, zipfile.ZipFile(data) as archive:
+                    for name, short in zip(some["name"], some["path"], strict=True):
+                        body = archive.read(name)
+                        yield pd.DataFrame({"path": [short], "content": [body], "bytes": [len(body)]})
+
+    names = spark.read.format("binaryFile").load(path).select("path").mapInPandas(listed, "archive string, name string, path string")
+    return names.repartition(spark.sparkContext.defaultParallelism).mapInPandas(entries, "path string, content binary, bytes long")
 
 
 def sources(files: DataFrame, repo: str) -> DataFrame:

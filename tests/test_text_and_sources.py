@@ -187,6 +187,50 @@ def test_archive_round_trip(spark, seeded, tmp_path):
         archive.import_graph(spark, str(tmp_path / "empty.zip"))
 
 
+def test_archive_in_parts_of_odd_types(spark, tmp_path, monkeypatch):
+    """Tables of several files, types that are no file names, nulls, repeated rows, no edges; what other writers compress."""
+    monkeypatch.setattr(archive, "ROWS_A_FILE", 10)
+    rows = [(f"n{i}", "a/b: 1.parquet" if i % 3 else "File", None if i % 7 == 0 else f"name {i}", None if i % 5 == 0 else f'{{"i": {i}}}') for i in range(60)]
+    rows += [("n1", "File", "again", "{}")] * 2
+    nodes = spark.createDataFrame(rows, "id string, type string, name string, properties string")
+    none = spark.createDataFrame([], "id string, type string, source_id string, target_id string")
+    texts = spark.createDataFrame([(f"f{i}", "f", "x" * i) for i in range(25)], "id string, name string, source_text string")
+    path = str(tmp_path / "parts.zip")
+    archive.export_graph(nodes, none, path, texts)
+    with zipfile.ZipFile(path) as packed:
+        names = packed.namelist()
+        assert "nodes_File.parquet" in names and "nodes_File/1.parquet" in names and "relationships.parquet" in names and len(set(names)) == len(names)
+        again = str(tmp_path / "deflated.zip")
+        with zipfile.ZipFile(again, "w", zipfile.ZIP_DEFLATED) as other:
+            for n in names:
+                other.writestr(f"top/{n}", packed.read(n))
+    key = lambda r: tuple(x or "" for x in r)
+    for p in (path, again):
+        got, edges = archive.import_graph(spark, p)
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(rows, key=key) and edges.count() == 0
+        assert sorted(map(tuple, archive.import_source_text(spark, p).collect())) == sorted(map(tuple, texts.collect()))
+    assert archive.import_source_text(spark, _typed_archive(tmp_path)) is None
+    got, edges = archive.import_graph(spark, _typed_archive(tmp_path))
+    assert [tuple(r) for r in got.collect()] == [("pkg:x", "Dependency", "x", '{"registry":"npm","stars":3}')] and edges.count() == 0
+    with pytest.raises(ValueError):
+        archive.export_graph(nodes.withColumn("type", F.lit(None).cast("string")), none, path)
+    assert zipfile.ZipFile(path).namelist() == names  # a failed export leaves the archive as it was
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["deflated.zip", "parts.zip", "typed.zip"]
+
+
+def _typed_archive(folder) -> str:
+    """An archive with an older name of a type and typed columns."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    table = pa.BufferOutputStream()
+    pq.write_table(pa.table({"id": ["pkg:x"], "name": ["x"], "registry": ["npm"], "stars": [3]}), table)
+    path = str(folder / "typed.zip")
+    with zipfile.ZipFile(path, "w") as packed:
+        packed.writestr("nodes_Package.parquet", table.getvalue().to_pybytes())
+    return path
+
+
 def test_stream_equals_batch_and_drops_repeats(spark):
     sf = "/root/testdata/sf0.001"
     batch = events.tumbling(spark.read.parquet(f"{sf}/events.parquet"))
