@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import written
+
 
 def keep_latest(rows: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
     """Upsert: the row with the largest seq of each key."""
@@ -212,6 +215,41 @@ def import_report(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_
     return fates.unionByName(errors.select(F.lit("errors").alias("what"))).groupBy("what").agg(F.count("what").alias("n")), errors
 
 
+def import_rows(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int], DataFrame]:
+    """nodes and edges after an import, counts of what it did, and its rejected rows (what, id, error), as import_report
+    gives them. The new rows are judged and written once; the counts are observed on the way. Of new rows with one id
+    the largest counts."""
+    from graphloom.operators.graph import induced_edges
+
+    def judged(old: DataFrame, rows: DataFrame, what: str, error: Column, keep: list[str]) -> tuple[DataFrame, dict[str, int]]:
+        rows = rows.withColumn("_error", error)
+        rest = [c for c in keep if c != "id"]
+        good = rows.where("_error IS NULL").groupBy("id").agg(F.max(F.struct(*rest)).alias("_row")).select("id", "_row.*")
+        fates = good.join(old.select("id", F.lit(True).alias("_old")).distinct(), "id", "left").withColumn("_error", F.lit(None).cast("string"))
+        every = fates.unionByName(rows.where("_error IS NOT NULL").select(*keep, "_error", F.lit(None).cast("boolean").alias("_old")))
+        seen, fine = Observation(), F.col("_error").isNull()
+        updated = F.coalesce("_old", F.lit(False))
+        counts = {f"{what}s_created": fine & ~updated, f"{what}s_updated": fine & updated, "errors": ~fine}
+        # observed right before the write, in its last stage: a stage that is run again is not counted twice
+        stored = written(every.observe(seen, *[F.count_if(c).alias(k) for k, c in counts.items()]), f"import-{what}")
+        return stored, seen.get
+
+    untyped = F.when(F.col("id").isNull(), "no id").when(F.col("type").isNull(), "no type")
+    own, node_counts = judged(nodes, new_nodes.select(*nodes.columns), "node", untyped, nodes.columns)
+    fresh = own.where("_error IS NULL").select(*nodes.columns)
+    after = nodes.join(fresh.select("id"), "id", "left_anti").select(*nodes.columns).unionByName(fresh)
+    ids, ended = after.select("id").distinct(), new_edges.select(*edges.columns)
+    for end in ("source_id", "target_id"):
+        ended = ended.join(ids.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+    loose = untyped.when(F.col("_source_id").isNull(), "no source").when(F.col("_target_id").isNull(), "no target")
+    links, edge_counts = judged(edges, ended, "edge", loose, edges.columns)
+    linked = links.where("_error IS NULL").select(*edges.columns)
+    after_edges = induced_edges(edges.join(linked.select("id"), "id", "left_anti").select(*edges.columns).unionByName(linked), after)
+    errors = reduce(DataFrame.unionByName, [df.where("_error IS NOT NULL").select(F.lit(what).alias("what"), "id", F.col("_error").alias("error")) for what, df in (("node", own), ("edge", links))])
+    counts = node_counts | edge_counts | {"errors": node_counts["errors"] + edge_counts["errors"]}
+    return after, after_edges, counts, errors
+
+
 def merge_refs(rows: DataFrame) -> DataFrame:
     """scope_id, name, seq and refs of variables (scope_id, name, seq, refs): repeated assignments are one
     variable at the place of the first, with the references of all in their order."""

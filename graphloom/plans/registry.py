@@ -17,7 +17,7 @@ from graphloom.session import scratch, spread
 from graphloom.sources.tables import GRAPH_SQL, edges, nodes, table
 from graphloom.store import GraphStore
 from graphloom.streaming import events as streaming
-from graphloom.streaming import snapshots
+from graphloom.streaming import snapshots, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -431,19 +431,32 @@ def file_impact(spark, sf):
     return graph.file_impact(edges(spark, sf), nodes(spark, sf).where("id = 'supplier:1'").select("id")).select("id", "neighbor_id", "edge_id")
 
 
-@query("""WITH old AS (SELECT id FROM nodes WHERE type IN ('Region', 'Nation', 'Supplier')), fresh AS (SELECT id FROM nodes WHERE type IN ('Nation', 'Customer')),
+IMPORT_SQL = """WITH old AS (SELECT id FROM nodes WHERE type IN ('Region', 'Nation', 'Supplier')), fresh AS (SELECT id FROM nodes WHERE type IN ('Nation', 'Customer')),
 every AS (SELECT id FROM old UNION SELECT id FROM fresh), defines AS (SELECT * FROM edges WHERE type = 'DEFINES'), good AS (SELECT id, source_id FROM defines WHERE source_id IN (FROM every) AND target_id IN (FROM every))
 SELECT 'nodes_created' AS what, count(*) AS n FROM fresh WHERE id NOT IN (FROM old)
 UNION ALL SELECT 'nodes_updated', count(*) FROM fresh WHERE id IN (FROM old)
 UNION ALL SELECT 'edges_created', count(*) FROM good WHERE NOT starts_with(source_id, 'region:')
 UNION ALL SELECT 'edges_updated', count(*) FROM good WHERE starts_with(source_id, 'region:')
-UNION ALL SELECT 'errors', count(*) FROM defines WHERE source_id NOT IN (FROM every) OR target_id NOT IN (FROM every)""", graph_sql=True)
+UNION ALL SELECT 'errors', count(*) FROM defines WHERE source_id NOT IN (FROM every) OR target_id NOT IN (FROM every)"""
+
+
+@query(IMPORT_SQL, graph_sql=True)
 def import_counts(spark, sf):
     every, defines = nodes(spark, sf), edges(spark, sf).where("type = 'DEFINES'")
     old, new = every.where(F.col("type").isin("Region", "Nation", "Supplier")), every.where(F.col("type").isin("Nation", "Customer"))
     return store_ops.import_report(old, defines.where(F.col("source_id").startswith("region:")), new, defines)[0]
 
 
+@query(IMPORT_SQL + " UNION ALL SELECT 'nodes', count(*) FROM every UNION ALL SELECT 'edges', count(*) FROM good", graph_sql=True)
+def import_one_pass(spark, sf):
+    """The import itself, with the counts that its write gives, and the graph after it."""
+    every, defines = nodes(spark, sf), edges(spark, sf).where("type = 'DEFINES'")
+    store = GraphStore(every.where(F.col("type").isin("Region", "Nation", "Supplier")), defines.where(F.col("source_id").startswith("region:")))
+    after, counts, _ = store.import_counted(every.where(F.col("type").isin("Nation", "Customer")), defines)
+    told = spark.createDataFrame(list(counts.items()), "what string, n long")
+    return told.unionByName(after.stats().where("what IN ('nodes', 'edges')"))
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events")
 def property_unpack(spark, sf):
     events = table(spark, sf, "events").select("event_id", F.col("props").alias("properties"))
@@ -904,6 +917,32 @@ def events_stream_parity(spark, sf):
     return streaming.run_to_end(streaming.tumbling(streaming.event_stream(spark, sf)))
 
 
+def _dealt(rows: DataFrame, batches: int = 3) -> DataFrame:
+    """A table as a stream of about so many batches, dealt by the hash of its rows."""
+    folder = scratch(rows.sparkSession, "dealt")
+    rows.repartition(2 * batches, F.xxhash64(*rows.columns)).write.parquet(folder)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+
+
+@query("SELECT user_id AS id, event_type, event_id AS seq FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def upserts_over_batches(spark, sf):
+    """The latest event of each user, from a stream of several batches."""
+    rows = table(spark, sf, "events").select(F.col("user_id").cast("long").alias("id"), "event_type", F.col("event_id").cast("long").alias("seq"))
+    log = scratch(spark, "upserts")
+    state.upserts(_dealt(rows), log, scratch(spark, "upserts-checkpoint")).awaitTermination()
+    return state.latest(state.read_log(spark, log, "id long, seq long, event_type string"), "id")
+
+
+@query("WITH s AS (SELECT user_id, min(CAST(event_id AS VARCHAR)) AS symbol_id FROM events GROUP BY user_id) SELECT CAST(o_orderkey AS VARCHAR) AS call_id, CAST(o_custkey AS VARCHAR) AS name, symbol_id FROM orders JOIN s ON o_custkey = user_id")
+def calls_before_symbols(spark, sf):
+    """Orders call the first event of the user with their customer's number; both arrive mixed, in several batches."""
+    symbols = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("symbol_id"), F.col("user_id").cast("string").alias("name"))
+    calls = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("call_id"), F.col("o_custkey").cast("string").alias("name"))
+    log = scratch(spark, "calls")
+    state.resolve_early_calls(_dealt(state.calls(symbols, calls)), log, scratch(spark, "calls-checkpoint")).awaitTermination()
+    return state.latest(state.read_log(spark, log, "call_id string, name string, symbol_id string"), "call_id", "name")
+
+
 # reports
 
 

@@ -195,5 +195,11 @@ class GraphStore:
         """What import_batch would do with the rows: counts, and the rows it rejects with their errors."""
         return store_ops.import_report(self.nodes, self.edges, nodes, edges)
 
+    def import_counted(self, nodes: DataFrame, edges: DataFrame) -> tuple[GraphStore, dict[str, int], DataFrame]:
+        """import_batch that writes the new rows once: the store, counts of what was created, updated and rejected, and
+        the rejected rows with their errors."""
+        every, links, counts, errors = store_ops.import_rows(self.nodes, self.edges, nodes, edges)
+        return GraphStore(every, links, self.sources, self.vectors), counts, errors
+
     def delete_repo(self, repo: str) -> GraphStore:
         return GraphStore(*store_ops.delete_scope(self.nodes, self.edges, repo), self.sources, self.vectors)

@@ -217,6 +217,15 @@ def test_imports_are_counted_and_bad_rows_told(spark, seeded):
     counts, errors = seeded.import_report(nodes, edges)
     assert {r["what"]: r["n"] for r in counts.collect()} == {"nodes_created": 1, "nodes_updated": 1, "edges_created": 1, "edges_updated": 1, "errors": 4}
     assert {(r["id"], r["error"]) for r in errors.collect()} == {(None, "no id"), ("untyped", "no type"), ("lost", "no target"), ("gone", "no source")}
+    again = nodes.union(spark.createDataFrame([("new", "File", "z", None), ("new", "File", "a", "{}")], nodes.schema))
+    after, seen, bad = seeded.import_counted(again, edges)
+    assert seen == {"nodes_created": 1, "nodes_updated": 1, "edges_created": 1, "edges_updated": 1, "errors": 4}
+    assert sorted(map(str, bad.collect())) == sorted(map(str, errors.collect()))
+    names = {r["id"]: r["name"] for r in after.nodes.collect()}
+    assert names["new"] == "z" and names["pack"] == "p" and names["weigh"] == "weigh" and len(names) == 7 and after.nodes.count() == 7
+    assert {r["id"]: r["target_id"] for r in after.edges.collect()} == {**{r["id"]: r["target_id"] for r in seeded.edges.collect()}, "e1": "new", "e9": "label"}
+    same, seen, bad = seeded.import_counted(nodes.where("false"), edges.where("false"))
+    assert set(seen.values()) == {0} and bad.count() == 0 and same.edges.count() == 7
     vectors = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "id string, vec array<double>")
     more = seeded.add_vectors(vectors).add_vectors(spark.createDataFrame([("b", [3.0])], vectors.schema))
     assert {r["id"]: r["vec"] for r in more.vectors.collect()} == {"a": [1.0], "b": [3.0]}
