@@ -39,7 +39,12 @@ IDENTIFIER_WORDS = (
     "previous start stop begin end open close read write load save send receive connect check validate verify test "
     "example sample simple common general special internal external public private static dynamic global local "
     "temporary permanent language translation communication development information international responsibility "
-    "transformation representation implementation understanding consideration"
+    "transformation representation implementation understanding consideration "
+    "black white green yellow night morning winter summer weather travel airport hotel station bridge village castle garden "
+    "forest island beach ocean coffee breakfast dinner bread butter cheese apple orange lemon sugar knowledge question answer "
+    "school teacher student history science physics chemistry biology music guitar piano theatre museum picture camera video "
+    "journey adventure business company market product price money account credit payment contract lawyer judge doctor nurse "
+    "hospital medicine health hockey football cricket tennis swimming jazz zebra quiz exact equal quality quantity unique technique"
 ).split()
 SAMPLES = 6000
 #: Natural logarithm units per character and in all that a token must reach.
@@ -47,21 +52,32 @@ MIN_RATE, MIN_TOTAL = 0.35, 9.0
 
 
 def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
-    """value, random: n random strings in the usual encodings and n identifiers, made by rule."""
+    """value, random: n random strings in the usual encodings and n harmless ones, made by rule. Harmless are identifiers,
+    and what looks random to a model of identifiers alone: UUIDs, dates, long numbers, stretches of the alphabet, ruled lines. Hexadecimal
+    strings are no random samples: the base pattern finds those, and what is left of them in texts is UUIDs and digests."""
     rows = spark.range(n)
     raw = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
     code = F.base64(F.unhex(raw))
-    strings = F.array(code, F.substring(raw, 1, 40), F.translate(code, "+/=", ""), F.translate(code, "+/", "-_"), F.upper(F.substring(F.translate(code, "+/=", ""), 1, 32)))
+    plain = F.translate(code, "+/=", "")
+    strings = F.array(code, F.substring(plain, 1, 24), plain, F.translate(code, "+/", "-_"), F.upper(F.substring(plain, 1, 32)))
     random = rows.select(F.get(strings, (F.col("id") % 5).cast("int")).alias("value"), F.lit(True).alias("random"))
     words = F.split(F.lit(" ".join(IDENTIFIER_WORDS)), " ")
-    picked = [F.get(words, F.pmod(F.xxhash64(F.col("id"), F.lit(i)), F.lit(len(IDENTIFIER_WORDS))).cast("int")) for i in range(4)]
+    drawn = lambda i, below: F.pmod(F.xxhash64(F.col("id"), F.lit(i)), F.lit(below))
+    picked = [F.get(words, drawn(i, len(IDENTIFIER_WORDS)).cast("int")) for i in range(4)]
     capital = [F.initcap(x) for x in picked]
     number = F.pmod(F.xxhash64("id"), F.lit(2000)).cast("string")
+    uuid = F.concat_ws("-", *[F.substring(raw, at, size) for at, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    padded = lambda i, low, count: F.lpad((drawn(i, count) + low).cast("string"), 2, "0")
+    date = F.concat((drawn(4, 60) + 1980).cast("string"), F.lit("-"), padded(5, 1, 12), F.lit("-"), padded(6, 1, 28), F.lit("T"), padded(7, 0, 24), F.lit("-"), padded(8, 0, 60), F.lit("-"), padded(9, 0, 60), F.lit("Z"))
+    digits = F.concat(*[F.lpad(drawn(i, 10**8).cast("string"), 8, "0") for i in (10, 11, 12)])
+    stretch = F.substr(F.lit(ALPHABET), (drawn(13, 30) + 1).cast("int"), F.lit(32))
+    line = F.repeat(F.substr(F.lit(ALPHABET), (drawn(14, len(ALPHABET)) + 1).cast("int"), F.lit(1)), 32)
     names = F.array(
         F.concat_ws("_", *picked), F.concat(picked[0], *capital[1:]), F.concat(*capital), F.concat(*picked), F.concat_ws("-", *picked),
         F.upper(F.concat_ws("_", *picked[:3])), F.concat_ws("/", *picked), F.concat(*picked[:3], F.lit("_"), number), F.concat(*picked),
+        uuid, F.upper(uuid), date, digits, stretch, line,
     )
-    names = rows.select(F.get(names, (F.col("id") % 9).cast("int")).alias("value"), F.lit(False).alias("random"))
+    names = rows.select(F.get(names, (F.col("id") % 15).cast("int")).alias("value"), F.lit(False).alias("random"))
     return random.union(names)
 
 

@@ -185,6 +185,34 @@ def test_markov_ratio_tells_samples_apart(spark):
     assert len(scored) > 500 and sum(r["random"] == r["yes"] for r in scored) / len(scored) > 0.98
 
 
+def test_secret_precision_and_recall(spark):
+    """Keys in the forms of well-known services among harmless tokens, in whole texts: recall by form and in all, and what is flagged in vain."""
+    import string
+    import uuid
+
+    draw = random.Random(11)
+    letters = string.ascii_letters + string.digits
+    some = lambda n, of=letters: "".join(draw.choice(of) for _ in range(n))
+    word = lambda: draw.choice("river mountain window harvest quarterly blueprint kitchen shipping invoice customer ledger pipeline".split())
+    two = lambda below: f"{draw.randrange(1, below):02}"
+    keys = [
+        lambda: "sk_live_" + some(24), lambda: "ghp_" + some(36), lambda: "AIza" + some(35, letters + "-_"), lambda: some(40, letters + "+/"),
+        lambda: f"xoxb-{some(12, string.digits)}-{some(24)}", lambda: some(120, letters + "-_"),
+    ]
+    harmless = [
+        lambda: str(uuid.UUID(int=draw.getrandbits(128))), lambda: str(uuid.UUID(int=draw.getrandbits(128))).upper(), lambda: f"20{two(40)}-{two(13)}-{two(29)}T{two(24)}-{two(60)}-{two(60)}Z",
+        lambda: f"backup_20{two(40)}{two(13)}{two(29)}T{two(24)}{two(60)}{two(60)}Z", lambda: (string.ascii_uppercase * 2)[(k := draw.randrange(26)) : k + 26], lambda: letters, lambda: some(24, string.digits),
+        lambda: "".join(word().title() for _ in range(4)), lambda: "_".join(word() for _ in range(4)), lambda: "/".join(word() for _ in range(5)), lambda: draw.choice("-=_") * draw.randrange(20, 80),
+    ]
+    rows = [(n, kind, i) for kind, forms in ((True, keys), (False, harmless)) for i in range(len(forms)) for n in range(60)]
+    docs = [(d, f"we saw {(keys if secret else harmless)[i]()} there,\nand went on") for d, (_, secret, i) in enumerate(rows)]
+    found = {r["doc_id"] for r in scan(texts(spark, docs)).where("n_markov > 0").collect()}
+    share = lambda secret, i: sum(d in found for d, (_, s, j) in enumerate(rows) if (s, j) == (secret, i)) / 60
+    recalls, flagged = [share(True, i) for i in range(len(keys))], [share(False, i) for i in range(len(harmless))]
+    assert min(recalls) >= 0.75 and sum(recalls) / len(recalls) >= 0.9, recalls
+    assert max(flagged) <= 0.05 and sum(flagged) / len(flagged) <= 0.01, [round(x, 2) for x in flagged]
+
+
 def brute_forward(word, pieces, table, column):
     text = "▁" + word
     ids = {p: i for i, p in enumerate(pieces)}
