@@ -88,6 +88,24 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, "id", "left_anti")
 
 
+def sweep_orphans(nodes: DataFrame, edges: DataFrame, kind: str = "Dependency") -> DataFrame:
+    """nodes without those of a type that no edge leads to. Other types, and nodes without one, stay."""
+    mine = F.coalesce(F.col("type") == kind, F.lit(False))
+    used = edges.select(F.col("target_id").alias("id"))
+    return nodes.where(~mine).unionByName(nodes.where(mine).join(used, "id", "left_semi"))
+
+
+def shown_edges(nodes: DataFrame, edges: DataFrame, hidden_types: Sequence[str] = (), hidden_links: Sequence[str] = ()) -> DataFrame:
+    """Edges of types that are not hidden, both ends of which are nodes of types that are not hidden."""
+    links = edges.where(~F.col("type").isin(*hidden_links)) if hidden_links else edges
+    return induced_edges(links, nodes.where(~F.col("type").isin(*hidden_types)) if hidden_types else nodes)
+
+
+def hop_map(nodes: DataFrame, edges: DataFrame, starts: DataFrame, hops: int, hidden_types: Sequence[str] = (), hidden_links: Sequence[str] = ()) -> DataFrame:
+    """id, depth of what lies within so many steps of ``starts`` (a column id), whichever way, over what is shown; the starts at depth 0."""
+    return bfs(shown_edges(nodes, edges, hidden_types, hidden_links), starts.select("id"), "both", hops, keep_starts=True).select("id", "depth")
+
+
 def valid_pairs(nodes: DataFrame, edges: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Edges whose ends exist and have types that may be connected."""
     kind = nodes.select("id", "type")
@@ -145,6 +163,8 @@ def incident(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
     return rows.join(names, "other_id", "left").withColumn("other_name", F.coalesce("other_name", "other_id"))
 
 
+# fixed values: the types that a short account of a node tells of
+TOLD_TYPES = ("CALLS", "IMPORTS", "DEPENDS_ON", "CONTAINS", "EXTENDS", "IMPLEMENTS")
 IMPACT_TYPES = ("CALLS", "IMPORTS", "DEPENDS_ON", "EXTENDS", "IMPLEMENTS")
 
 

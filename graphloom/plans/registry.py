@@ -281,6 +281,18 @@ def hop_map_undirected(spark, sf):
     return reached.groupBy("depth").agg(F.count("id").alias("n"), F.min("id").alias("least"))
 
 
+@query(bfs_sql("SELECT 'nation:3' AS id", 3, "both", "type <> 'CALLS' AND source_id NOT LIKE 'order:%' AND target_id NOT LIKE 'order:%'") + "SELECT id, CAST(depth AS INT) AS depth FROM reached UNION ALL SELECT 'nation:3', 0", graph_sql=True)
+def hop_map_shown(spark, sf):
+    """Hops over what is shown: orders and calls are hidden."""
+    return graph.hop_map(nodes(spark, sf), edges(spark, sf), _start(spark, "nation:3"), 3, ["Order"], ["CALLS"])
+
+
+@query("SELECT id, type FROM nodes WHERE type <> 'Part' OR id IN (SELECT target_id FROM edges)", graph_sql=True)
+def orphan_sweep(spark, sf):
+    """The graph without the parts that nobody ordered."""
+    return graph.sweep_orphans(nodes(spark, sf), edges(spark, sf), "Part").select("id", "type")
+
+
 @query(bfs_sql("SELECT id AS key, id FROM nodes WHERE type = 'Supplier'", 1, "incoming", key=True) + "SELECT r.key, CAST(count(DISTINCT r.id) AS BIGINT) AS n FROM reached r JOIN edges e ON e.target_id = r.key AND e.source_id = r.id WHERE e.type IN ('CALLS', 'DEPENDS_ON') GROUP BY r.key", graph_sql=True)
 def impact_blast_radius(spark, sf):
     symbols = nodes(spark, sf).where("type = 'Supplier'").select("id")

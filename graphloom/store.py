@@ -151,6 +151,39 @@ class GraphStore:
             raise LookupError(f"no file {path!r}")
         return self.source(file, *graph.parse_span(lines))
 
+    def augment(self, query: str, limit: int = 10, told: int = 5) -> DataFrame:
+        """What a search finds, each with its first relations of the types that are told of (by type, then edge) and the number
+        of those left out: id, name, type, score, and position, direction, edge_type, neighbor_id, neighbor_name, more; these
+        are null for a node without relations."""
+        found = self.search_nodes(query, limit=limit).select("id", "name", "type", "score")
+        steps = store_ops.top_per_group(graph.neighbors(self.edges, found, "both", graph.TOLD_TYPES), "id", [F.col("edge_type"), F.col("edge_id"), F.col("direction")], told)
+        names = self.nodes.select(F.col("id").alias("neighbor_id"), F.col("name").alias("neighbor_name"))
+        relations = steps.join(names, "neighbor_id", "left").select("id", "position", "direction", "edge_type", "neighbor_id", "neighbor_name", "more")
+        return found.join(relations, "id", "left").orderBy(F.col("score").desc(), "id", "position")
+
+    def _pull_request(self, pr: str) -> DataFrame:
+        node = self.get_node(pr)
+        if node.isEmpty():
+            raise LookupError(f"no pull request {pr!r}")
+        return node
+
+    def pull_request(self, pr: str) -> tuple[DataFrame, DataFrame]:
+        """A pull request, and what it changes, with the properties of the edges where they have some."""
+        node = self._pull_request(pr)
+        changed = graph.traverse(self.nodes, self.edges, pr, "outgoing", 2, "CHANGES")
+        about = self.edges.select(F.col("id").alias("edge_id"), F.col("properties").alias("change")) if "properties" in self.edges.columns else None
+        return node, changed.join(about, "edge_id", "left") if about is not None else changed
+
+    def pull_request_radius(self, pr: str, depth: int = 2) -> DataFrame:
+        """file_id, id, depth, edge_type: what leads to each file that a pull request changes, a search for each file."""
+        changed = graph.neighbors(self.edges, self._pull_request(pr), "outgoing", ["CHANGES"]).select(F.col("neighbor_id").alias("key"), F.col("neighbor_id").alias("id"))
+        return graph.bfs(self.edges, changed, "incoming", depth).select(F.col("key").alias("file_id"), "id", "depth", "edge_type")
+
+    def swept(self, kind: str = "Dependency") -> GraphStore:
+        """A store without the nodes of a type that no edge leads to; edges that they had go too."""
+        kept = graph.sweep_orphans(self.nodes, self.edges, kind)
+        return GraphStore(kept, graph.induced_edges(self.edges, kept), self.sources, self.vectors)
+
     def explore(self, node_id: str, depth: int = 1) -> tuple[DataFrame, DataFrame, DataFrame | None]:
         """A node, what lies within ``depth`` steps (three at most) in both directions, and its source, if sources are stored."""
         node = self.get_node(node_id)

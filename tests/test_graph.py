@@ -239,3 +239,30 @@ def test_properties_literals_and_references(spark):
     assert {(r["name"], r["seq"], tuple(r["refs"])) for r in store_ops.merge_refs(variables).collect()} == {("x", 1, ("a", "b", "c")), ("y", 2, ())}
     fresh = store_ops.insert_missing(rows.select(F.col("s").alias("id"), F.lit(1).alias("n")), spark.createDataFrame([("q", 9), ("q", 4), ("{}", 0)], "id string, n int"))
     assert {(r["id"], r["n"]) for r in fresh.collect()} >= {("q", 4), ("{}", 1)} and fresh.count() == 4
+
+
+def test_hidden_types_sweep_and_pull_requests(spark, seeded):
+    shown = {(r["id"], r["depth"]) for r in graph.hop_map(seeded.nodes, seeded.edges, spark.createDataFrame([("depot",)], "id string"), 2, ["Class"], ["CALLS"]).collect()}
+    assert shown == {("depot", 0), ("pack", 1), ("ledger", 1), ("label", 2)}
+    assert {r["id"] for r in graph.hop_map(seeded.nodes, seeded.edges, spark.createDataFrame([("depot",)], "id string"), 1).collect()} == {"depot", "pack", "ledger"}
+
+    more = [("r/pr/7", "PullRequest", "#7 heavier", "{}"), ("r/a.py", "File", "a.py", "{}"), ("r/b.py", "File", "b.py", "{}"), ("pkg:used", "Dependency", "used", "{}"), ("pkg:idle", "Dependency", "idle", "{}"), ("odd", None, "odd", "{}")]
+    links = [("p1", "CHANGES", "r/pr/7", "r/a.py", '{"status": "added"}'), ("p2", "CHANGES", "r/pr/7", "r/b.py", "{}"), ("p3", "IMPORTS", "r/b.py", "r/a.py", "{}"), ("p4", "IMPORTS", "r/b.py", "pkg:used", "{}"), ("p5", "IMPORTS", "pkg:idle", "pkg:used", "{}")]
+    store = GraphStore(spark.createDataFrame(more, seeded.nodes.schema), spark.createDataFrame(links, "id string, type string, source_id string, target_id string, properties string"))
+    kept = GraphStore(graph.sweep_orphans(spark.createDataFrame(more, seeded.nodes.schema), store.edges), store.edges)
+    assert kept.nodes.count() == 4  # the one without a type is no node of the store
+    assert {r["id"] for r in graph.sweep_orphans(spark.createDataFrame(more, seeded.nodes.schema), store.edges).collect()} == {x[0] for x in more} - {"pkg:idle"}
+    swept = store.swept()
+    assert {r["id"] for r in swept.edges.collect()} == {"p1", "p2", "p3", "p4"}
+
+    node, changed = store.pull_request("r/pr/7")
+    assert node.count() == 1 and {(r["id"], r["change"]) for r in changed.collect()} == {("r/a.py", '{"status": "added"}'), ("r/b.py", "{}")}
+    radius = {(r["file_id"], r["id"], r["depth"]) for r in store.pull_request_radius("r/pr/7").collect()}
+    assert radius == {("r/a.py", "r/pr/7", 1), ("r/a.py", "r/b.py", 1), ("r/b.py", "r/pr/7", 1)}
+    with pytest.raises(LookupError):
+        store.pull_request("r/pr/8")
+
+    told = seeded.augment("pack", told=1).collect()
+    pack = [r for r in told if r["id"] == "pack"]
+    assert [(r["edge_type"], r["position"], r["more"]) for r in pack] == [("CALLS", 1, 1)] and pack[0]["neighbor_name"] in ("weigh", "label")
+    assert seeded.augment("nothing of the kind qqq").count() == 0
