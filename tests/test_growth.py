@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from graphloom.operators import resolve
+from graphloom.streaming import state
 
 
 def test_calls_of_a_name_that_many_symbols_have(spark):
@@ -22,3 +23,18 @@ def test_calls_of_a_name_that_many_symbols_have(spark):
     found = resolve.resolve_calls(calls, symbols.unionByName(lone), imports).collect()
     assert [tuple(r) for r in found] == [("c7", "only", 0.8)]
     assert time.perf_counter() - began < 60
+
+
+def test_early_calls_of_many_names(spark, tmp_path):
+    """60,000 names with a call and a symbol each, half of the calls a batch before their symbols."""
+    n = 60_000
+    rows = spark.range(2 * n).select(F.when(F.col("id") % 2 == 0, "call").otherwise("symbol").alias("kind"), F.col("id").cast("string").alias("id"), F.floor(F.col("id") / 2).cast("string").alias("name"))
+    late = (F.col("kind") == "symbol") == (F.col("name").cast("int") % 2 == 0)
+    for part, when in (("a", ~late), ("b", late)):
+        rows.where(when).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{part}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    log, began = str(tmp_path / "log"), time.perf_counter()
+    state.resolve_early_calls(stream, log, str(tmp_path / "checkpoint")).awaitTermination()
+    got = state.latest(state.read_log(spark, log, "call_id string, name string, symbol_id string"), "call_id", "name")
+    assert got.count() == n == got.where("int(symbol_id) = int(call_id) + 1 AND int(call_id) = 2 * int(name)").count()
+    assert time.perf_counter() - began < 60
