@@ -9,6 +9,7 @@ the nodes of the whole graph may move once more from where they are, and levels
 
 Everything is joins and sums. The state of a round is a written table, so lineages stay short, and only
 counts and the modularity come to the driver. Deterministic: ties go to the smaller community.
+Nodes of one neighbor are first folded into it, which loses no modularity, so that rounds run over the others only.
 """
 
 from __future__ import annotations
@@ -74,11 +75,12 @@ def _settle(nodes: DataFrame, links: DataFrame, labels: DataFrame, whole: float,
     quality, share = _quality(nodes, toward, labels, whole, resolution), 2
     for n in range(most):
         wishes = written(_wishes(nodes, toward, labels, whole, resolution), "louvain-wishes")
-        if wishes.where("wish is not null").isEmpty():
-            return labels, quality, n, True
         turn = F.pmod(F.xxhash64("id", F.lit(n)), F.lit(share)) == 0
         moves = turn & F.col("wish").isNotNull()
-        if wishes.where(moves).isEmpty():
+        wished, moving = wishes.agg(F.count("wish"), F.count_if(moves)).first()
+        if not wished:
+            return labels, quality, n, True
+        if not moving:
             continue
         tried = written(wishes.select("id", F.when(moves, F.col("wish")).otherwise(F.col("community")).alias("community")), "louvain-labels")
         seen = _toward(links, tried)
@@ -100,14 +102,37 @@ def _contracted(nodes: DataFrame, links: DataFrame, labels: DataFrame) -> tuple[
     return smaller, ends.where("a <> b").select(F.col("a").alias("id"), F.col("b").alias("other"), "weight")
 
 
+def _folded(links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Leaves (id, host), the other nodes (id, k, loop) and the links among these. A leaf has one neighbor, whose community no
+    partition of the largest modularity parts it from: leaving it gains nothing at a resolution of 1 or less. So leaves are
+    loops of their hosts. Of two nodes that have each other only, the smaller is the host."""
+    # a node's neighbor goes with it, so that the smaller of two leaves is known without another look at the links
+    ends = links.groupBy("id").agg(F.sum("weight").alias("k"), F.count("other").alias("n"), F.min("other").alias("host"))
+    ends = written(ends, "louvain-ends")
+    lone = ends.where("n = 1").select("id", "host", "k")
+    pairs = lone.select(F.col("host").alias("id"), F.col("id").alias("host"))
+    leaves = written(lone.join(pairs, ["id", "host"], "left_anti").unionByName(lone.join(pairs, ["id", "host"], "left_semi").where("host < id")), "louvain-leaves")
+    taken = leaves.groupBy(F.col("host").alias("id")).agg(F.sum("k").alias("_k"))
+    rest = ends.select("id", "k").join(leaves.select("id"), "id", "left_anti").join(taken, "id", "left")
+    more = F.coalesce("_k", F.lit(0))
+    nodes = written(rest.select("id", (F.col("k") + more).alias("k"), (2 * more).alias("loop")), "louvain-nodes")
+    gone = leaves.select("id")
+    # the link to a leaf goes as the leaf's own does: its other end is the leaf
+    kept = links.join(gone, "id", "left_anti").join(gone.withColumnRenamed("id", "other"), "other", "left_anti").select("id", "other", "weight")
+    return leaves.select("id", "host"), nodes, written(kept, "louvain-links")
+
+
 def louvain(edges: DataFrame, nodes: DataFrame | None = None, resolution: float = 1.0, rounds: int = 40, levels: int = 12, passes: int = 2) -> Louvain:
     """Communities of the undirected simple graph: parallel edges are summed, loops dropped, and, where nodes
     (id) are given, edges without both ends too, while nodes without edges are alone. ``rounds`` bounds a level, ``levels``
     a pass; a pass goes from single nodes up, and later passes start from the communities of the one before."""
     flat = collapsed(induced_edges(edges, nodes) if nodes is not None else edges)
     links = written(flat.select("a", "b", "weight").union(flat.select("b", "a", "weight")).toDF("id", "other", "weight"), "louvain-links")
-    base = links.groupBy("id").agg(F.sum("weight").alias("k")).withColumn("loop", F.lit(0).cast("long"))
-    base = written(base, "louvain-nodes")
+    leaves = None
+    if resolution <= 1:
+        leaves, base, links = _folded(links)
+    else:
+        base = written(links.groupBy("id").agg(F.sum("weight").alias("k")).withColumn("loop", F.lit(0).cast("long")), "louvain-nodes")
     whole = float(base.agg(F.sum("k")).first()[0] or 0)
     found = base.select("id", F.col("id").alias("community"))
     quality, spent, height, still = 0.0, 0, 0, True
@@ -130,6 +155,8 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, resolution: float
             if q <= quality + EPSILON:
                 break
             found, quality = steps, q
+    if leaves is not None:
+        found = written(found.unionByName(leaves.join(found.withColumnRenamed("id", "host"), "host").select("id", "community")), "louvain-found")
     heads = found.groupBy("community").agg(F.min("id").alias("head"))
     named = found.join(heads, "community").select("id", F.col("head").alias("community"))
     if nodes is not None:

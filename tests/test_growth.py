@@ -5,6 +5,8 @@ import time
 from pyspark.sql import functions as F
 
 from graphloom.operators import resolve
+from graphloom.operators.communities import louvain
+from graphloom.operators.graph import modularity
 from graphloom.streaming import state
 
 
@@ -38,3 +40,14 @@ def test_early_calls_of_many_names(spark, tmp_path):
     got = state.latest(state.read_log(spark, log, "call_id string, name string, symbol_id string"), "call_id", "name")
     assert got.count() == n == got.where("int(symbol_id) = int(call_id) + 1 AND int(call_id) = 2 * int(name)").count()
     assert time.perf_counter() - began < 60
+
+
+def test_leaves_need_no_rounds(spark):
+    """Stars and single edges are settled by folding; what hangs on a triangle goes with the node it hangs on."""
+    pairs = [("hub", f"leaf{i:03}") for i in range(300)] + [("x", "y")]
+    edges = lambda rows: spark.createDataFrame([(f"e{i}", "T", a, b) for i, (a, b) in enumerate(rows)], "id string, type string, source_id string, target_id string")
+    found = louvain(edges(pairs), passes=1)
+    assert found.rounds == 0 and found.settled
+    want = {x: "hub" for p in pairs[:-1] for x in p} | {"x": "x", "y": "x"}
+    assert {r["id"]: r["community"] for r in found.labels.collect()} == want
+    assert abs(found.modularity - modularity(edges(pairs), found.labels)) < 1e-9
