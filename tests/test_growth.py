@@ -1,12 +1,14 @@
 """Steps whose work must grow with their input and not with its square."""
 
 import time
+from functools import reduce
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import resolve
+from graphloom.operators import graph, resolve
 from graphloom.operators.communities import louvain
 from graphloom.operators.graph import modularity
+from graphloom.sources.tables import grouped
 from graphloom.streaming import state
 
 
@@ -51,3 +53,30 @@ def test_leaves_need_no_rounds(spark):
     want = {x: "hub" for p in pairs[:-1] for x in p} | {"x": "x", "y": "x"}
     assert {r["id"]: r["community"] for r in found.labels.collect()} == want
     assert abs(found.modularity - modularity(edges(pairs), found.labels)) < 1e-9
+
+
+def _of_many_tables(spark):
+    """A graph whose nodes and edges come from six tables each."""
+    nodes = reduce(lambda a, b: a.unionByName(b), [spark.range(50).select(F.concat(F.lit(f"{t}:"), "id").alias("id"), F.lit(t).alias("type")) for t in "abcdef"])
+    links = [spark.range(40).select(F.concat(F.lit(f"{t}"), "id").alias("id"), F.lit("T").alias("type"), F.concat(F.lit(f"{t}:"), "id").alias("source_id"), F.concat(F.lit(f"{t}:"), F.col("id") % 3).alias("target_id")) for t in "abcdex"]
+    return nodes, reduce(lambda a, b: a.unionByName(b), links)
+
+
+def _joins(df) -> int:
+    return sum("Join" in line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
+def test_orphans_meet_the_ends_once(spark):
+    """One join, not one for each table that the nodes come from."""
+    nodes, edges = _of_many_tables(spark)
+    found = graph.orphans(nodes, edges)
+    assert _joins(found) == 1
+    assert sorted(r["id"] for r in found.collect()) == sorted([f"{t}:{i}" for t in "abcde" for i in range(40, 50)] + [f"f:{i}" for i in range(50)])
+
+
+def test_links_are_counted_in_parts_of_bounded_size(spark):
+    """Rows are dealt by their keys to as many tasks as their number asks for, then counted where they are."""
+    rows = spark.range(10_000).select((F.col("id") % 4_000).alias("a"), (F.col("id") % 2).alias("b"))
+    counted = grouped(rows, "a", "b", most=1_000)
+    assert counted.rdd.getNumPartitions() == 10 and counted.count() == 4_000 and counted.agg(F.sum("weight")).first()[0] == 10_000
+    assert max(counted.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 1_000
