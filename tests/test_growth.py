@@ -80,3 +80,11 @@ def test_links_are_counted_in_parts_of_bounded_size(spark):
     counted = grouped(rows, "a", "b", most=1_000)
     assert counted.rdd.getNumPartitions() == 10 and counted.count() == 4_000 and counted.agg(F.sum("weight")).first()[0] == 10_000
     assert max(counted.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 1_000
+
+
+def test_hops_work_out_once_what_is_shown(spark, monkeypatch):
+    """The search gets a table, not the joins of all nodes with all edges, which each of its levels would do again."""
+    (nodes, edges), joins, search = _of_many_tables(spark), [], graph.bfs
+    monkeypatch.setattr(graph, "bfs", lambda links, *rest, **more: joins.append(_joins(links)) or search(links, *rest, **more))
+    found = graph.hop_map(nodes, edges, spark.createDataFrame([("a:0",)], "id string"), 2, ["f"])
+    assert joins == [0] and found.count() == 1 + 13 and found.where("depth = 1").count() == 13
