@@ -88,3 +88,11 @@ def test_hops_work_out_once_what_is_shown(spark, monkeypatch):
     monkeypatch.setattr(graph, "bfs", lambda links, *rest, **more: joins.append(_joins(links)) or search(links, *rest, **more))
     found = graph.hop_map(nodes, edges, spark.createDataFrame([("a:0",)], "id string"), 2, ["f"])
     assert joins == [0] and found.count() == 1 + 13 and found.where("depth = 1").count() == 13
+
+
+def test_ends_meet_the_nodes_once(spark):
+    """Two joins, one for each end, however many tables the edges come from."""
+    nodes, edges = _of_many_tables(spark)
+    found = graph.induced_edges(edges, nodes)
+    assert _joins(found) == 2
+    assert found.columns == edges.columns and found.count() == 5 * 40
