@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import graph, resolve
 from graphloom.operators.communities import louvain
+from graphloom.operators.fulltext import FullText
 from graphloom.operators.graph import modularity
 from graphloom.sources.tables import grouped
 from graphloom.streaming import state
@@ -96,3 +97,15 @@ def test_ends_meet_the_nodes_once(spark):
     found = graph.induced_edges(edges, nodes)
     assert _joins(found) == 2
     assert found.columns == edges.columns and found.count() == 5 * 40
+
+
+def test_a_term_of_every_document_is_cut(spark):
+    """Its postings go to several tasks."""
+    docs = spark.range(4_000).select("id", F.concat(F.lit("alpha beta alpha x"), "id").alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = FullText.build(docs)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    hot = index.postings.where("term = 'alpha'")
+    assert hot.count() == 4_000 == hot.where("tf = 2").count() and hot.select(F.input_file_name()).distinct().count() > 1
