@@ -42,7 +42,18 @@ def test_tokens_are_those_of_the_fixed_patterns(spark):
     odd = ["9ab-cd 9-ab_x-y1-2 a--b-c- -d-e", "xABcD9eF aB9Cd __aXb 1aB2", "Stra\u00dfe-Bahn na\u00efve-text \u212aelvin-x", "a" * 3000 + "-b aaZ" + "9" * 2000 + "Q", "plain words and_more \u0130x caf\u00e9 x1"]
     got = [one(spark, text.tokenize(F.col("s")), s=s) for s in odd]
     assert got == [want(s) for s in odd]
-    assert "[^a-z0-9_]" not in str(text.tokenize(F.col("s")))
+    assert "[^a-z0-9_]" not in str(text.tokenize(F.col("s"))) + str(text.domain_tags(F.col("s")))
+
+
+def test_patterns_of_domains_are_matched_where_their_literals_are(spark):
+    """Each pattern says which texts its matches hold, and tags stay those of the patterns."""
+    assert text._literals(r"\bUPDATE\b.*\bSET\b") == ["UPDATE", "SET"] and text._literals(r"(?i)\bfetch\s*\(") == ["fetch", "("] and text._literals(r"(?i)\.env\b") == [".env"]
+    said = ["DB.open", "xdb.open", "UPDATE t\nSET x", "UPDATE t SET x", "Fetch  (u)", "prefetch(u)", "a.ENV", "a.envy", "try", "Try", "emit\n(", "see Path.x WS.y", "log. password token cursor Error", "_sql sql_", "caf\u00e9try \u00e9log.", ""]
+    edge = lambda p: re.search(p, s, re.ASCII)
+    for s in said:
+        assert one(spark, text.domain_tags(F.col("s")), s=s) == [d for d, ps in fixed.DOMAINS.items() if any(edge(p) for p in ps)][:4], s
+    parts = sum(len(text._literals(p)) for ps in fixed.DOMAINS.values() for p in ps if not re.fullmatch(r"\(\?i\)\\b(\w+)\\b", p))
+    assert str(text.domain_tags(F.col("s"))).count("contains") == parts > 0  # asked before the pattern
 
 
 def test_identifiers_and_phrases(spark):
