@@ -109,3 +109,12 @@ def test_a_term_of_every_document_is_cut(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     hot = index.postings.where("term = 'alpha'")
     assert hot.count() == 4_000 == hot.where("tf = 2").count() and hot.select(F.input_file_name()).distinct().count() > 1
+
+
+def test_stop_words_are_one_look_into_a_set(spark):
+    """Not a comparison with each of them for every word."""
+    from graphloom.operators import fulltext
+
+    assert "array_contains" not in str(fulltext.words(F.col("t")))
+    rows = spark.createDataFrame([("The cat, AND the  dog2 of", ), (None,)], "t string").select(fulltext.words(F.col("t")).alias("w"))
+    assert [r["w"] for r in rows.collect()] == [["cat", "dog2"], []]
