@@ -41,10 +41,10 @@ def insert_missing(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.unionByName(fresh.select(*existing.columns))
 
 
-def edges_with_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def edges_with_ends(nodes: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
     from graphloom.operators.graph import induced_edges
 
-    return induced_edges(edges, nodes)
+    return induced_edges(edges, nodes, parts)
 
 
 def in_scope(node_id: Column, repo: str) -> Column:

@@ -111,6 +111,18 @@ def test_a_term_of_every_document_is_cut(spark):
     assert hot.count() == 4_000 == hot.where("tf = 2").count() and hot.select(F.input_file_name()).distinct().count() > 1
 
 
+def test_ends_meet_in_as_many_tasks_as_asked_for(spark):
+    """A join's tasks follow the number of links and not the session's shuffles; fewer than those are left alone."""
+    nodes, edges = _of_many_tables(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = graph.induced_edges(edges, nodes, 16)
+        assert found.rdd.getNumPartitions() == 16 and found.count() == 5 * 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert graph.dealt(edges, 2, "id") is edges and graph.dealt(edges, None, "id") is edges
+
+
 def test_stop_words_are_one_look_into_a_set(spark):
     """Not a comparison with each of them for every word."""
     from graphloom.operators import fulltext
