@@ -25,17 +25,16 @@ text) count once. Matching ignores case and ASCII punctuation.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ship, whole_row
+from graphloom.llm.common import ship, unpacked, whole_row
 from graphloom.llm.substring_dedup import CHUNK_BYTES, Words, mixed
 
 BUCKET_BITS = 18
@@ -49,6 +48,7 @@ STRETCH_WORDS, SEEN_STRETCHES = 16, 500_000
 #: Words in a row that make a candidate by themselves, whatever they weigh.
 SHINGLE_WORDS = 5
 HITS = "array<struct<item_id:long,share:double,answer:double>>"
+_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("answer", pa.float64())]))
 RUN_BASE = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - BUCKET_BITS)
 _CLEAN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
@@ -63,7 +63,7 @@ def buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> _SHIFT).astype(np.int64)
 
 
-def chunked(texts: list[str | None]) -> Iterator[Words]:
+def chunked(texts: Iterable[str | None]) -> Iterator[Words]:
     """The words of some texts at a time, in order."""
     chunk, size = [], 0
     for x in texts:
@@ -387,10 +387,10 @@ def item_blocks(benchmark: DataFrame) -> list[DataFrame]:
 def searcher(shared: Broadcast):
     """A function of texts that returns the hits of a broadcast block."""
 
-    @F.pandas_udf(HITS)
-    def held(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(HITS)
+    def held(texts: pa.Array) -> pa.Array:
         block, idf = shared.value
-        return pd.Series([x for words in chunked(texts.tolist()) for x in search(block, idf, words)], dtype=object)
+        return pa.array([x for words in chunked(unpacked(texts)) for x in search(block, idf, words)], _HITS)
 
     return held
 

@@ -1,8 +1,11 @@
 """Token counts, top-k, mixing, secrets, language ID, language model, decontamination."""
 
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -243,6 +246,17 @@ def test_language_id_learns_from_long_words():
     assert got.sum() > 3 * len(parts)
 
 
+def test_language_id_holds_few_letters_at_once():
+    words = [f"{'abcdefghij' * 4}{'xyz'[i % 3]}{i}" for i in range(6_000)] + ["a"] * 10
+    chunks = list(langid.chunks_of(words))
+    assert sorted(i for some in chunks for i in some) == list(range(len(words)))
+    assert max(len(some) * max(len(words[i]) for i in some) for some in chunks) <= langid.CHUNK_LETTERS
+    # what workers of the pipeline import is theirs for as long as they live
+    code = "import sys, graphloom.llm.langid, graphloom.llm.decontaminate; sys.exit('pandas' in sys.modules)"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
 def test_language_id_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", F.lit(1.0).alias("score"))
     odd = spark.createDataFrame([(9001, None, None, 1.0), (9002, "", "en", 1.0), (9003, "123 ###", None, 1.0), (None, "the and of", None, 1.0)], docs.schema)
