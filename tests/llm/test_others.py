@@ -362,6 +362,23 @@ def test_frequent_tokens_are_the_upper_bins(spark):
     assert lm.frequent_tokens(counts, 2)[0] == ["w0"] and lm.frequent_tokens(counts, 0)[0] == []
 
 
+def test_language_model_needs_no_largest_sum_and_looks_words_up_at_once():
+    words = [f"w{i}" for i in range(4000)]
+    vocabulary = lm.Vocabulary(words, np.arange(4000, 0, -1), 9_000_000, 4100)
+    model = lm.MaxEnt(vocabulary, [np.full((lm.bucket_count(9_000_000), lm.WIDTH), float(lm.ROUNDS), np.float32) for _ in range(3)])
+    for w in model.weights:
+        w[:, ::2] *= -1  # as far apart as rounds can move them
+    ids = vocabulary.ids(["w5", "unheard", "w3999"])
+    assert isinstance(ids, np.ndarray) and ids[[0, 2]].tolist() == [5, 3999] and ids[1] >= 4000
+    head = np.arange(lm.HEAD)
+    before = np.full(len(head), 7)
+    logs = model.log_probability(before, before, head)
+    rest = model.log_probability(before[:1], before[:1], np.array([10**6]))
+    assert np.isfinite(logs).all() and abs(np.exp(logs).sum() + np.exp(rest[0]) - 1) < 1e-4
+    for _, at, f, outcome, x, total in model.levels(before, before, head):
+        assert np.allclose(total, x.sum(axis=1), rtol=1e-5) and (x > 0).all() and np.isfinite(x).all()
+
+
 def test_language_model_probabilities_sum_to_one():
     words = [lm.END, *(f"w{i}" for i in range(40))]
     vocabulary = lm.Vocabulary(words, np.arange(41, 0, -1), 1000, 60)
