@@ -130,3 +130,17 @@ def test_stop_words_are_one_look_into_a_set(spark):
     assert "array_contains" not in str(fulltext.words(F.col("t")))
     rows = spark.createDataFrame([("The cat, AND the  dog2 of", ), (None,)], "t string").select(fulltext.words(F.col("t")).alias("w"))
     assert [r["w"] for r in rows.collect()] == [["cat", "dog2"], []]
+
+
+def test_links_are_dealt_as_their_number_asks(spark):
+    """Sums over links go to as many tasks as asked for, not to the session's shuffles, and are the same."""
+    rows = [(f"e{i}", "DEFINES" if i % 3 else "CALLS", f"n{i % 7}", f"n{i % 5 + 4}") for i in range(60)]
+    edges = spark.createDataFrame(rows, "id string, type string, source_id string, target_id string")
+    starts = edges.select(F.col("target_id").alias("id")).distinct()
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    many = int(spark.conf.get("spark.sql.shuffle.partitions")) + 33
+    for run in (graph.degrees, graph.collapsed):
+        assert run(edges, parts=many).rdd.getNumPartitions() == many
+        assert same(run(edges), run(edges, parts=many))
+    assert same(graph.impact(edges, starts, 2, ["DEFINES"]), graph.impact(edges, starts, 2, ["DEFINES"], parts=many))
+    assert same(graph.communities(edges), graph.communities(edges, parts=many))
