@@ -7,7 +7,8 @@ from collections import Counter
 
 from graphloom.functions.fixed_values import STOP_WORDS
 from graphloom.functions.stemming import STEP_2, STEP_3, stem
-from graphloom.operators.fulltext import FullText, search_nodes, source_docs
+from graphloom.operators import fulltext, search
+from graphloom.operators.fulltext import FullText, Scan, search_nodes, source_docs
 from graphloom.operators.search import bm25, fuse, hybrid
 from graphloom.store import GraphStore
 
@@ -179,3 +180,24 @@ def test_store_searches_sources(spark):
     store = GraphStore(nodes, spark.createDataFrame([], "id string, type string, source_id string, target_id string"), sources)
     assert [r["id"] for r in store.full_text_sources("retries").collect()] == ["r/a.py"]
     assert [r["id"] for r in store.search_nodes("retries").collect()] == ["r/a.py"]
+
+
+def test_a_scan_finds_what_the_index_finds(spark):
+    docs = spark.createDataFrame(DOCS, "id string, name string, source_text string")
+    index, within = FullText.build(docs), spark.createDataFrame([("b",), ("e",)], "id string")
+    for query, options in [("the parsers", {}), ("relating parse", {}), ("relations parsing", {"conjunctive": True}), ("parse", {"weights": {"name": 3.0}}), ("relating", {"within": within}), ("zebra", {}), ("", {}), ("the of", {})]:
+        got = {r["id"]: r["score"] for r in Scan(docs).search(query, None, **options).collect()}
+        want = {r["id"]: r["score"] for r in index.search(query, None, **options).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+    assert [r["id"] for r in Scan(docs).search("parse", 2).collect()] == [r["id"] for r in index.search("parse", 2).collect()]
+    assert Scan(docs.where("false")).search("parse").collect() == []
+
+
+def test_one_query_writes_no_index(spark, monkeypatch):
+    """What a fused search of three lists writes is vocabularies and what it found: no tokens, words or postings of all documents."""
+    docs = spark.createDataFrame([(i, n, t) for i, n, t in DOCS], "id string, name string, text string")
+    names = []
+    for module in (search, fulltext):
+        monkeypatch.setattr(module, "written", lambda df, name="table", own=module.written: names.append(name) or own(df, name))
+    assert not hybrid(docs, "parsers", full_text=Scan(docs)).isEmpty()
+    assert set(names) == {"frequencies", "query-tokens", "vocabulary", "stems", "full-text-found", "found"}
