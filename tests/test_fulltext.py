@@ -10,6 +10,7 @@ from graphloom.functions.stemming import STEP_2, STEP_3, stem
 from graphloom.operators import fulltext, search
 from graphloom.operators.fulltext import FullText, Scan, search_nodes, source_docs
 from graphloom.operators.search import bm25, fuse, hybrid
+from graphloom.plans import registry
 from graphloom.store import GraphStore
 
 #: Words with their stems from the paper's examples, after all steps.
@@ -201,3 +202,12 @@ def test_one_query_writes_no_index(spark, monkeypatch):
         monkeypatch.setattr(module, "written", lambda df, name="table", own=module.written: names.append(name) or own(df, name))
     assert not hybrid(docs, "parsers", full_text=Scan(docs)).isEmpty()
     assert set(names) == {"frequencies", "query-tokens", "vocabulary", "stems", "full-text-found", "found"}
+
+
+def test_three_lists_read_whole_texts(spark, tmp_path):
+    """A word past the first 10,000 characters counts in the full text as it does in the other list."""
+    late = "filler " * 2_000 + "passwords"
+    spark.createDataFrame([(1, late, "src0"), (2, "nothing here", "src1")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, [1.0, 0.0]), (9, [0.0, 1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["id"]: r["score"] for r in registry.hybrid_three_lists(spark, str(tmp_path)).collect()}
+    assert got == {1: round(2 / 61, 8), 0: round(1 / 61, 8)}
